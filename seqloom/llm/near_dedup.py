@@ -120,18 +120,49 @@ def _confirm(percent: int):
     return run
 
 
+def _sets_of(used: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """node, shingles for the nodes in used (node), made again from one text of each."""
+    ids = keep(used.join(nodes.select("node", F.col("rep").alias("doc_id")), "node").select("doc_id").distinct())
+    return keep(texts.join(small(ids), "doc_id", "left_semi").select("text").mapInArrow(_full_sets(k), "node long, shingles binary").dropDuplicates(["node"]))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are alike enough."""
     n = nodes.select("node", "n_shingles", "sig")
     left, right = (n.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     near = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = keep(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(percent), "a long, b long"))
-    used = keep(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("rep").alias("doc_id")), "node").select("doc_id").distinct())
-    sets = keep(texts.join(small(used), "doc_id", "left_semi").select("text").mapInArrow(_full_sets(k), "node long, shingles binary").dropDuplicates(["node"]))
+    sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, k)
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     return keep(near.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
 
 
+def _flat(batches):
+    for batch in batches:
+        for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+            s = np.frombuffer(x.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], names=["node", "shingle"])
+
+
+def _shared_sizes(used: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """node, n, m: the size of its set, and how many of its shingles another node of used has too."""
+    flat = _sets_of(used, nodes, texts, k).mapInArrow(_flat, "node long, shingle long")
+    once = flat.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = once.groupBy("node").agg(F.count("*").alias("u"))
+    return keep(used.join(nodes, "node").join(own, "node", "left").select("node", F.col("n_shingles").alias("n"), F.expr("n_shingles - coalesce(u, 0)").alias("m")))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets (key) that hold more than one component (c)."""
+    keys = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+    return rows.join(keys, "key")
+
+
+def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, node, c of buckets of three nodes or more that hold more than one component."""
+    return _mixed(members.where("n > 2").select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
@@ -140,11 +171,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     component_id is the smallest doc_id that links reach.
 
     Sets that are equal become one node first, through a partial aggregate on a hash of the whole
-    set, so copies never meet in a bucket.  A bucket's nodes are compared with its smallest node;
-    then, while it holds nodes of more than one component, with 7, 56, 448, ... further ones, each
-    time leaving out what components already join: no bucket gives all its pairs unless none of
-    them is linked.  A candidate passes size, signature and full-set tests.  With 32 bands of 5
-    minima a pair at exactly 0.8 is missed with a chance of 3 in a million.
+    set, so copies never meet in a bucket.  A bucket's nodes are compared with its smallest node.
+    Where it then holds more than one component, shingles are counted over the nodes of all such
+    buckets: m of a node's n shingles that others have bound its similarity with any of them, which
+    rules out the outlying members of a large group without a pair.  The rest are compared with
+    the bucket's most shared nodes, 1, 7, 56, .. of them in turn, leaving out pairs that the bound
+    rules out or components join, until none is left.  A candidate passes size, signature and
+    full-set tests.  With 32 bands of 5 minima a pair at exactly 0.8 is missed with a chance of 3
+    in a million.
 
     Null or wordless text: an empty set, linked with nothing, kept.  Null doc_id: component null,
     kept, linked with nothing.  Rows repeated under one doc_id each get their row; copies under
@@ -161,21 +195,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     pairs = keep(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     links = _verified(pairs, nodes, texts, k, percent)
     groups = components(links)
-    done, step = 1, 7
+    used = sizes = None
+    done, step = 0, 1
     while True:
-        named = members.where(f"n > {done + 1}").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-        ranked = keep(named.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))))
-        x = ranked.where(f"rank > {done} and rank <= {done + step}").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
-        y = ranked.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), "rank")
-        more = keep(x.join(y, "key").where("rank > ra and ca <> cb").select("a", "b").distinct())
-        if not more.head(1):
-            if not ranked.where(f"rank > {done + step}").head(1):
-                break
-        else:
+        open_ = _open(members, groups)
+        if sizes is None:
+            used = keep(open_.select("node").distinct())
+            sizes = _shared_sizes(used, nodes, texts, k)
+        # a set that shares m of n shingles with all others is too far from any set of nmin and more
+        sized = open_.join(sizes, "node")
+        least_n = sized.groupBy("key").agg(F.min("n").alias("nmin"))
+        able = sized.join(least_n, "key").where(f"100 * m >= {percent} * (greatest(m, nmin) + n - m)")
+        rows_left = _mixed(able).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("n") - F.col("m"), "node")))
+        ranked = keep(rows_left)
+        x = ranked.where(f"rank > {done} and rank <= {done + step}").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "n", "m", "rank")))
+        y = ranked.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "c", "n", "m", "rank")))
+        able_pair = f"rank_b > rank_a and c_a <> c_b and 100 * least(m_a, m_b) >= {percent} * (n_a + n_b - least(m_a, m_b))"
+        more = keep(x.join(y, "key").where(able_pair).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+        if more.head(1):
             links = keep(links.unionByName(_verified(more, nodes, texts, k, percent)))
             groups = components(links)
-        done, step = done + step, step * 8
+        elif not ranked.where(f"rank > {done + step}").head(1):
+            break
+        done, step = (done + step, step * 8) if done else (1, 7)
     least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     names = groups.join(least, "component").select("node", "component_id")
     of = nodes.select("node", "rep").join(names, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
