@@ -144,12 +144,33 @@ def _flat(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], names=["node", "shingle"])
 
 
-def _shared_sizes(used: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """node, n, m: the size of its set, and how many of its shingles another node of used has too."""
-    flat = _sets_of(used, nodes, texts, k).mapInArrow(_flat, "node long, shingle long")
-    once = flat.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = once.groupBy("node").agg(F.count("*").alias("u"))
-    return keep(used.join(nodes, "node").join(own, "node", "left").select("node", F.col("n_shingles").alias("n"), F.expr("n_shingles - coalesce(u, 0)").alias("m")))
+def _prefix_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): every pair of nodes of different components (key, node, c) that may be alike.
+
+    With shingles put in one order, rarest first, two sets whose first common shingle has p and q
+    others before it share no more than min(n - p, n' - q).  Only shingles with few before them can
+    be such a first one, and pairs meet there only if that bound reaches the threshold.  Of a
+    shingle's nodes, those of its most frequent component are not compared with each other.
+    """
+    used = keep(open_.select("node", "c").distinct())
+    flat = keep(_sets_of(used.select("node"), nodes, texts, k).mapInArrow(_flat, "node long, shingle long"))
+    df = flat.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("node"))
+    own = df.where("df = 1").groupBy("node").agg(F.count("*").alias("u"))
+    sized = used.join(nodes.select("node", F.col("n_shingles").alias("n")), "node").join(own, "node", "left")
+    able = keep(sized.where(f"100 * (n - coalesce(u, 0)) >= {percent} * n").select("node", "c", "n"))
+    counted = flat.join(able, "node").join(df.where("df > 1").select("shingle", "df"), "shingle")
+    alone = flat.join(able, "node").groupBy("node").agg(F.count("*").alias("all"))
+    first = Window.partitionBy("node").orderBy("df", "shingle")
+    ranked = counted.withColumn("r", F.row_number().over(first)).withColumn("common", F.count("*").over(Window.partitionBy("node")))
+    placed = ranked.join(alone, "node").select("shingle", "node", "c", "n", (F.col("all") - F.col("common") + F.col("r") - 1).alias("before"))
+    short = keep(placed.where(f"100 * (n - before) >= {percent} * n"))
+    most = short.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    met = keep(short.join(most, "shingle").select("shingle", "node", "c", "n", "before", F.col("top.c").alias("most")))
+    x, y = (met.select("shingle", *(F.col(v).alias(f"{v}_{e}") for v in ("node", "c", "n", "before", "most"))) for e in "xy")
+    bound = "least(n_x - before_x, n_y - before_y)"
+    able_pair = f"c_x <> c_y and (c_y = most_y or node_x < node_y) and 100 * {bound} >= {percent} * (n_x + n_y - {bound})"
+    pairs = x.where("c_x <> most_x").join(y, "shingle").where(able_pair)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -172,13 +193,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Sets that are equal become one node first, through a partial aggregate on a hash of the whole
     set, so copies never meet in a bucket.  A bucket's nodes are compared with its smallest node.
-    Where it then holds more than one component, shingles are counted over the nodes of all such
-    buckets: m of a node's n shingles that others have bound its similarity with any of them, which
-    rules out the outlying members of a large group without a pair.  The rest are compared with
-    the bucket's most shared nodes, 1, 7, 56, .. of them in turn, leaving out pairs that the bound
-    rules out or components join, until none is left.  A candidate passes size, signature and
-    full-set tests.  With 32 bands of 5 minima a pair at exactly 0.8 is missed with a chance of 3
-    in a million.
+    Where it then holds more than one component, the nodes of all such buckets are joined on their
+    rarest shingles, leaving out pairs that a bound on the common ones rules out or components
+    join already: exact, and without all pairs of a large group.  A candidate passes size,
+    signature and full-set tests.  With 32 bands of 5 minima a pair at exactly 0.8 is missed with
+    a chance of 3 in a million.
 
     Null or wordless text: an empty set, linked with nothing, kept.  Null doc_id: component null,
     kept, linked with nothing.  Rows repeated under one doc_id each get their row; copies under
@@ -195,29 +214,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     pairs = keep(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     links = _verified(pairs, nodes, texts, k, percent)
     groups = components(links)
-    used = sizes = None
-    done, step = 0, 1
-    while True:
-        open_ = _open(members, groups)
-        if sizes is None:
-            used = keep(open_.select("node").distinct())
-            sizes = _shared_sizes(used, nodes, texts, k)
-        # a set that shares m of n shingles with all others is too far from any set of nmin and more
-        sized = open_.join(sizes, "node")
-        least_n = sized.groupBy("key").agg(F.min("n").alias("nmin"))
-        able = sized.join(least_n, "key").where(f"100 * m >= {percent} * (greatest(m, nmin) + n - m)")
-        rows_left = _mixed(able).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("n") - F.col("m"), "node")))
-        ranked = keep(rows_left)
-        x = ranked.where(f"rank > {done} and rank <= {done + step}").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "n", "m", "rank")))
-        y = ranked.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "c", "n", "m", "rank")))
-        able_pair = f"rank_b > rank_a and c_a <> c_b and 100 * least(m_a, m_b) >= {percent} * (n_a + n_b - least(m_a, m_b))"
-        more = keep(x.join(y, "key").where(able_pair).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    open_ = keep(_open(members, groups))
+    if open_.head(1):
+        more = keep(_prefix_pairs(open_, nodes, texts, k, percent))
         if more.head(1):
-            links = keep(links.unionByName(_verified(more, nodes, texts, k, percent)))
-            groups = components(links)
-        elif not ranked.where(f"rank > {done + step}").head(1):
-            break
-        done, step = (done + step, step * 8) if done else (1, 7)
+            groups = components(keep(links.unionByName(_verified(more, nodes, texts, k, percent))))
     least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     names = groups.join(least, "component").select("node", "component_id")
     of = nodes.select("node", "rep").join(names, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
