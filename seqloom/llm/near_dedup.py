@@ -12,6 +12,7 @@ from seqloom.llm.components import components
 from seqloom.llm.shared import keep, small
 
 BANDS, ROWS = 32, 5
+_BITS = 128  # minima of which one bit each is kept beside the signature
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +44,7 @@ def _features(k: int, bands: int, rows: int):
             for i, j, flat, sizes in _sets(batch.column("text"), k):
                 full = np.flatnonzero(sizes)
                 node, sig, keys = np.zeros(j - i, np.int64), [b""] * (j - i), np.empty((len(full), bands), np.int64)
+                bits = np.zeros((j - i, _BITS // 8), np.uint8)
                 if len(full):
                     node[full] = _node(flat, sizes)
                     at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -62,6 +64,8 @@ def _features(k: int, bands: int, rows: int):
                     tops ^= np.ascontiguousarray((low & np.uint32(255)).astype(np.uint8).T)
                     for n, d in enumerate(full):
                         sig[d] = tops[n].tobytes()
+                    ones = (low[:_BITS] >> np.uint32(16)).astype(np.uint8) & 1
+                    bits[full, : len(ones) // 8] = np.packbits(ones[: len(ones) // 8 * 8], axis=0).T
                 none = sizes == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -70,8 +74,9 @@ def _features(k: int, bands: int, rows: int):
                         pa.array(node, mask=none),
                         W.list_array(pa.array(keys.ravel()), np.where(none, 0, bands)),
                         pa.array(sig, pa.binary()),
+                        *(pa.array(c) for c in bits.view(np.int64).T),
                     ],
-                    names=["doc_id", "n_shingles", "node", "bands", "sig"],
+                    names=["doc_id", "n_shingles", "node", "bands", "sig", "s1", "s2"],
                 )
 
     return run
@@ -149,7 +154,8 @@ def _prefix_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
 
     With shingles put in one order, rarest first, two sets whose first common shingle has p and q
     others before it share no more than min(n - p, n' - q).  Only shingles with few before them can
-    be such a first one, and pairs meet there only if that bound reaches the threshold.  Of a
+    be such a first one, and pairs meet there only if that bound reaches the threshold and one
+    bit of each of 128 minima differs no more often than it would at the threshold.  Of a
     shingle's nodes, those of its most frequent component are not compared with each other.
     """
     used = keep(open_.select("node", "c").distinct())
@@ -165,10 +171,14 @@ def _prefix_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
     placed = ranked.join(alone, "node").select("shingle", "node", "c", "n", (F.col("all") - F.col("common") + F.col("r") - 1).alias("before"))
     short = keep(placed.where(f"100 * (n - before) >= {percent} * n"))
     most = short.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    met = keep(short.join(most, "shingle").select("shingle", "node", "c", "n", "before", F.col("top.c").alias("most")))
-    x, y = (met.select("shingle", *(F.col(v).alias(f"{v}_{e}") for v in ("node", "c", "n", "before", "most"))) for e in "xy")
+    met = short.join(most, "shingle").select("shingle", "node", "c", "n", "before", F.col("top.c").alias("most"))
+    met = keep(met.join(nodes.select("node", "s1", "s2"), "node"))
+    x, y = (met.select("shingle", *(F.col(v).alias(f"{v}_{e}") for v in ("node", "c", "n", "before", "most", "s1", "s2"))) for e in "xy")
+    off = (1 - percent / 100) / 2  # of the bits of two sets at the threshold, and five deviations
+    differ = int(_BITS * off + 5 * (_BITS * off * (1 - off)) ** 0.5)
     bound = "least(n_x - before_x, n_y - before_y)"
     able_pair = f"c_x <> c_y and (c_y = most_y or node_x < node_y) and 100 * {bound} >= {percent} * (n_x + n_y - {bound})"
+    able_pair += f" and bit_count(s1_x ^ s1_y) + bit_count(s2_x ^ s2_y) <= {differ}"
     pairs = x.where("c_x <> most_x").join(y, "shingle").where(able_pair)
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
@@ -204,10 +214,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     one doc_id have the same component.  Other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, node long, bands array<long>, sig binary"
+    schema = "doc_id long, n_shingles long, node long, bands array<long>, sig binary, s1 long, s2 long"
     rows_ = keep(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(k, bands, rows), schema))
     known = rows_.where("node is not null and doc_id is not null")
-    nodes = keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    nodes = keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
     flat = nodes.select(F.explode("bands").alias("key"), "node")
     hubs = flat.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = keep(flat.join(hubs, "key"))
