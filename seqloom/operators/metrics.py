@@ -78,7 +78,7 @@ def quality_histogram(df: DataFrame, qual: str = "qual") -> DataFrame:
 def cycle_content(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFrame:
     """Bases and their summed quality by cycle (from 1) and base (A, T, C, G, N, other)."""
     both = F.arrays_zip(dna.letters(F.upper(seq)).alias("b"), dna.phred(F.col(qual)).alias("q"))
-    rows = df.select(F.posexplode(both).alias("i", "x")).select((F.col("i") + 1).alias("cycle"), F.col("x.0").alias("b"), F.col("x.1").alias("q"))
+    rows = df.select(F.posexplode(both).alias("i", "x")).select((F.col("i") + 1).alias("cycle"), F.col("x.b"), F.col("x.q"))
     base = F.when(F.col("b").isin(*"ATCGN"), F.col("b")).otherwise("other")
     return rows.groupBy("cycle", base.alias("base")).agg(F.count("*").alias("bases"), F.sum("q").alias("quality_sum"))
 

@@ -1,11 +1,360 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""Queries over the driver's tables, each with its SQL.
+
+The tables hold no reads, so reads are made from keys by expressions that both engines share; the
+operators under test then run on them, and the SQL says the same in another way.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.functions import clip, dna
+from seqloom.operators import filters, metrics, pairing
+from seqloom.operators.adapters import Adapter
+from seqloom.operators.overlap import pair_features
+from seqloom.operators.routing import route, route_counts
+from seqloom.plans.layout import Layout
+
+LAYOUT = Layout.parse("R1_10A10B4T")
+ADAPTER = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
+
+_BASE = "translate(md5({x}), '0123456789abcdef', 'ACGTACGTACGTACGN')"
+_QUAL = "translate(md5(concat('q', {x})), '0123456789abcdef', '#+05:?@ABCDEFGHI')"
+_CODE = "substr(translate(md5({x}), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 10)"
+_KEY = "cast({k} as {text})"
+
+
+def _reads_sql(text: str, key: str = "o_orderkey") -> str:
+    x = _KEY.format(k=key, text=text)
+    o = "o_orderkey"
+    return f"""
+SELECT o_orderkey AS read_idx,
+       concat('r', cast(o_orderkey as {text}), CASE WHEN {o} % 2 = 0 THEN '/1' ELSE '' END, ' 1:N:0:', bca, '+', bcb) AS id,
+       concat(CASE WHEN {o} % 13 = 0 THEN concat(substr(bca, 1, 2), 'N', substr(bca, 4, 1), 'N', substr(bca, 6)) WHEN {o} % 11 = 0 THEN concat(substr(bca, 1, 2), 'N', substr(bca, 4)) ELSE bca END,
+              CASE WHEN {o} % 5 = 0 THEN concat(substr(bcb, 1, 3), translate(substr(bcb, 4, 1), 'ACGT', 'CATG'), substr(bcb, 5)) ELSE bcb END,
+              'TTTT', {_BASE.format(x=x)}) AS seq1,
+       substr(concat({_QUAL.format(x=x)}, {_QUAL.format(x=f"concat('b', {x})")}), 1, 56) AS qual1
+FROM (SELECT o_orderkey, o_custkey, {_CODE.format(x='r_name')} AS bca, {_CODE.format(x='n_name')} AS bcb
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) t
+"""
+
+
+def _inserts_sql(text: str) -> str:
+    """Reads without a prefix; some end in poly-G, poly-A or an adapter, by key."""
+    x = _KEY.format(k="o_orderkey", text=text)
+    b = _BASE.format(x=x)
+    return f"""
+SELECT o_orderkey AS read_idx, concat('m', cast(o_orderkey as {text}), '/a', CASE WHEN o_orderkey % 2 = 0 THEN '/1' ELSE '' END, ' x') AS id, seq, substr(concat(q, q2, q), 1, length(seq)) AS qual
+FROM (SELECT o_orderkey, {_QUAL.format(x=x)} AS q, {_QUAL.format(x=f"concat('b', {x})")} AS q2,
+             CASE o_orderkey % 6 WHEN 0 THEN concat(substr({b}, 1, 20), 'GGGGGGAGGGGGG') WHEN 1 THEN concat({b}, 'AAAAAAAAATAAAAAAAAA')
+                  WHEN 2 THEN concat(substr({b}, 1, 24), '{ADAPTER}', 'ACGT') WHEN 3 THEN concat({b}, '{ADAPTER[:24]}') ELSE concat({b}, substr({_BASE.format(x=f"concat('c', {x})")}, 1, 8)) END AS seq
+      FROM orders) t
+"""
+
+
+def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for n in names:
+        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+
+
+def derived_reads(spark: SparkSession, sf_dir: str, key: str = "o_orderkey") -> DataFrame:
+    _views(spark, sf_dir, "orders", "customer", "nation", "region")
+    return spark.sql(_reads_sql("string", key))
+
+
+def inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "orders")
+    return spark.sql(_inserts_sql("string"))
+
+
+def dimensions(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, str, str]], list[dict[str, str]]]:
+    """Barcodes from region and nation names, and a sheet without ASIA and every seventh nation."""
+    _views(spark, sf_dir, "nation", "region")
+    rows = spark.sql(f"SELECT n_name, r_name, {_CODE.format(x='n_name')} b, {_CODE.format(x='r_name')} a, n_nationkey k FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY k").collect()
+    barcodes = sorted({("A", r.r_name, r.a) for r in rows}) + [("B", r.n_name, r.b) for r in rows]
+    sheet = [{"Sample": f"{r.r_name}.{r.n_name}", "A": r.r_name, "B": r.n_name} for r in rows if r.k % 7 != 3 and r.r_name != "ASIA"]
+    return barcodes, sheet
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route(derived_reads(spark, sf_dir), LAYOUT, *dimensions(spark, sf_dir))
+
+
+_READS = _reads_sql("varchar")
+_INS = _inserts_sql("varchar")
+_ROUTED = f"""
+r AS ({_READS}),
+a AS (SELECT r_name AS aid, {_CODE.format(x='r_name')} AS aseq FROM region),
+b AS (SELECT n_name AS bid, r_name AS parent, {_CODE.format(x='n_name')} AS bseq FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 3 AND r_name <> 'ASIA'),
+m AS (SELECT r.*, aid, CASE WHEN aid IS NOT NULL THEN hamming(substr(seq1, 1, 10), aseq) END AS amm FROM r LEFT JOIN a ON hamming(substr(seq1, 1, 10), aseq) <= 1),
+x AS (SELECT m.*, bid, CASE WHEN bid IS NOT NULL THEN hamming(substr(seq1, 11, 10), bseq) END AS bmm,
+             CASE WHEN bid IS NOT NULL THEN 'assigned' WHEN aid = 'ASIA' THEN 'unrouted' ELSE 'unmatched' END AS status,
+             CASE WHEN bid IS NOT NULL THEN aid || '.' || bid END AS sample
+      FROM m LEFT JOIN b ON parent = aid AND hamming(substr(seq1, 11, 10), bseq) <= 1)
+"""
+_Q = {}
+_SQL = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _Q[f.__name__.removeprefix("q_")] = f
+        if sql:
+            _SQL[f.__name__.removeprefix("q_")] = sql
+        return f
+
+    return register
+
+
+@_query(f"WITH {_ROUTED} SELECT status, sample, count(*) AS fragments, cast(sum(length(seq1)) AS bigint) AS bases, cast(0 AS bigint) AS short_reads FROM x GROUP BY 1, 2")
+def q_route_counts(spark, sf_dir):
+    return route_counts(routed(spark, sf_dir))
+
+
+@_query(f"WITH {_ROUTED} SELECT read_idx, aid AS A_id, cast(amm AS integer) AS A_mm, bid AS B_id, cast(bmm AS integer) AS B_mm, status FROM x")
+def q_barcode_decode(spark, sf_dir):
+    return routed(spark, sf_dir).select("read_idx", "A_id", "A_mm", "B_id", "B_mm", "status")
+
+
+@_query(f"""WITH {_ROUTED}, c AS (SELECT s.sample, count(x.read_idx) AS fragments, cast(coalesce(sum(length(seq1) - 24), 0) AS bigint) AS bases
+   FROM (SELECT parent || '.' || bid AS sample FROM b) s LEFT JOIN x USING (sample) GROUP BY 1)
+SELECT sample, fragments, bases, round(fragments / (SELECT sum(fragments) FROM c), 8) AS fraction_of_assigned,
+       round(fragments / (SELECT median(fragments) FROM c WHERE fragments > 0), 8) AS fraction_of_median,
+       CASE WHEN fragments = 0 THEN 'MISSING' WHEN fragments < 0.05 * (SELECT median(fragments) FROM c WHERE fragments > 0) THEN 'LOW_REPRESENTATION' ELSE 'OK' END AS status FROM c""")
+def q_sample_metrics(spark, sf_dir):
+    _, sheet = dimensions(spark, sf_dir)
+    counts = routed(spark, sf_dir).where("status = 'assigned'").groupBy("sample").agg(F.count("*").alias("fragments"), F.sum(F.length("seq1") - LAYOUT.prefix(1)).cast("long").alias("bases"))
+    return metrics.sample_metrics(counts, spark.createDataFrame([(r["Sample"],) for r in sheet], "sample string"))
+
+
+_STATS = """
+ count(*) AS reads, cast(sum(length(s)) AS bigint) AS bases, cast(min(length(s)) AS integer) AS min_length, cast(max(length(s)) AS integer) AS max_length,
+ round(sum(length(s)) / count(*), 4) AS mean_length,
+ round(100.0 * sum(length(regexp_replace(s, '[^GC]', '', 'g'))) / sum(length(s)), 4) AS gc_percent,
+ round(100.0 * sum(length(regexp_replace(s, '[^N]', '', 'g'))) / sum(length(s)), 4) AS n_percent,
+ round(sum(list_sum(list_transform(string_split(q, ''), lambda c: ascii(c) - 33))) / sum(length(s)), 4) AS mean_quality,
+ round(100.0 * sum(length(regexp_replace(q, '[^5-I]', '', 'g'))) / sum(length(s)), 4) AS q20_percent,
+ round(100.0 * sum(length(regexp_replace(q, '[^?-I]', '', 'g'))) / sum(length(s)), 4) AS q30_percent"""
+
+
+@_query(f"WITH r AS ({_READS}) SELECT 'R1' AS mate, {_STATS} FROM (SELECT substr(seq1, 25) AS s, substr(qual1, 25) AS q FROM r)")
+def q_fastq_stats(spark, sf_dir):
+    bio = derived_reads(spark, sf_dir).select(F.lit("R1").alias("mate"), F.expr("substr(seq1, 25)").alias("seq"), F.expr("substr(qual1, 25)").alias("qual"))
+    return metrics.fastq_stats(bio, "mate")
+
+
+@_query(f"""WITH r AS ({_READS}) SELECT 1 AS mate, symbol, 1 AS piece, start_cycle, end_cycle, {_STATS} FROM (
+  SELECT 'A' AS symbol, 1 AS start_cycle, 10 AS end_cycle, substr(seq1, 1, 10) AS s, substr(qual1, 1, 10) AS q FROM r UNION ALL
+  SELECT 'B', 11, 20, substr(seq1, 11, 10), substr(qual1, 11, 10) FROM r) GROUP BY ALL""")
+def q_barcode_segment_stats(spark, sf_dir):
+    return metrics.segment_stats(derived_reads(spark, sf_dir), LAYOUT)
+
+
+_CODES = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
+_PROFILE = filters.FilterOptions(min_length=40, max_n=3, qualified_quality=15, max_low_quality_percent=20, min_average_quality=28, length_limit=59, low_complexity_percent=60)
+
+
+def _flags(spark, sf_dir):
+    return filters.flag(inserts(spark, sf_dir).withColumnsRenamed({"seq": "seq1", "qual": "qual1"}), _PROFILE)
+
+
+_FLAGS = f"""i AS ({_INS}), f AS (SELECT read_idx, seq, length(seq) < 40 AS too_short, length(regexp_replace(seq, '[^N]', '', 'g')) > 3 AS too_many_n,
+  len(list_filter({_CODES}, lambda q: q < 15)) * 100 > 20 * length(seq) AS low_quality, list_sum({_CODES}) / length(seq) < 28 AS low_mean_quality, length(seq) > 59 AS too_long,
+  len(list_filter(range(1, length(seq)), lambda j: substr(seq, j, 1) <> substr(seq, j + 1, 1))) * 100 < 60 * (length(seq) - 1) AS low_complexity FROM i)"""
+
+
+@_query(f"""WITH {_FLAGS} SELECT count(*) AS fragments, count(*) FILTER (too_short OR too_many_n OR low_quality OR low_mean_quality OR too_long OR low_complexity) AS rejected_fragments,
+ count(*) FILTER (too_short) AS too_short, count(*) FILTER (too_many_n) AS too_many_n, count(*) FILTER (low_quality) AS low_quality, count(*) FILTER (low_mean_quality) AS low_mean_quality,
+ count(*) FILTER (too_long) AS too_long, count(*) FILTER (low_complexity) AS low_complexity, cast(0 AS bigint) AS duplicate, cast(0 AS bigint) AS index_blacklist FROM f""")
+def q_filter_counts(spark, sf_dir):
+    return filters.rejection_counts(_flags(spark, sf_dir))
+
+
+@_query(f"WITH {_FLAGS} SELECT * EXCLUDE (seq) FROM f")
+def q_filter_reasons(spark, sf_dir):
+    return _flags(spark, sf_dir).select("read_idx", *filters.REASONS[:6])
+
+
+def _clipped(spark, sf_dir, f):
+    df = inserts(spark, sf_dir)
+    s, e = f(F.col("seq"), F.col("qual"), clip.whole(F.col("seq")))
+    return df.select("read_idx", s.cast("int").alias("b_start"), e.cast("int").alias("b_end"), dna.cut(F.col("seq"), s, e).alias("kept"))
+
+
+_WIN = f"""i AS ({_INS}), p AS (SELECT read_idx, seq, length(seq) AS n, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS base, unnest({_CODES}) AS q FROM i),
+w AS (SELECT *, sum(q) OVER (PARTITION BY read_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS total FROM p)"""
+
+
+def _bounds(inner: str) -> str:
+    return f"WITH {_WIN}, {inner} SELECT read_idx, cast(b_start AS integer) AS b_start, cast(b_end AS integer) AS b_end, substr(seq, cast(b_start AS bigint) + 1, cast(b_end - b_start AS bigint)) AS kept FROM c JOIN i USING (read_idx)"
+
+
+@_query(f"WITH i AS ({_INS}) SELECT read_idx, 5 AS b_start, cast(length(seq) - 3 AS integer) AS b_end, substr(seq, 6, length(seq) - 8) AS kept FROM i")
+def q_fixed_clip(spark, sf_dir):
+    return _clipped(spark, sf_dir, lambda s, q, b: clip.fixed(b, 5, 3))
+
+
+@_query(f"WITH i AS ({_INS}) SELECT read_idx, 0 AS b_start, cast(least(length(seq), 36) AS integer) AS b_end, substr(seq, 1, 36) AS kept FROM i")
+def q_max_length(spark, sf_dir):
+    return _clipped(spark, sf_dir, lambda s, q, b: clip.max_length(b, 36))
+
+
+@_query(_bounds("""g AS (SELECT read_idx, max(n) AS n, min(pos) FILTER (pos <= n - 4 AND total >= 4 * 28) AS f FROM w GROUP BY 1),
+ h AS (SELECT read_idx, n, CASE WHEN f IS NULL THEN n WHEN f > 0 THEN least(f + 3, n) ELSE 0 END AS s FROM g),
+ c AS (SELECT h.read_idx, coalesce(min(pos) FILTER (pos >= s AND base <> 'N'), any_value(h.n)) AS b_start, any_value(h.n) AS b_end FROM h JOIN p USING (read_idx) GROUP BY 1)"""))
+def q_cut_front(spark, sf_dir):
+    return _clipped(spark, sf_dir, lambda s, q, b: clip.cut_front(s, q, b, 4, 28))
+
+
+@_query(_bounds("""g AS (SELECT read_idx, max(n) AS n, min(pos) FILTER (pos <= n - 4 AND total < 4 * 20) AS f FROM w GROUP BY 1),
+ c AS (SELECT g.read_idx, 0 AS b_start, CASE WHEN any_value(f) IS NULL THEN any_value(g.n) ELSE coalesce(min(pos) FILTER (pos >= f AND q < 20), any_value(g.n)) END AS b_end FROM g JOIN p USING (read_idx) GROUP BY 1)"""))
+def q_cut_right(spark, sf_dir):
+    return _clipped(spark, sf_dir, lambda s, q, b: clip.cut_right(s, q, b, 4, 20))
+
+
+@_query(_bounds("""g AS (SELECT read_idx, max(n) AS n, max(pos + 4) FILTER (pos <= n - 4 AND total >= 4 * 28) AS f FROM w GROUP BY 1),
+ h AS (SELECT read_idx, CASE WHEN f IS NULL THEN 0 WHEN f < n THEN greatest(f - 3, 0) ELSE f END AS e FROM g),
+ c AS (SELECT h.read_idx, 0 AS b_start, coalesce(max(pos + 1) FILTER (pos < e AND base <> 'N'), 0) AS b_end FROM h JOIN p USING (read_idx) GROUP BY 1)"""))
+def q_cut_tail(spark, sf_dir):
+    return _clipped(spark, sf_dir, lambda s, q, b: clip.cut_tail(s, q, b, 4, 28))
+
+
+_BACK = "k AS (SELECT *, n - 1 - pos AS j, n - pos AS width FROM p)"
+
+
+@_query(_bounds(f"""{_BACK}, v AS (SELECT *, sum(CASE WHEN base <> 'G' THEN 1 ELSE 0 END) OVER (PARTITION BY read_idx ORDER BY j) AS mm FROM k),
+ st AS (SELECT read_idx, any_value(n) AS n, coalesce(min(j) FILTER (mm > 5 OR (mm > width // 8 AND width >= 10)), any_value(n)) AS stop FROM v GROUP BY 1),
+ c AS (SELECT st.read_idx, 0 AS b_start, CASE WHEN any_value(stop) >= 10 THEN coalesce(min(pos) FILTER (base = 'G' AND j < stop), any_value(st.n)) ELSE any_value(st.n) END AS b_end FROM st JOIN k USING (read_idx) GROUP BY 1)"""))
+def q_poly_g(spark, sf_dir):
+    return _clipped(spark, sf_dir, lambda s, q, b: clip.poly_g(s, b, 10))
+
+
+_RUN = ", ".join(f"sum(CASE WHEN base IN ('{x}', 'N') THEN 1 ELSE 0 END) OVER (PARTITION BY read_idx ORDER BY j) AS n{x}" for x in "ATCG")
+
+
+@_query(_bounds(f"""{_BACK}, v AS (SELECT *, {_RUN} FROM k),
+ st AS (SELECT read_idx, any_value(n) AS n, coalesce(min(j) FILTER (width - greatest(nA, nT, nC, nG) > least(5, width // 8) AND width >= 8), any_value(n)) AS stop FROM v GROUP BY 1),
+ ba AS (SELECT st.read_idx, st.n, stop, CASE greatest(nA, nT, nC, nG) WHEN nA THEN 'A' WHEN nT THEN 'T' WHEN nC THEN 'C' ELSE 'G' END AS x FROM st JOIN v ON st.read_idx = v.read_idx AND v.j = stop - 1),
+ c AS (SELECT ba.read_idx, 0 AS b_start, CASE WHEN any_value(stop) >= 10 THEN coalesce(min(pos) FILTER (base = x AND j < stop), any_value(ba.n)) ELSE any_value(ba.n) END AS b_end FROM ba JOIN k USING (read_idx) GROUP BY 1)"""))
+def q_poly_x(spark, sf_dir):
+    return _clipped(spark, sf_dir, lambda s, q, b: clip.poly_x(s, b, 10))
+
+
+@_query(f"""WITH i AS ({_INS}) SELECT read_idx, length(regexp_replace(seq, '[^GC]', '', 'g')) AS gc, length(regexp_replace(seq, '[^N]', '', 'g')) AS n,
+ cast(list_sum({_CODES}) AS bigint) AS quality, reverse(translate(seq, 'ACGT', 'TGCA')) AS revcomp,
+ regexp_replace(split_part(id, ' ', 1), '/1$', '') AS core, replace(split_part(id, ' ', 1), '/', ':') || ' x' AS mgi,
+ regexp_replace(split_part(id, ' ', 1), '/1$', '') || ':U_' || substr(seq, 1, 6) || CASE WHEN read_idx % 2 = 0 THEN '/1' ELSE '' END || ' x' AS umi,
+ '@' || id || chr(10) || seq || chr(10) || '+' || chr(10) || qual || chr(10) AS record, qual AS phred33 FROM i""")
+def q_scalar_functions(spark, sf_dir):
+    s, q, i = F.col("seq"), F.col("qual"), F.col("id")
+    old = "".join(chr(c + 31) for c in range(33, 96))
+    sixty_four = F.translate(q, "".join(map(chr, range(33, 96))), old)
+    return inserts(spark, sf_dir).select(
+        "read_idx", dna.gc_count(s).cast("long").alias("gc"), dna.n_count(s).cast("long").alias("n"), dna.quality_sum(q).cast("long").alias("quality"), dna.revcomp(s).alias("revcomp"),
+        dna.core_read_id(i).alias("core"), dna.fix_mgi_id(i).alias("mgi"), dna.umi_name(i, F.substring(s, 1, 6), "U").alias("umi"), dna.fastq_record(i, s, q).alias("record"), dna.phred64_to_33(sixty_four).alias("phred33"),
+    )
+
+
+_MATES = "r1 AS (SELECT * FROM i WHERE read_idx % 9 <> 4), r2 AS (SELECT * FROM i WHERE read_idx % 7 <> 2)"
+
+
+@_query(f"""WITH i AS ({_INS}), {_MATES} SELECT coalesce(r1.read_idx, r2.read_idx) AS read_idx, CASE WHEN r2.read_idx IS NULL THEN 'orphan_r1' WHEN r1.read_idx IS NULL THEN 'orphan_r2' ELSE 'pair' END AS kind,
+ r1.seq AS seq1, r2.seq AS seq2 FROM r1 FULL JOIN r2 USING (read_idx)""")
+def q_pairing(spark, sf_dir):
+    i = inserts(spark, sf_dir)
+    return pairing.pair(i.where("read_idx % 9 <> 4"), i.where("read_idx % 7 <> 2")).select("read_idx", "kind", "seq1", "seq2")
+
+
+@_query(f"WITH i AS ({_INS}) SELECT read_idx, seq AS seq1, reverse(seq) AS seq2 FROM i")
+def q_interleaved(spark, sf_dir):
+    i = inserts(spark, sf_dir)
+    both = i.select((F.col("read_idx") * 2).alias("read_idx"), "id", "seq", "qual").unionByName(i.select((F.col("read_idx") * 2 + 1).alias("read_idx"), "id", F.reverse("seq").alias("seq"), F.reverse("qual").alias("qual")))
+    return pairing.interleaved(both).where("kind = 'pair'").select("read_idx", "seq1", "seq2")
+
+
+_DUP = f"r AS ({_reads_sql('varchar', 'o_custkey')}), d AS (SELECT *, row_number() OVER (PARTITION BY seq1 ORDER BY read_idx) > 1 AS is_duplicate FROM r)"
+
+
+@_query(f"WITH {_DUP} SELECT read_idx, is_duplicate FROM d")
+def q_dedup(spark, sf_dir):
+    return filters.mark_duplicates(derived_reads(spark, sf_dir, "o_custkey")).select("read_idx", "is_duplicate")
+
+
+@_query(f"WITH {_DUP} SELECT count(*) AS fragments, count(*) FILTER (NOT is_duplicate) AS distinct_fragments, count(*) FILTER (is_duplicate) AS duplicates, round(count(*) FILTER (is_duplicate) / count(*), 8) AS duplication_rate FROM d")
+def q_duplication_rate(spark, sf_dir):
+    return metrics.duplication(derived_reads(spark, sf_dir, "o_custkey"))
+
+
+@_query(f"WITH i AS ({_INS}) SELECT cast(length(seq) AS integer) AS length, count(*) AS reads FROM i GROUP BY 1")
+def q_length_histogram(spark, sf_dir):
+    return metrics.length_histogram(inserts(spark, sf_dir))
+
+
+@_query(f"WITH i AS ({_INS}), q AS (SELECT unnest({_CODES}) AS quality FROM i) SELECT cast(quality AS integer) AS quality, count(*) AS bases FROM q GROUP BY 1")
+def q_quality_histogram(spark, sf_dir):
+    return metrics.quality_histogram(inserts(spark, sf_dir))
+
+
+@_query(f"WITH {_WIN} SELECT cast(pos + 1 AS integer) AS cycle, base, count(*) AS bases, cast(sum(q) AS bigint) AS quality_sum FROM p GROUP BY 1, 2")
+def q_cycle_content(spark, sf_dir):
+    return metrics.cycle_content(inserts(spark, sf_dir))
+
+
+@_query(f"""WITH i AS ({_INS}), k AS (SELECT substr(seq, s, 10) AS sequence FROM (SELECT seq, unnest(range(1, length(seq) - 8)) AS s FROM i))
+SELECT sequence, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, sequence LIMIT 100""")
+def q_overrepresented(spark, sf_dir):
+    return metrics.overrepresented(inserts(spark, sf_dir))
+
+
+@_query(f"WITH r AS ({_READS}), x AS (SELECT min({_CODE.format(x='r_name')}) AS e FROM region) SELECT read_idx, hamming(split_part(split_part(id, ' 1:N:0:', 2), '+', 1), e) <= 1 AS is_blacklisted FROM r, x")
+def q_index_blacklist(spark, sf_dir):
+    barcodes, _ = dimensions(spark, sf_dir)
+    entry = min(s for k, _, s in barcodes if k == "A")
+    return filters.blacklisted(derived_reads(spark, sf_dir).withColumnRenamed("id", "id1"), [entry], 1).select("read_idx", "is_blacklisted")
+
+
+@_query(f"""WITH i AS ({_INS}), s AS (SELECT read_idx, seq, unnest(range(0, greatest(length(seq) - {len(ADAPTER) - 1}, 0))) AS pos FROM i)
+SELECT i.read_idx, cast(min(pos) FILTER (hamming(substr(s.seq, pos + 1, {len(ADAPTER)}), '{ADAPTER}') <= 1 AND substr(s.seq, pos + 1 + {Adapter(ADAPTER).anchor[0]}, {len(Adapter(ADAPTER).anchor[1])}) = '{Adapter(ADAPTER).anchor[1]}' AND substr(s.seq, pos + 1, {len(ADAPTER)}) NOT LIKE '%N%') AS integer) AS full_at
+FROM i LEFT JOIN s USING (read_idx) GROUP BY 1""")
+def q_full_adapter(spark, sf_dir):
+    return inserts(spark, sf_dir).select("read_idx", Adapter(ADAPTER).full(F.col("seq")).alias("full_at"))
+
+
+@_query(f"""WITH i AS ({_INS}), s AS (SELECT read_idx, seq, unnest(range(20, {len(ADAPTER)})) AS n FROM i)
+SELECT i.read_idx, cast(max(length(s.seq) - n) FILTER (length(s.seq) >= n AND n = best) AS integer) AS partial_at FROM i LEFT JOIN
+ (SELECT *, max(n) FILTER (suffix(seq, substr('{ADAPTER}', 1, cast(n AS integer)))) OVER (PARTITION BY read_idx) AS best FROM s) s USING (read_idx) GROUP BY 1""")
+def q_partial_adapter(spark, sf_dir):
+    return inserts(spark, sf_dir).select("read_idx", Adapter(ADAPTER, min_partial=20).partial(F.col("seq")).alias("partial_at"))
+
+
+@_query(f"WITH {_ROUTED} SELECT read_idx, sample, (row_number() OVER (PARTITION BY sample ORDER BY read_idx) - 1) // 250 AS part FROM x WHERE sample IS NOT NULL")
+def q_split_parts(spark, sf_dir):
+    return metrics.split_parts(routed(spark, sf_dir).where("sample is not null"), 250, "sample").select("read_idx", "sample", "part")
+
+
+@_query(f"SELECT x.n_name AS a, y.n_name AS b, cast(hamming({_CODE.format(x='x.n_name')}, {_CODE.format(x='y.n_name')}) AS integer) AS distance FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")
+def q_sibling_distance(spark, sf_dir):
+    _views(spark, sf_dir, "nation")
+    n = spark.sql(f"SELECT n_name, n_regionkey AS parent, n_nationkey AS k, {_CODE.format(x='n_name')} AS code FROM nation")
+    y = n.select("parent", *(F.col(c).alias(f"{c}2") for c in ("n_name", "k", "code")))
+    return n.join(y, "parent").where("k < k2").select(F.col("n_name").alias("a"), F.col("n_name2").alias("b"), dna.hamming(F.col("code"), F.col("code2")).alias("distance"))
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Pairs from inserts of 40 bases without N: R1 its first 36, R2 from the other end."""
+    x = inserts(spark, sf_dir).where("length(seq) >= 40").withColumn("s", F.translate(F.substring("seq", 1, 40), "N", "A"))
+    return x.select("read_idx", F.col("id").alias("id1"), F.substring("s", 1, 36).alias("seq1"), F.substring("qual", 1, 36).alias("qual1"), F.col("id").alias("id2"), dna.revcomp(F.expr("substr(s, 5)")).alias("seq2"), F.reverse(F.substring("qual", 1, 36)).alias("qual2"))
+
+
+@_query()
+def q_mate_overlap(spark, sf_dir):
+    return pair_features(_pairs(spark, sf_dir), correct=True, merge=True).select("read_idx", "overlap_status", "insert_length", "overlap_mismatches", "corrected", "merged_seq")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
