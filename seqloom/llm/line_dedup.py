@@ -16,14 +16,16 @@ def mask(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, line_no, line (masked), context, for lines that are not blank."""
+    """doc_id, doc, line_no, line (masked), context (the lines around it), for lines of which more
+    than half the tokens hold no decimal."""
     masked = F.transform(F.split("text", "\n"), mask)
-    with_masks = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), masked.alias("m"))
-    hashes = F.transform("m", lambda x: F.xxhash64(x))
-    rows = with_masks.select("doc_id", "doc", "m", hashes.alias("h")).select(
+    hashes = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
+    with_masks = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), masked.alias("m"), hashes.alias("h"))
+    rows = with_masks.select(
         "doc_id", "doc", F.posexplode(F.transform("m", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.when(i > 0, F.get("h", i - 1)), F.get("h", i + 1)).alias("context")))).alias("line_no", "r")
     )
-    return rows.select("doc_id", "doc", "line_no", "r.line", "r.context").where("line <> ''")
+    tokens, fields = F.size(F.split("line", " ")), F.regexp_count("line", F.lit("<\\*>"))
+    return rows.select("doc_id", "doc", "line_no", "r.line", "r.context").where("line <> ''").where(2 * fields < tokens)
 
 
 def _leaf(depth: int) -> list[Column]:
@@ -76,7 +78,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """docs with its columns, text without the lines of recurring templates, and n_dropped.
 
-    Lines are split at \\n; a kept line stays as it is.  Null text stays null; blank lines stay; a text
+    Lines are split at \\n; a kept line stays as it is.  Lines made of numbers mostly are no templates.  Null text stays null; blank lines stay; a text
     may become empty, but no row goes.  Null doc_ids come after all others; repeated rows lose the
     same lines; columns named n_dropped are replaced; an empty table gives no rows.
     """
