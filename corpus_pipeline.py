@@ -9,14 +9,15 @@ from seqloom.llm.line_dedup import drop_recurring_lines
 from seqloom.llm.mixing import mix_sources
 from seqloom.llm.near_dedup import near_duplicates
 from seqloom.llm.quality import learn_rules, quality_filter
-from seqloom.llm.shared import keep, table
+from seqloom.llm.shared import keep, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in kept (a small column of ids beside the texts)."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    """Rows of docs whose doc_id is in kept (a table): texts stay where they are while its ids are few
+    enough to send, and meet them by a shuffle beyond that."""
+    return docs.join(small(kept), "doc_id", "left_semi").select(COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    found = keep(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.join(small(found), "doc_id", "left_anti").select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
