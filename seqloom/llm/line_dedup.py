@@ -12,8 +12,8 @@ DEPTH, MIN_DOCS, CONSTANT = 3, 8, 0.6
 
 def mask(line: Column) -> Column:
     """A line with every field that holds a decimal as <*> and single spaces between its tokens."""
-    field = r"(?<![^ \t-\r])[^ \t-\r0-9]*+[0-9][^ \t-\r]*+"  # from a token's start, without going back
-    return F.trim(F.regexp_replace(F.regexp_replace(line, field, "<*>"), "[ \t-\r]+", " "))
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t-\r]*[0-9][^ \t-\r]*", "<*>")).otherwise(line)
+    return F.trim(F.when(masked.rlike("[\t-\r]|  "), F.regexp_replace(masked, "[ \t-\r]+", " ")).otherwise(masked))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
