@@ -62,8 +62,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 def changes(seq: Column) -> Column:
     """Adjacent pairs of different bases."""
-    x = letters(F.upper(seq))
-    return F.size(F.filter(x, lambda c, i: (i > 0) & (c != F.get(x, i - 1))))
+    n = F.length(seq)
+    return hamming(F.substring(seq, F.lit(1), F.greatest(n - 1, F.lit(0))), F.substring(seq, F.lit(2), n))
 
 
 def is_low_complexity(seq: Column, percent: float = 30) -> Column:
