@@ -268,6 +268,54 @@ def test_byte_model_sums_to_one_and_scores(spark, docs, none):
     assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * (257 - m.n), 1, atol=1e-4)
 
 
+def brute_ppm(train, texts):
+    """log10 probability of each text after four bytes at most, by the contract's words."""
+    counts = {}
+    for t in train:
+        b = [256] * 4 + list(t.encode())
+        for i in range(4, len(b)):
+            for k in range(5):
+                counts.setdefault(tuple(b[i - k : i]), Counter())[b[i]] += 1
+
+    def p(context, s, without):
+        c = {x: n for x, n in counts.get(context, {}).items() if x not in without}
+        own = set(counts.get(context, {}))
+        if not context:
+            if without and not c:
+                return 1 / (256 - len(own))
+            total, kinds = sum(c.values()), len(c) if len(own) < 256 else 0
+            return c[s] / (total + kinds) if s in c else kinds / (total + kinds) / (256 - len(own))
+        if not c:
+            return p(context[1:], s, own)
+        total, kinds = sum(c.values()), len(c)
+        return c[s] / (total + kinds) if s in c else kinds / (total + kinds) * p(context[1:], s, own)
+
+    out = []
+    for t in texts:
+        b, score = [256] * 4 + list(t.encode()), 0.0
+        for i in range(4, len(b)):
+            k = next(k for k in range(4, -1, -1) if not k or tuple(b[i - k : i]) in counts)
+            score += math.log10(p(tuple(b[i - k : i]), b[i], set()))
+        out.append(score)
+    return out
+
+
+def test_byte_model_keeps_every_context(spark):
+    import zlib
+
+    texts = [prose(60 + i, 30, 60 + 20 * i) for i in range(30)] + ["", "~ Rare: {x} =~ y\n" * 3, "\x01\x02 new bytes \x03w1 w2\x01w3"]
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    held = [i for i in range(900) if not zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    other = [t[7:] + "w9 \x04\x05 Rarer {z} \xe9" for t in texts]
+    rows = list(zip(ids, texts[:-1])) + list(zip(held, other + texts[-1:]))
+    want = dict(zip([i for i, _ in rows], brute_ppm([t for i, t in rows if i in ids], [t for _, t in rows])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for nodes, grams in ((20_000, 1_000_000), (40, 1_000_000), (40, 300), (0, 0)):
+        got = {r.doc_id: r.score for r in lm_score.lm_scores(table, 300_000, nodes, grams).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-5, abs_tol=1e-9) for i in want)
+
+
 def test_contamination(spark, docs, none):
     item = prose(21, 40, 9000).split()
     swapped = list(item)
