@@ -17,16 +17,13 @@ def mask(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, line_no, line (masked), context (the lines around it), for lines of which more
+    """doc_id, doc, copy (a key of the whole text), line_no, line (masked), for lines of which more
     than half the tokens hold no decimal."""
-    masked = F.transform(F.split("text", "\n"), mask)
-    hashes = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
-    with_masks = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), masked.alias("m"), hashes.alias("h"))
-    rows = with_masks.select(
-        "doc_id", "doc", F.posexplode(F.transform("m", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.when(i > 0, F.get("h", i - 1)), F.get("h", i + 1)).alias("context")))).alias("line_no", "r")
-    )
+    # exploded as an expression: of a column, Spark infers a filter that would mask all lines once more
+    masked = F.posexplode(F.transform(F.split("text", "\n"), mask))
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text").alias("copy"), masked.alias("line_no", "line"))
     tokens, fields = F.size(F.split("line", " ")), F.regexp_count("line", F.lit("<\\*>"))
-    return rows.select("doc_id", "doc", "line_no", "r.line", "r.context").where("line <> ''").where(2 * fields < tokens)
+    return rows.where("line <> ''").where(2 * fields < tokens)
 
 
 def _leaf(depth: int) -> list[Column]:
@@ -58,20 +55,19 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     """doc_id, doc, n_lines, dropped: documents (doc is a key of id and text) with lines to drop,
     as sorted line numbers.
 
-    A template recurs if it stands in at least min_docs documents between different lines: the
-    lines of whole copies, which always have the same neighbours, are left to document dedup.
+    A template recurs if it stands in at least min_docs documents of different texts, whatever its
+    neighbours are: whole copies, by a hash of the text, count as one and are left to document dedup.
     The document that comes first (by doc_id) keeps its lines, so no line is lost altogether.
     """
-    rows = keep(_lines(docs).select("doc_id", "doc", "line_no", "context", *_leaf(depth)))
+    rows = keep(_lines(docs).select("doc_id", "doc", "copy", "line_no", *_leaf(depth)))
     templates = keep(_templates(rows, docs, depth, min_docs, constant))
-    named = rows.join(small(templates), "form", "left").select("doc_id", "doc", "line_no", "context", F.coalesce("template", "form").alias("template"))
+    named = rows.join(small(templates), "form", "left").select("doc_id", "doc", "copy", "line_no", F.coalesce("template", "form").alias("template"))
     often = named.groupBy("template").agg(F.count("*").alias("k"), F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     often = keep(often.where(f"k >= {min_docs} and d1 <> d2").select("template"))
     named = keep(named.join(small(often), "template", "left_semi"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")).alias("first")
-    places = named.groupBy("template", "context").agg(first)
-    owners = places.groupBy("template", F.col("first.doc").alias("doc")).agg(F.min("first").alias("first"))
-    recurring = keep(owners.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(f"n >= {min_docs}").select("template", F.col("first.doc").alias("owner")))
+    copies = named.groupBy("template", "copy").agg(first)
+    recurring = keep(copies.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(f"n >= {min_docs}").select("template", F.col("first.doc").alias("owner")))
     gone = named.join(small(recurring), "template").where("doc <> owner")
     return keep(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
 

@@ -169,6 +169,22 @@ def test_line_dedup_drops_boilerplate_and_keeps_copies(spark, docs, none):
     assert drop_recurring_lines(docs).count() == docs.count() and drop_recurring_lines(none).count() == 0
 
 
+def test_line_dedup_drops_lines_with_constant_neighbours(spark):
+    """A shared block of three lines, a header at the text's start and a line between blank ones."""
+    block = ["Licensed under the terms below", "No warranty of any kind is given", "See the file of licences here"]
+    header = ["Welcome to our small site", "Home News About Contact us"]
+    blank = ["", "Subscribe to our weekly letter", ""]
+    rows = [(i, "\n".join([*header, prose(400 + i, 9), *block, prose(500 + i, 9), *blank, prose(600 + i, 9)])) for i in range(10)]
+    copy = "\n".join(prose(700 + i, 8) for i in range(5))
+    rows += [(50 + i, copy) for i in range(12)] + [(70 + i, f"{prose(800 + i, 6)}\nToo few texts have this one\n{prose(900 + i, 6)}") for i in range(7)]
+    got = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert got[0].text == texts[0]
+    for i in range(1, 10):
+        assert got[i].text == "\n".join([prose(400 + i, 9), prose(500 + i, 9), "", "", prose(600 + i, 9)]) and got[i].n_dropped == 6
+    assert all(got[i].text == texts[i] for i in texts if i >= 50)
+
+
 def test_compact_windows_equal_brute_force():
     r = np.random.default_rng(1)
     for _ in range(30):
