@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import words as W
 from seqloom.llm.components import components
-from seqloom.llm.shared import keep, small
+from seqloom.llm.shared import among, keep, only_kept, row_key, small
 
+#: Bands of minima that every document has, and those of the second family, for the nodes of open buckets.
 BANDS, ROWS = 32, 5
-_BITS = 128  # minima of which one bit each is kept beside the signature
+LONG_BANDS, LONG_ROWS = 120, 12
+#: Minima of the second family of which one bit each is kept, 64 to a column; the bands' are among them.
+SKETCH = 4096
 
 
-def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
+def _family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
@@ -28,55 +33,57 @@ def _sets(column: pa.Array, k: int):
         yield i, j, np.concatenate(own), np.array([len(x) for x in own])
 
 
-def _node(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One hash for each set that is not empty."""
-    full = sizes[sizes > 0]
-    at = np.concatenate([[0], np.cumsum(full)[:-1]])
-    odd = W.mix(flat ^ np.uint64(0xA24BAED4963EE407)) * np.uint64(0x9FB21C651E98DF25)
-    return W.mix(np.add.reduceat(odd, at) ^ (full.astype(np.uint64) << np.uint64(40))).view(np.int64) if len(full) else np.empty(0, np.int64)
+def _minima(flat: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row for each hash function: its minima over the sets that begin at `at`."""
+    x = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
+    low, y = np.empty((len(a), len(at)), np.uint32), np.empty_like(x)
+    for h in range(len(a)):
+        np.multiply(x, a[h], out=y)
+        np.add(y, b[h], out=y)
+        low[h] = np.minimum.reduceat(y, at)
+    return low
+
+
+def _band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.empty((low.shape[1], bands), np.int64)
+    for g in range(bands):
+        key = np.full(low.shape[1], np.uint64(g + 1))
+        for r in range(rows):
+            key = W.mix(key ^ low[g * rows + r].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, g] = W.mix(key).view(np.int64)
+    return keys
+
+
+def _digests(flat: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """A 128-bit cryptographic digest of each whole sorted set; None for empty ones."""
+    ends = np.cumsum(sizes)
+    return [blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends, sizes)]
 
 
 def _features(k: int, bands: int, rows: int):
-    a, b = _family(bands * rows)
+    a, b = _family(bands * rows, 7)
 
     def run(batches):
         for batch in batches:
             for i, j, flat, sizes in _sets(batch.column("text"), k):
                 full = np.flatnonzero(sizes)
-                node, sig, keys = np.zeros(j - i, np.int64), [b""] * (j - i), np.empty((len(full), bands), np.int64)
-                bits = np.zeros((j - i, _BITS // 8), np.uint8)
+                sig, keys = [b""] * (j - i), np.empty((0, bands), np.int64)
                 if len(full):
-                    node[full] = _node(flat, sizes)
-                    at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                    x = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
-                    low = np.empty((bands * rows, len(full)), np.uint32)
-                    y = np.empty_like(x)
-                    for h in range(bands * rows):
-                        np.multiply(x, a[h], out=y)
-                        np.add(y, b[h], out=y)
-                        low[h] = np.minimum.reduceat(y, at)
-                    for g in range(bands):
-                        key = np.full(len(full), np.uint64(g + 1))
-                        for r in range(rows):
-                            key = W.mix(key ^ low[g * rows + r].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                        keys[:, g] = W.mix(key).view(np.int64)
+                    low = _minima(flat, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), a, b)
+                    keys = _band_keys(low, bands, rows)
                     tops = np.ascontiguousarray((low >> np.uint32(24)).astype(np.uint8).T)
                     tops ^= np.ascontiguousarray((low & np.uint32(255)).astype(np.uint8).T)
                     for n, d in enumerate(full):
                         sig[d] = tops[n].tobytes()
-                    ones = (low[:_BITS] >> np.uint32(16)).astype(np.uint8) & 1
-                    bits[full, : len(ones) // 8] = np.packbits(ones[: len(ones) // 8 * 8], axis=0).T
-                none = sizes == 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(i, j - i),
+                        *(batch.column(c).slice(i, j - i) for c in ("doc_id", "k1", "k2")),
                         pa.array(sizes.astype(np.int64)),
-                        pa.array(node, mask=none),
-                        W.list_array(pa.array(keys.ravel()), np.where(none, 0, bands)),
+                        pa.array(_digests(flat, sizes), pa.binary()),
+                        W.list_array(pa.array(keys.ravel()), np.where(sizes == 0, 0, bands)),
                         pa.array(sig, pa.binary()),
-                        *(pa.array(c) for c in bits.view(np.int64).T),
                     ],
-                    names=["doc_id", "n_shingles", "node", "bands", "sig", "s1", "s2"],
+                    names=["doc_id", "k1", "k2", "n_shingles", "digest", "bands", "sig"],
                 )
 
     return run
@@ -87,10 +94,36 @@ def _full_sets(k: int):
         for batch in batches:
             for i, j, flat, sizes in _sets(batch.column("text"), k):
                 ends = np.cumsum(sizes)
-                kept = np.flatnonzero(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_node(flat, sizes)), pa.array([flat[ends[d] - sizes[d] : ends[d]].tobytes() for d in kept], pa.binary())], names=["node", "shingles"]
-                )
+                sets = [flat[e - n : e].tobytes() if n else None for e, n in zip(ends, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(flat, sizes), pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+
+    return run
+
+
+def _long_bands(bands: int, rows: int, sketch: int):
+    """Keys of long bands, and one bit each of the first minima, of full sets."""
+    a, b = _family(max(bands * rows, sketch), 11)
+
+    def block(nodes: list[int], sets: list[np.ndarray]):
+        at = np.cumsum([0] + [len(x) for x in sets[:-1]])
+        low = _minima(np.concatenate(sets), at, a, b)
+        bits = np.ascontiguousarray(np.packbits((low[:sketch] >> np.uint32(16)).astype(np.uint8).T & 1, axis=1)).view(np.int64)
+        keys = _band_keys(low[: bands * rows], bands, rows)
+        lists = (W.list_array(pa.array(x.ravel()), np.full(len(nodes), x.shape[1])) for x in (keys, bits))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), *lists], names=["node", "bands", "bits"])
+
+    def run(batches):
+        for batch in batches:
+            nodes, sets, held = [], [], 0
+            for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+                nodes.append(node)
+                sets.append(np.frombuffer(x.as_buffer(), np.uint64))
+                held += len(sets[-1])
+                if held > W.BLOCK or len(nodes) == 512:
+                    yield block(nodes, sets)
+                    nodes, sets, held = [], [], 0
+            if nodes:
+                yield block(nodes, sets)
 
     return run
 
@@ -127,8 +160,9 @@ def _confirm(percent: int):
 
 def _sets_of(used: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """node, shingles for the nodes in used (node), made again from one text of each."""
-    ids = keep(used.join(nodes.select("node", F.col("rep").alias("doc_id")), "node").select("doc_id").distinct())
-    return keep(texts.join(small(ids), "doc_id", "left_semi").select("text").mapInArrow(_full_sets(k), "node long, shingles binary").dropDuplicates(["node"]))
+    wanted = keep(used.join(nodes.select("node", "digest", "k1", "k2"), "node"))
+    sets = among(texts, keep(wanted.select("k1", "k2").distinct()), ["k1", "k2"]).select("text").mapInArrow(_full_sets(k), "digest binary, shingles binary")
+    return keep(sets.join(small(wanted.select("node", "digest")), "digest").select("node", "shingles").dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -142,45 +176,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perc
     return keep(near.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
 
 
-def _flat(batches):
-    for batch in batches:
-        for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles")):
-            s = np.frombuffer(x.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], names=["node", "shingle"])
-
-
-def _prefix_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): every pair of nodes of different components (key, node, c) that may be alike.
-
-    With shingles put in one order, rarest first, two sets whose first common shingle has p and q
-    others before it share no more than min(n - p, n' - q).  Only shingles with few before them can
-    be such a first one, and pairs meet there only if that bound reaches the threshold and one
-    bit of each of 128 minima differs no more often than it would at the threshold.  Of a
-    shingle's nodes, those of its most frequent component are not compared with each other.
-    """
-    used = keep(open_.select("node", "c").distinct())
-    flat = keep(_sets_of(used.select("node"), nodes, texts, k).mapInArrow(_flat, "node long, shingle long"))
-    df = flat.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("node"))
-    own = df.where("df = 1").groupBy("node").agg(F.count("*").alias("u"))
-    sized = used.join(nodes.select("node", F.col("n_shingles").alias("n")), "node").join(own, "node", "left")
-    able = keep(sized.where(f"100 * (n - coalesce(u, 0)) >= {percent} * n").select("node", "c", "n"))
-    counted = flat.join(able, "node").join(df.where("df > 1").select("shingle", "df"), "shingle")
-    alone = flat.join(able, "node").groupBy("node").agg(F.count("*").alias("all"))
-    first = Window.partitionBy("node").orderBy("df", "shingle")
-    ranked = counted.withColumn("r", F.row_number().over(first)).withColumn("common", F.count("*").over(Window.partitionBy("node")))
-    placed = ranked.join(alone, "node").select("shingle", "node", "c", "n", (F.col("all") - F.col("common") + F.col("r") - 1).alias("before"))
-    short = keep(placed.where(f"100 * (n - before) >= {percent} * n"))
-    most = short.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    met = short.join(most, "shingle").select("shingle", "node", "c", "n", "before", F.col("top.c").alias("most"))
-    met = keep(met.join(nodes.select("node", "s1", "s2"), "node"))
-    x, y = (met.select("shingle", *(F.col(v).alias(f"{v}_{e}") for v in ("node", "c", "n", "before", "most", "s1", "s2"))) for e in "xy")
-    off = (1 - percent / 100) / 2  # of the bits of two sets at the threshold, and five deviations
-    differ = int(_BITS * off + 5 * (_BITS * off * (1 - off)) ** 0.5)
-    bound = "least(n_x - before_x, n_y - before_y)"
-    able_pair = f"c_x <> c_y and (c_y = most_y or node_x < node_y) and 100 * {bound} >= {percent} * (n_x + n_y - {bound})"
-    able_pair += f" and bit_count(s1_x ^ s1_y) + bit_count(s2_x ^ s2_y) <= {differ}"
-    pairs = x.where("c_x <> most_x").join(y, "shingle").where(able_pair)
-    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each node of a bucket (key, node, n) with the bucket's hub, the node that meets most others
+    in all its buckets: what the others are copies of, if anything is."""
+    meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    hubs = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("hub"))
+    pairs = members.join(hubs, "key").where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -194,44 +196,78 @@ def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
     return _mixed(members.where("n > 2").select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
 
 
+def _long_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): nodes of different components (key, node, c) that share a long band and may be alike.
+
+    Twelve minima agree for few pairs under the threshold, so a bucket holds a small part of a loose
+    group.  Of these, pairs go whose sizes, or whose bits of 4,096 minima, differ more often
+    than those of sets at the threshold do, with four deviations to spare.
+    """
+    used = keep(open_.select("node", "c").distinct())
+    made = keep(_sets_of(used.select("node"), nodes, texts, k).mapInArrow(_long_bands(LONG_BANDS, LONG_ROWS, SKETCH), "node long, bands array<long>, bits array<long>"))
+    flat = made.select("node", F.explode("bands").alias("key")).join(used, "node")
+    sketches = made.join(nodes.select("node", "n_shingles"), "node").select("node", F.col("n_shingles").alias("n"), *(F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH // 64)))
+    met = keep(_mixed(flat).join(sketches, "node"))
+    x, y = (met.select("key", *(F.col(v).alias(f"{v}_{e}") for v in met.columns if v != "key")) for e in "xy")
+    off = (1 - percent / 100) / 2  # of the bits of two sets at the threshold
+    differ = int(SKETCH * off + 4 * (SKETCH * off * (1 - off)) ** 0.5)
+    counted = " + ".join(f"bit_count(s{i}_x ^ s{i}_y)" for i in range(SKETCH // 64))
+    alike = f"node_x < node_y and c_x <> c_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and {counted} <= {differ}"
+    return x.join(y, "key").where(alike).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, k1, k2, n_shingles, group, component_id for every row of docs; see near_duplicates.
+
+    k1 and k2 are the key of a row's doc_id and text, group names its component even where rows of
+    other components have the same doc_id; group and component_id are null where the set is
+    empty or doc_id null."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", *row_key())
+    with only_kept(docs.sparkSession) as stay:
+        rows_ = stay(texts.mapInArrow(_features(k, bands, rows), "doc_id long, k1 long, k2 long, n_shingles long, digest binary, bands array<long>, sig binary"))
+        known = rows_.where("digest is not null and doc_id is not null")
+        first = F.min(F.struct("doc_id", "k1", "k2")).alias("first")
+        grouped = known.groupBy("digest").agg(first, *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")))
+        nodes = keep(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.doc_id").alias("rep"), "first.k1", "first.k2", "n_shingles", "bands", "sig"))
+        flat = nodes.select(F.explode("bands").alias("key"), "node")
+        members = keep(flat.join(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        pairs = keep(_hub_pairs(members))
+        links = _verified(pairs, nodes, texts, k, percent)
+        groups = components(links)
+        open_ = keep(_open(members, groups))
+        if open_.head(1):
+            more = keep(_long_pairs(open_, nodes, texts, k, percent))
+            if more.head(1):
+                groups = components(keep(links.unionByName(_verified(more, nodes, texts, k, percent))))
+        least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+        linked = groups.join(least, "component")
+        names = nodes.select("node", "digest", "rep").join(linked, "node", "left")
+        of = stay(names.select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "rep").alias("component_id")))
+    out = rows_.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return out.join(small(of), "digest", "left").drop("digest")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     Texts are lower-cased (A-Z) and split into words; a document's set holds its distinct k-word
-    shingles.  Documents are linked where 100 * intersection >= percent * union, and
-    component_id is the smallest doc_id that links reach.
+    shingles, as 64-bit hashes.  Documents are linked where 100 * intersection >= percent * union,
+    and component_id is the smallest doc_id that links reach.
 
-    Sets that are equal become one node first, through a partial aggregate on a hash of the whole
-    set, so copies never meet in a bucket.  A bucket's nodes are compared with its smallest node.
-    Where it then holds more than one component, the nodes of all such buckets are joined on their
-    rarest shingles, leaving out pairs that a bound on the common ones rules out or components
-    join already: exact, and without all pairs of a large group.  A candidate passes size,
-    signature and full-set tests.  With 32 bands of 5 minima a pair at exactly 0.8 is missed with
-    a chance of 3 in a million.
+    Sets that are equal become one node first, by a 128-bit cryptographic digest of the whole set, so
+    copies never meet in a bucket.  A bucket's nodes are compared with the one that meets most others.  Where
+    it then holds more than one component, the nodes of all such buckets get a second family of
+    minima in longer bands, in which those of different components meet.  Candidates pass size,
+    signature and full-set tests.  For a pair at exactly 0.8 the 32 bands of 5 are missed with
+    a chance of 3 in a million, the 120 bands of 12 with 2 in 10,000, and bits fail it with 1 in
+    30,000; more similar pairs are missed far less often.
 
     Null or wordless text: an empty set, linked with nothing, kept.  Null doc_id: component null,
-    kept, linked with nothing.  Rows repeated under one doc_id each get their row; copies under
-    one doc_id have the same component.  Other columns are ignored; an empty table gives no rows.
+    kept, linked with nothing.  doc_id is cast to long (a text that is no number: null).  Rows
+    repeated under one doc_id each get their row; copies under one doc_id have the same
+    component.  Very long texts are cut into words as a whole, their set in one task's memory (8
+    bytes a word).  Other columns are ignored; an empty table gives no rows.
     """
-    texts = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, node long, bands array<long>, sig binary, s1 long, s2 long"
-    rows_ = keep(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(k, bands, rows), schema))
-    known = rows_.where("node is not null and doc_id is not null")
-    nodes = keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
-    flat = nodes.select(F.explode("bands").alias("key"), "node")
-    hubs = flat.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = keep(flat.join(hubs, "key"))
-    pairs = keep(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(pairs, nodes, texts, k, percent)
-    groups = components(links)
-    open_ = keep(_open(members, groups))
-    if open_.head(1):
-        more = keep(_prefix_pairs(open_, nodes, texts, k, percent))
-        if more.head(1):
-            groups = components(keep(links.unionByName(_verified(more, nodes, texts, k, percent))))
-    least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    names = groups.join(least, "component").select("node", "component_id")
-    of = nodes.select("node", "rep").join(names, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows_.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(of, "node", "left")
+    out = near_groups(docs, k, percent, bands, rows)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -12,16 +12,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
+W_SEED = np.uint64(0xD6E8FEB86659FD93)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_RAW = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-_LOWER = _RAW.copy()
-_LOWER[65:91] = _RAW[97:123]
-_powers: list[np.ndarray] = []
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LONG = 64  # words of more bytes are hashed one by one
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)  # the first n of 8 bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,17 +32,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[:] = []
-        for b in (_BASE, inverse):
-            p = np.full(size, np.uint64(b), np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all of them at a time: every step is a bijection of the
+    hash for given bytes, and words of up to eight bytes never collide with others of their length."""
+    size = ends - starts
+    out = W_SEED ^ (size.astype(np.uint64) * _ODD)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # data has eight bytes to spare
+    at = np.flatnonzero(size <= _LONG)
+    s, n = starts[at], size[at]
+    while len(at):
+        out[at] = mix(out[at] ^ (eight[s] & _KEEP[np.minimum(n, 8)])) * _ODD
+        go = n > 8
+        at, s, n = at[go], s[go] + 8, n[go] - 8
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed=int(size[i]))
+    return mix(out)
 
 
 @dataclass
@@ -85,16 +90,9 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
     edges = offs[1:-1]
     after[edges[edges > 0] - 1] = True
     ends = np.flatnonzero(~sep & after) + 1
-    lut, hashes, k = _LOWER if lower else _RAW, np.empty(len(starts), np.uint64), 0
-    while k < len(starts):  # blocks that end at a word's end
-        m = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK, "right")))
-        a, b = starts[k], ends[m - 1]
-        p, q = _pow(int(b - a) + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(lut[data[a:b]] * p[: b - a], out=sums[1:])
-        s, e = starts[k:m] - a, ends[k:m] - a
-        hashes[k:m] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64) * _ODD)
-        k = m
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[data] if lower else data
+    hashes = _word_hashes(padded, starts, ends)
     return Words(hashes, starts, ends, np.searchsorted(starts, offs))
 
 
