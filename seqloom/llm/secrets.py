@@ -19,7 +19,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "sshkey"]
 _NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z0-9-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 
 
@@ -56,16 +57,23 @@ def der_items(data: bytes) -> list[tuple[int, bytes]]:
 
 
 def is_private_der(data: bytes) -> bool:
-    """A sequence that begins with a version number and holds key material: PKCS#1, SEC1 or PKCS#8."""
+    """A sequence that holds key material: RSA or DSA integers, SEC1, PKCS#8, or PKCS#8 encrypted."""
     top = der_items(data)
     if len(top) != 1 or top[0][0] != 0x30:
         return False
     inner = der_items(top[0][1])
-    if len(inner) < 2 or inner[0][0] != 0x02 or len(inner[0][1]) != 1:
-        return False
     tags = [t for t, _ in inner]
-    integers = len(tags) >= 9 and set(tags[:9]) == {0x02}
-    wrapped = tags[1] == 0x30 and 0x04 in tags[2:] and bool(der_items(inner[1][1])) and der_items(inner[1][1])[0][0] == 0x06
+
+    def named(i: int) -> bool:
+        first = der_items(inner[i][1])
+        return bool(first) and first[0][0] == 0x06
+
+    if tags == [0x30, 0x04]:  # an algorithm's name and the encrypted key
+        return named(0) and len(inner[1][1]) >= 16
+    if len(inner) < 2 or tags[0] != 0x02 or len(inner[0][1]) != 1:
+        return False
+    integers = set(tags[:9]) == {0x02} and (len(tags) >= 9 or len(tags) == 6 and inner[0][1] == b"\0" and len(inner[1][1]) >= 32)
+    wrapped = tags[1] == 0x30 and 0x04 in tags[2:] and named(1)
     return integers or wrapped or (tags[1] == 0x04 and len(inner[1][1]) >= 16)
 
 
@@ -87,11 +95,14 @@ def is_jwt(token: str) -> bool:
     """Header and claims decode to JSON objects and the header names an algorithm."""
     try:
         head, claims = (json.loads(decode64(x)) for x in token.split(".")[:2])
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(claims, dict)
 
 
+_KEYS = (("der", is_private_der), ("sshkey", is_ssh_key))
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every finding, by start, then kind as listed, then end; code points."""
     found = []
@@ -99,24 +110,24 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    for m in HEX.finditer(text):
-        found.append((m.start(), m.end(), "hex"))
-        if len(m[0]) % 2 == 0 and len(m[0]) >= 64:
+    found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    for m in _ANY_HEX.finditer(text):
+        if len(m[0]) % 2 == 0:
             raw = bytes.fromhex(m[0])
-            found += [(m.start(), m.end(), kind) for kind, test in (("der", is_private_der), ("sshkey", is_ssh_key)) if test(raw)]
+            found += [(m.start(), m.end(), kind) for kind, test in _KEYS if test(raw)]
     if "ey" in text:
         found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[0])]
     pems = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            raw = decode64("".join(m[2].split()))
-            if is_private_der(raw) or is_ssh_key(raw):
+            raw = decode64("".join(m[3].split()))
+            if is_private_der(raw) or is_ssh_key(raw) or "Proc-Type: 4,ENCRYPTED" in m[2] and len(raw) >= 32:
                 pems.append((m.start(), m.end()))
         found += [(*p, "pem") for p in pems]
     for m in _BASE64.finditer(text):
         raw = decode64(m[0])
         inside = any(a <= m.start() < b for a, b in pems)
-        found += [(m.start(), m.end(), kind) for kind, test in (("der", is_private_der), ("sshkey", is_ssh_key)) if raw and not inside and not HEX.fullmatch(m[0]) and test(raw)]
+        found += [(m.start(), m.end(), kind) for kind, test in _KEYS if raw and not inside and not _ANY_HEX.fullmatch(m[0]) and test(raw)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -137,8 +148,10 @@ def _rows(batches):
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for every row of docs (doc_id, text).
 
-    Candidates in base64 or hex are decoded and reported only if they parse: DER private keys,
-    SSH keys, PEM blocks around either, and signed tokens with a JSON header and claims.
+    Candidates in base64 or hex (either case) are decoded and reported only if they parse: DER private
+    keys (RSA, DSA, SEC1, PKCS#8, encrypted PKCS#8), SSH keys, PEM blocks around any of these or with
+    an encryption header, and signed tokens with a JSON header and claims.  A text is scanned whole,
+    one at a time, however long it is; values nested too deep to parse are no token.
     Null or empty text finds nothing; its digest is that of the empty string.  Rows with null
     doc_id and repeated rows get their rows; other columns are ignored; an empty table gives none.
     """
