@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import keep, small
+from seqloom.llm.shared import keep, only_kept, small
 
 #: Rows that one step of the reduction tree folds, on average.
 FAN_IN = 64
@@ -86,11 +86,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
     Null text: size 0, nothing taken.  Null source: a source of its own, last.  Rows that repeat a
     doc_id share its source's rate and are told apart by size and a number within the doc_id.
-    Extra columns are ignored; an empty table gives no rows.  The same rows and seed give the
+    Texts of any length are counted whole.  Extra columns are ignored; an empty table gives no rows.  The same rows and seed give the
     same result in any order of partitions.
     """
+    with only_kept(docs.sparkSession) as stay:
+        return stay(_mix(docs, weights, share, most, seed, fan_in))
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int, fan_in: int) -> DataFrame:
     base = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")))
-    by_source = small(keep(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).select("source", "source_size"), weights, share, most)), 100_000)
+    by_source = small(keep(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).select("source", "source_size"), weights, share, most)))
     near = F.col("source").eqNullSafe(F.col("s"))
     one = Window.partitionBy("doc_id", "h", "size").orderBy("source")
     rated = base.join(by_source.withColumnRenamed("source", "s"), near).drop("s")

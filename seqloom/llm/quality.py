@@ -42,9 +42,10 @@ def _twice(h: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches):
-    names = ["doc_id", *STATS, *_EXTRA]
     for batch in batches:
-        for i, j, data, offs in W.chunks(batch.column("text")):
+        carried = [c for c in batch.schema.names if c != "_text"]
+        names = [*carried, *STATS, *_EXTRA]
+        for i, j, data, offs in W.chunks(batch.column("_text" if "_text" in batch.schema.names else "text")):
             w = W.words(data, offs, lower=False)
             n = np.diff(w.first)
 
@@ -76,14 +77,14 @@ def _measure(batches):
                     own = [text[edges[q] - offs[d] : edges[q + 1] - 1 - offs[d]] for q in np.flatnonzero(has)]
                     lines[d], dup[d] = len(own), len(own) - len(set(own))
             columns = [*counts, dup, repeat, lines, upper, digits, distinct]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in columns)], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in carried), *(pa.array(c.astype(np.int64)) for c in columns)], names=names)
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
     """doc_id and whole-text counts: words, code points in words, symbols, repeated lines, words in
     repeated 3-word windows, lines with words, upper-case and decimal characters, distinct words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in STATS + _EXTRA))
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(_measure, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in STATS + _EXTRA))
 
 
 def base_failed() -> Column:
@@ -195,3 +196,13 @@ def quality_filter(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     without labels no rule is learned and base rules decide alone.
     """
     return document_stats(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & decision(rules))
+
+
+def good_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_filter keeps: each row is judged where it
+    stands, so rows of one doc_id, or of none, may go different ways."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    numbered = docs.toDF(*("text" if c == "text" else n for n, c in zip(names, docs.columns)))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
+    judged = numbered.mapInArrow(_measure, fields + ", " + ", ".join(f"{c} long" for c in STATS + _EXTRA))
+    return judged.where(~base_failed() & decision(rules)).select(numbered.columns).toDF(*docs.columns)
