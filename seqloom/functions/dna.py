@@ -85,6 +85,15 @@ def core_read_id(name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(name, r"\s"), 1), "/[12]$", "")
 
 
+#: How names of reads begin that instruments with two colours gave.
+TWO_COLOUR = ["FS", "MN", "SH", "NS", "NB", "NDX", "VL", "VH", "A", "NA", "LH"]
+
+
+def two_colour(name: Column) -> Column:
+    """Whether a read is from an instrument that calls G where it sees nothing, so that poly-G is clipped."""
+    return name.rlike("^(" + "|".join(TWO_COLOUR) + ")")
+
+
 def index_of(name: Column, second: bool = False) -> Column:
     """First or second index of a CASAVA name: what stands after the last colon of its last token."""
     tail = F.regexp_extract(F.element_at(F.split(name, r"\s"), -1), r":([^:]*)$", 1)

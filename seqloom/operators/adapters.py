@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.dna import is_informative
+from seqloom.functions.dna import is_informative, letters
 from seqloom.plans.layout import Layout
 
 _ORDER = "ACGT"
@@ -50,34 +51,102 @@ class Adapter:
         """Where the whole adapter begins first (from 0), or null."""
         if self.anchor is None:
             return F.lit(None).cast("int")
-        at, word = self.anchor
         up, n = F.upper(seq), len(self.expected)
+        starts = F.when(F.length(up) >= n, F.sequence(F.lit(0), F.length(up) - n)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.instr(up, self.anchor[1]) > 0, F.array_min(F.filter(starts, lambda s: self._fits(up, s))))
+
+    def _fits(self, up: Column, s: Column) -> Column:
+        at, word = self.anchor
         known = [(i, c) for i, c in enumerate(self.expected) if c in _ORDER and not at <= i < at + len(word)]
 
-        def fits(s: Column) -> Column:
-            differ = sum((F.when(F.substring(up, s + i + 1, F.lit(1)) == c, 0).otherwise(1) for i, c in known), F.lit(0))
-            strange = F.translate(_known_of(up, s, self.expected), _ORDER, "") != ""
-            return (F.substring(up, s + at + 1, F.lit(len(word))) == word) & ~strange & (differ <= self.mismatches)
+        differ = sum((F.when(F.substring(up, s + i + 1, F.lit(1)) == c, 0).otherwise(1) for i, c in known), F.lit(0))
+        strange = F.translate(_known_of(up, s, self.expected), _ORDER, "") != ""
+        return (F.substring(up, s + at + 1, F.lit(len(word))) == word) & ~strange & (differ <= self.mismatches)
 
-        starts = F.when(F.length(up) >= n, F.sequence(F.lit(0), F.length(up) - n)).otherwise(F.array().cast("array<int>"))
-        return F.when(F.instr(up, word) > 0, F.array_min(F.filter(starts, fits)))
+    def full_at(self, seq: Column, s: Column) -> Column:
+        """Whether the whole adapter begins at s."""
+        if self.anchor is None:
+            return F.lit(False)
+        return F.coalesce((s >= 0) & (s + len(self.expected) <= F.length(seq)) & self._fits(F.upper(seq), s), F.lit(False))
 
     def partial(self, seq: Column) -> Column:
         """Where a read's end begins that equals the adapter's start at every known base: with the most
         known bases, the latest among equals; or null."""
         if self.min_partial is None:
             return F.lit(None).cast("int")
-        up, best = F.upper(seq), []
-        for n in range(1, len(self.expected)):
-            head = self.expected[:n]
-            if sum(c in _ORDER for c in head) >= self.min_partial and informative(head):
-                tail = F.substring(up, F.length(up) - n + 1, F.lit(n))
-                ok = (F.length(up) >= n) & (tail.rlike("^" + head.replace("N", ".") + "$"))
-                best.append((sum(c in _ORDER for c in head), n, F.when(ok, F.length(up) - n)))
+        up = F.upper(seq)
+        best = [(k, n, F.when(self._ends(up, n), F.length(up) - n)) for n, k in self._heads()]
         if not best:
             return F.lit(None).cast("int")
         return F.coalesce(*(c for _, _, c in sorted(best, key=lambda x: (-x[0], x[1]))))
 
+    def _heads(self) -> list[tuple[int, int]]:
+        """Lengths of the adapter's starts that are evidence enough, and their known bases."""
+        if self.min_partial is None:
+            return []
+        heads = [(n, sum(c in _ORDER for c in self.expected[:n])) for n in range(1, len(self.expected))]
+        return [(n, k) for n, k in heads if k >= self.min_partial and informative(self.expected[:n])]
+
+    def _ends(self, up: Column, n: int) -> Column:
+        tail = F.substring(up, F.length(up) - n + 1, F.lit(n))
+        return (F.length(up) >= n) & tail.rlike("^" + self.expected[:n].replace("N", ".") + "$")
+
+    def partial_at(self, seq: Column, s: Column) -> Column:
+        """Whether the read's end from s on is one of the adapter's starts."""
+        up = F.upper(seq)
+        fits = reduce(lambda a, b: a | b, ((F.length(up) - s == n) & self._ends(up, n) for n, _ in self._heads()), F.lit(False))
+        return F.coalesce(fits, F.lit(False))
+
+    def evidence(self, seq: Column) -> Column:
+        """(known bases, start) of the strongest partial match, to compare those of several adapters; or null."""
+        up, none = F.upper(seq), F.lit(None).cast("struct<known:int,start:int>")
+        heads = sorted(self._heads(), key=lambda x: (-x[1], x[0]))
+        found = (F.when(self._ends(up, n), F.struct(F.lit(k).alias("known"), (F.length(up) - n).alias("start"))) for n, k in heads)
+        return F.coalesce(*found, none)
+
+
+@dataclass(frozen=True)
+class SampleAdapter:
+    """Columns expected, at, word of a table with one adapter a sample: its sequence, and place and bases of
+    its anchor.  Only whole matches are looked for."""
+
+    name: str
+    mismatches: int = 1
+
+    def _fits(self, up: Column, s: Column) -> Column:
+        expected, at, word = (F.col(f"{self.name}_{c}") for c in ("expected", "at", "word"))
+        both = F.zip_with(letters(F.substring(up, s + 1, F.length(expected))), letters(expected), lambda c, e: F.when(e == "N", 0).when(~c.isin(*_ORDER), 1000).when(c != e, 1).otherwise(0))
+        return (F.substring(up, s + at + 1, F.length(word)) == word) & (F.aggregate(both, F.lit(0), lambda n, x: n + x) <= self.mismatches)
+
+    def full(self, seq: Column) -> Column:
+        up, n = F.upper(seq), F.length(F.col(f"{self.name}_expected"))
+        starts = F.when(F.length(up) >= n, F.sequence(F.lit(0), F.length(up) - n))
+        return F.when(F.contains(up, F.col(f"{self.name}_word")), F.array_min(F.filter(starts, lambda s: self._fits(up, s))))
+
+    def full_at(self, seq: Column, s: Column) -> Column:
+        inside = (s >= 0) & (s + F.length(F.col(f"{self.name}_expected")) <= F.length(seq))
+        return F.coalesce(inside & self._fits(F.upper(seq), s), F.lit(False))
+
+    def evidence(self, seq: Column) -> Column:
+        return F.lit(None).cast("struct<known:int,start:int>")
+
+    def partial_at(self, seq: Column, s: Column) -> Column:
+        return F.lit(False)
+
+
+def sample_adapters(layout: Layout, barcodes: list[tuple[str, str, str]], sheet: list[dict[str, str]], paired: bool, technical: dict[int, str] | None = None, umi: dict[int, int] | None = None) -> list[tuple]:
+    """(sample, mate, expected, at, word): what each mate's reads of a sample run into behind the insert, if
+    it has an anchor.  Single reads are taken to have the same structure at both ends."""
+    known, rows = {(s, i): seq.upper() for s, i, seq in barcodes}, []
+    for row in sheet:
+        own = {s: known[(s, row[s])] for s in layout.symbols}
+        for mate in (1, 2) if paired else (1,):
+            source = 3 - mate if paired else mate
+            adapter = Adapter(opposite(layout, source, own, technical, (umi or {}).get(source, 0)))
+            if adapter.anchor:
+                rows.append((row["Sample"], mate, adapter.expected, *adapter.anchor))
+    return rows
+
 
 def _known_of(up: Column, s: Column, expected: str) -> Column:
     """The read's bases at the known places of expected, put together run by run."""

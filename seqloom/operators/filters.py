@@ -46,13 +46,15 @@ def reasons(seq: Column, qual: Column, o: FilterOptions) -> dict[str, Column]:
 
 def flag(df: DataFrame, o: FilterOptions, mates: tuple[int, ...] = (1,)) -> DataFrame:
     """df (seq<m>, qual<m>; is_duplicate and is_blacklisted if there) plus a flag for each reason,
-    failed<m> for each mate and rejected."""
+    failed<m> for each mate and rejected.  Fragments that lack a mate (orphans) pass all of them."""
+    whole_pair = reduce(lambda a, b: a & b, (F.col(f"seq{m}").isNotNull() for m in mates))
     own = {m: reasons(F.col(f"seq{m}"), F.col(f"qual{m}"), o) for m in mates}
     either = {r: reduce(lambda a, b: a | b, (own[m][r] for m in mates)) for r in REASONS[:6]}
     either["duplicate"] = F.col("is_duplicate") if o.dedup and "is_duplicate" in df.columns else F.lit(False)
     either["index_blacklist"] = F.col("is_blacklisted") if "is_blacklisted" in df.columns else F.lit(False)
     whole = either["duplicate"] | either["index_blacklist"]
     failed = {f"failed{m}": reduce(lambda a, b: a | b, own[m].values()) | whole for m in mates}
+    either, failed = ({k: F.coalesce(whole_pair & c, F.lit(False)) for k, c in flags.items()} for flags in (either, failed))
     return df.withColumns(either | failed).withColumn("rejected", reduce(lambda a, b: a | b, map(F.col, REASONS)))
 
 
@@ -73,10 +75,11 @@ def blacklisted(df: DataFrame, entries: list[str], threshold: int = 0, second: b
 def mark_duplicates(df: DataFrame, mates: tuple[int, ...] = (1,)) -> DataFrame:
     """df plus is_duplicate: another fragment with the same bases has a smaller read_idx.
 
-    A digest of the bases is counted first and only repeated ones are joined back, so unique reads are
-    never sorted; the join's skew is left to adaptive execution, its small side has one row a key.
+    A digest of the bases and read_idx are all that is shuffled to find duplicates; their numbers are
+    then joined back, which moves whole reads only where duplicates are too many to send.
     """
-    key = F.sha2(F.concat_ws("|", *(F.concat(F.length(f"seq{m}").cast("string"), F.lit(":"), F.upper(F.col(f"seq{m}"))) for m in mates)), 256)
-    keyed = df.withColumn("_key", key)
+    key = F.unhex(F.sha2(F.concat_ws("|", *(F.concat(F.length(f"seq{m}").cast("string"), F.lit(":"), F.upper(F.col(f"seq{m}"))) for m in mates)), 256))
+    keyed = df.select("read_idx", key.alias("_key"))
     first = keyed.groupBy("_key").agg(F.min("read_idx").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return keyed.join(first, "_key", "left").withColumn("is_duplicate", F.coalesce(F.col("read_idx") > F.col("_first"), F.lit(False))).drop("_key", "_first")
+    later = keyed.join(first, "_key").where("read_idx > _first").select("read_idx", F.lit(True).alias("is_duplicate"))
+    return df.join(later, "read_idx", "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))

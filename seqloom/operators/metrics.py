@@ -55,15 +55,27 @@ def segment_stats(reads: DataFrame, layout: Layout) -> DataFrame:
     return fastq_stats(reads.select(F.explode(pieces).alias("x")).select("x.*"), *keys)
 
 
-def sample_metrics(counts: DataFrame, samples: DataFrame, low_fraction: float = 0.05) -> DataFrame:
-    """Fragments and bases of every sample, shares of all and of the median, and OK, LOW_REPRESENTATION
-    or MISSING.  counts: sample, fragments, bases; samples: sample."""
-    n = F.col("fragments")
-    joined = samples.join(F.broadcast(counts), "sample", "left").select("sample", F.coalesce("fragments", F.lit(0)).alias("fragments"), F.coalesce("bases", F.lit(0)).alias("bases"))
+def mate_stats(table: DataFrame, raw: bool = False) -> DataFrame:
+    """fastq_stats of each mate of a fragment table, and of merged reads if it has any; raw: as they came."""
+    prefix = "raw_" if raw else ""
+    mates = [m for m in (1, 2) if f"seq{m}" in table.columns]
+    merged = "merged_seq" in table.columns and not raw
+    alone = F.col("merged_seq").isNull() if merged else F.lit(True)
+    rows = [F.when(alone, F.struct(F.lit(f"R{m}").alias("mate"), F.col(f"{prefix}seq{m}").alias("seq"), F.col(f"{prefix}qual{m}").alias("qual"))) for m in mates]
+    if merged:
+        rows.append(F.when(~alone, F.struct(F.lit("Merged").alias("mate"), F.col("merged_seq").alias("seq"), F.col("merged_qual").alias("qual"))))
+    return fastq_stats(table.select(F.explode(F.array(*rows)).alias("x")).where("x.seq is not null").select("x.*"), "mate")
+
+
+def sample_metrics(counts: DataFrame, samples: DataFrame, low_fraction: float = 0.05, columns: list[str] | None = None) -> DataFrame:
+    """Fragments and bases (or other counts, by name) of every sample, shares of all and of the median, and
+    OK, LOW_REPRESENTATION or MISSING.  counts: sample, fragments, bases; samples: sample."""
+    n, columns = F.col("fragments"), columns or ["bases"]
+    joined = samples.join(counts, "sample", "left").select("sample", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fragments", *columns)))
     sums = joined.agg(F.sum("fragments").alias("all"), F.median(F.when(n > 0, n)).alias("median"))
     status = F.when(n == 0, "MISSING").when(n < F.col("median") * low_fraction, "LOW_REPRESENTATION").otherwise("OK")
     shares = [F.round(ratio(n, F.col("all")), 8).alias("fraction_of_assigned"), F.round(ratio(n, F.coalesce("median", F.lit(0.0))), 8).alias("fraction_of_median")]
-    return joined.crossJoin(F.broadcast(sums)).select("sample", "fragments", "bases", *shares, status.alias("status"))
+    return joined.crossJoin(F.broadcast(sums)).select("sample", "fragments", *columns, *shares, status.alias("status"))
 
 
 def length_histogram(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -83,11 +95,19 @@ def cycle_content(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFr
     return rows.groupBy("cycle", base.alias("base")).agg(F.count("*").alias("bases"), F.sum("q").alias("quality_sum"))
 
 
-def overrepresented(df: DataFrame, width: int = 10, every: int = 1, top: int = 100, seq: str = "seq") -> DataFrame:
-    """The most frequent substrings of one width in every nth read, twice at least; ties by sequence."""
+def overrepresented(df: DataFrame, widths: tuple[int, ...] = (10,), every: int = 1, top: int = 100, seq: str = "seq", whole: bool = False) -> DataFrame:
+    """The most frequent substrings of ACGT of all widths in every nth read, twice at least; ties by
+    sequence.  whole: reads of 512 bases at most, and of none of the widths, count as they are, too."""
     s = F.upper(F.col(seq))
-    starts = F.when(F.length(s) >= width, F.sequence(F.lit(1), F.length(s) - width + 1))
-    pieces = df.where(F.col("read_idx") % every == 0).select(F.explode(F.transform(starts, lambda i: F.substring(s, i, F.lit(width)))).alias("sequence"))
+
+    def windows(w: int):
+        starts = F.when(F.length(s) >= w, F.sequence(F.lit(1), F.length(s) - w + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(s, i, F.lit(w)))
+
+    parts = [windows(w) for w in widths]
+    if whole:
+        parts.append(F.when((F.length(s) <= 512) & ~F.length(s).isin(*widths), F.array(s)).otherwise(F.array().cast("array<string>")))
+    pieces = df.where(F.col("read_idx") % every == 0).select(F.explode(F.concat(*parts)).alias("sequence")).where("sequence rlike '^[ACGT]+$'")
     counted = pieces.groupBy("sequence").agg(F.count("*").alias("n")).where("n >= 2")
     return counted.orderBy(F.desc("n"), "sequence").limit(top)
 

@@ -1,7 +1,7 @@
 """Mate overlap, its use for correction and merging, and the one-gap fallback.
 
-These compare a pair at every offset, which built-in expressions cannot do well; one Arrow stage
-with numpy does it per pair, without any shuffle.
+Built-in expressions cannot compare a pair at every offset well; one Arrow stage does it for a batch of
+pairs at a time, a matrix operation for each insert length, and lets all other columns pass.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -23,47 +24,78 @@ def _informative(x: np.ndarray) -> bool:
     return (counts > 0).sum() >= 3 and counts.max() * 4 <= len(x) * 3 and kinds >= 6
 
 
-def find_overlap(r1: np.ndarray, r2: np.ndarray, least: int, limit: int, percent: float) -> tuple[str, int, int, int]:
-    """(status, insert, length, mismatches) for base codes of R1 and of R2's reverse complement."""
-    n, m, found = len(r1), len(r2), None
-    if not least or n < least or m < least:
-        return "none", 0, 0, 0
-    for insert in range(least, n + m - least + 1):
-        a, b = max(0, insert - m), max(0, m - insert)
-        size = min(n - a, m - b)
-        if size < least:
+def _matrix(reads: list[np.ndarray], right: bool, fill: int) -> np.ndarray:
+    """Rows of codes, all to the left or all to the right."""
+    out = np.full((len(reads), max(map(len, reads), default=0)), fill, np.uint8)
+    for row, x in zip(out, reads):
+        if len(x):
+            row[-len(x) if right else 0 :][: len(x)] = x
+    return out
+
+
+def find_overlaps(r1: list[np.ndarray], r2: list[np.ndarray], least: int, limit: int, percent: float) -> list[tuple[str, int, int, int]]:
+    """(status, insert, length, mismatches) of pairs: base codes of R1 and of R2's reverse complement.
+
+    At an insert length, R2 ends where the insert does, so with R1 to the left and R2 to the right one
+    slice of either matrix holds the overlaps of all pairs.
+    """
+    found: list[tuple[str, int, int, int]] = [("none", 0, 0, 0)] * len(r1)
+    n, m = (np.array([len(x) for x in reads], np.int64) for reads in (r1, r2))
+    able = np.flatnonzero((n >= least) & (m >= least)) if least else np.empty(0, np.int64)
+    if not len(able):
+        return found
+    n, m = n[able], m[able]
+    x, y = _matrix([r1[i] for i in able], False, 8), _matrix([r2[i] for i in able], True, 9)
+    known1, known2 = (np.concatenate([np.zeros((len(able), 1), np.int32), np.cumsum(z < 4, axis=1, dtype=np.int32)], axis=1) for z in (x, y))
+    wide1, wide2, rows = x.shape[1], y.shape[1], np.arange(len(able))
+    for insert in range(least, wide1 + wide2 - least + 1):
+        low, high = max(0, insert - wide2), min(wide1, insert)
+        a, b = np.maximum(0, insert - m), np.minimum(n, insert)
+        size = b - a
+        shift = wide2 - insert
+        near = np.flatnonzero((size >= least) & (insert <= n + m - least))
+        if not len(near):
             continue
-        x, y = r1[a : a + size], r2[b : b + size]
-        if (x != y).sum() > min(limit, int(size * percent / 100)) or x.max() > 3 or y.max() > 3 or not _informative(x):
+        most = np.minimum(limit, (size[near] * percent / 100).astype(np.int64))
+        c1 = known1[near, b[near]] - known1[near, a[near]]
+        c2 = known2[near, b[near] + shift] - known2[near, a[near] + shift]
+        whole = (c1 == size[near]) & (c2 == size[near])
+        near, most = near[whole], most[whole]
+        if not len(near):
             continue
-        if found:
-            return "ambiguous", 0, 0, 0
-        found = ("unique", insert, size, int((x != y).sum()))
-    return found or ("none", 0, 0, 0)
+        same = (x[near, low:high] == y[near, low + shift : high + shift]).sum(axis=1)
+        for r, miss in zip(near[size[near] - same <= most], (size[near] - same)[size[near] - same <= most]):
+            i = able[r]
+            if found[i][0] == "ambiguous" or not _informative(x[r, a[r] : b[r]]):
+                continue
+            found[i] = ("ambiguous", 0, 0, 0) if found[i][0] == "unique" else ("unique", insert, int(size[r]), int(miss))
+    return found
 
 
-def find_gap_overlap(r1: np.ndarray, r2: np.ndarray, least: int, limit: int, percent: float) -> tuple[int, int] | None:
+def find_gap_overlap(r1: np.ndarray, r2: np.ndarray, least: int, limit: int, percent: float, fronts: tuple[int, int] = (0, 0)) -> tuple[int, int] | None:
     """Ends of both mates of a short insert that one mate has a base more of, or None.
 
-    r2 in its own direction.  The gap keeps eight bases from either edge; two different answers
-    count as none.
+    r2 in its own direction; fronts are the bases that clipping took in front of either mate, by
+    which the other one reaches further.  The gap keeps eight bases from either edge; two
+    different answers count as none.
     """
-    found = None
+    found, (f1, f2) = None, fronts
     if least < 16:
         return None
-    for size in range(least, min(len(r1), len(r2)) + 1):
-        for ends in ((size + 1, size), (size, size + 1)):
-            if ends[0] > len(r1) or ends[1] > len(r2):
+    for size in range(least, min(len(r1) - f2, len(r2) - f1) + 1):
+        gaps = np.arange(8, size - 7)
+        for own in ((size + 1, size), (size, size + 1)):
+            ends = (own[0] + f2, own[1] + f1)
+            if ends[0] > len(r1) or ends[1] > len(r2) or not len(gaps):
                 continue
-            a, b = r1[: ends[0]], r2[: ends[1]]
+            a, b = r1[: own[0]], r2[: own[1]]
             if not (_informative(a) and _informative(b)):
                 continue
             back = np.where(b[::-1] < 4, 3 - b[::-1], 4)
-            short, long = (back, a) if ends[0] > ends[1] else (a, back)
+            short, long = (back, a) if own[0] > own[1] else (a, back)
             before = np.concatenate([[0], np.cumsum(short != long[:-1])])
             after = np.concatenate([np.cumsum((short != long[1:])[::-1])[::-1], [0]])
-            gaps = np.arange(8, size - 7)
-            if len(gaps) and (before[gaps] + after[gaps]).min() <= min(limit, int(size * percent / 100)):
+            if (before[gaps] + after[gaps]).min() <= min(limit, int(size * percent / 100)):
                 if found and found != ends:
                     return None
                 found = ends
@@ -72,20 +104,15 @@ def find_gap_overlap(r1: np.ndarray, r2: np.ndarray, least: int, limit: int, per
 
 def correct_pair(s1, q1, s2, q2, insert: int) -> int:
     """Of two bases that disagree, one of Q30 or more replaces one of Q14 or less; in place, counted."""
-    fixed = 0
-    for i in range(max(0, insert - len(s2)), min(len(s1), insert)):
-        j = insert - 1 - i
-        x, y = _CODE[s1[i]], _CODE[s2[j]]
-        if x < 4 and x == 3 - min(int(y), 3) and y < 4:
-            continue
-        if q1[i] >= 63 and q2[j] <= 47:
-            s2[j], q2[j] = _LETTER[3 - x if x < 4 else 4], q1[i]
-        elif q2[j] >= 63 and q1[i] <= 47:
-            s1[i], q1[i] = _LETTER[3 - y if y < 4 else 4], q2[j]
-        else:
-            continue
-        fixed += 1
-    return fixed
+    i = np.arange(max(0, insert - len(s2)), min(len(s1), insert))
+    j = insert - 1 - i
+    x, y = _CODE[s1[i]], _CODE[s2[j]]
+    differ = ~((x < 4) & (y < 4) & (x == 3 - np.minimum(y, 3)))
+    second = differ & (q1[i] >= 63) & (q2[j] <= 47)
+    first = differ & ~second & (q2[j] >= 63) & (q1[i] <= 47)
+    s2[j[second]], q2[j[second]] = _LETTER[np.where(x < 4, 3 - np.minimum(x, 3), 4)][second], q1[i[second]]
+    s1[i[first]], q1[i[first]] = _LETTER[np.where(y < 4, 3 - np.minimum(y, 3), 4)][first], q2[j[first]]
+    return int(first.sum() + second.sum())
 
 
 def merge_pair(s1, q1, s2, q2, insert: int, fronts: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
@@ -106,40 +133,73 @@ def merge_pair(s1, q1, s2, q2, insert: int, fronts: tuple[int, int] = (0, 0)) ->
     return np.where(second, c2, c1), np.where(second, k2, k1)
 
 
-def pair_features(pairs: DataFrame, least: int = 30, limit: int = 5, percent: float = 20, correct: bool = False, merge: bool = False, gap: bool = False, fronts: tuple[int, int] = (0, 0)) -> DataFrame:
-    """pairs (read_idx, id1, seq1, qual1, id2, seq2, qual2, already clipped) plus overlap_status,
-    insert_length, overlap_length, overlap_mismatches, gap_end1, gap_end2, corrected, and
-    merged_id, merged_seq, merged_qual.  Correction comes before merging."""
+_OVERLAP = [("overlap_status", pa.string()), *((c, pa.int32()) for c in ("insert_length", "overlap_length", "overlap_mismatches", "gap_end1", "gap_end2"))]
+_MERGED = [(c, pa.string()) for c in ("seq1", "qual1", "seq2", "qual2")] + [("corrected", pa.int32())] + [(c, pa.string()) for c in ("merged_id", "merged_seq", "merged_qual")]
+
+
+def _codes(texts: list[str | None]) -> list[np.ndarray]:
+    return [_CODE[np.frombuffer((t or "").encode(), np.uint8)] for t in texts]
+
+
+def _back(y: np.ndarray) -> np.ndarray:
+    return np.where(y[::-1] < 4, 3 - y[::-1], 4).astype(np.uint8)
+
+
+def _added(df: DataFrame, fields: list, rows) -> DataFrame:
+    """df with more columns: rows gives their values for a batch; those of the same name are replaced."""
+    kinds = {pa.string(): T.StringType(), pa.int32(): T.IntegerType()}
+    new = [n for n, _ in fields]
+    schema = T.StructType([f for f in df.schema if f.name not in new] + [T.StructField(n, kinds[k]) for n, k in fields])
 
     def run(batches):
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("id1", "seq1", "qual1", "seq2", "qual2")}
-            out = []
-            for name, *texts in zip(*cols.values()):
-                if None in texts:
-                    out.append((*texts, "none", 0, 0, 0, None, None, 0, None, None, None))
-                    continue
-                s1, q1, s2, q2 = (np.frombuffer(bytearray(t.encode()), np.uint8) for t in texts)
-                x, y = _CODE[s1], _CODE[s2]
-                back = np.where(y[::-1] < 4, 3 - y[::-1], 4).astype(np.uint8)
-                status, insert, size, miss = find_overlap(x, back, least, limit, percent)
-                ends = find_gap_overlap(x, y, least, limit, percent) if gap and status == "none" else None
-                fixed = correct_pair(s1, q1, s2, q2, insert) if correct and status == "unique" else 0
-                merged = (None, None, None)
-                if merge and status == "unique":
-                    seq, qual = merge_pair(s1, q1, s2, q2, insert, fronts)
-                    first, *rest = name.split(None, 1) if name else [""]
-                    tail = name[len(first) :]
-                    merged = (first.removesuffix("/1") + tail + " merged", seq.tobytes().decode(), qual.tobytes().decode())
-                texts = [a.tobytes().decode() for a in (s1, q1, s2, q2)]
-                out.append((*texts, status, insert, size, miss, *(ends or (None, None)), fixed, *merged))
-            new = list(zip(*out)) if out else [[]] * 14
-            kinds = [pa.string()] * 5 + [pa.int32()] * 6 + [pa.string()] * 3
-            arrays = [pa.array(v, k) for v, k in zip(new, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("read_idx"), batch.column("id1"), arrays[0], arrays[1], batch.column("id2"), *arrays[2:]], names=_NAMES)
-
-    schema = "read_idx long, id1 string, seq1 string, qual1 string, id2 string, seq2 string, qual2 string, overlap_status string, insert_length int, overlap_length int, overlap_mismatches int, gap_end1 int, gap_end2 int, corrected int, merged_id string, merged_seq string, merged_qual string"
-    return pairs.select("read_idx", "id1", "seq1", "qual1", "id2", "seq2", "qual2").mapInArrow(run, schema)
-
-
-_NAMES = ["read_idx", "id1", "seq1", "qual1", "id2", "seq2", "qual2", "overlap_status", "insert_length", "overlap_length", "overlap_mismatches", "gap_end1", "gap_end2", "corrected", "merged_id", "merged_seq", "merged_qual"]
+            out = list(zip(*rows(batch))) or [[]] * len(fields)
+            old = [n for n in batch.schema.names if n not in new]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in old), *(pa.array(v, k) for v, (_, k) in zip(out, fields))], names=old + new)
+
+    return df.mapInArrow(run, schema)
+
+
+def overlaps(df: DataFrame, seqs: tuple[str, str] = ("seq1", "seq2"), least: int = 30, limit: int = 5, percent: float = 20, gap: bool = False, fronts: tuple[str, str] | None = None, where: str | None = None) -> DataFrame:
+    """df with overlap_status (unique, ambiguous or none), insert_length, overlap_length,
+    overlap_mismatches, gap_end1 and gap_end2.  seqs and fronts name its columns of clipped bases
+    and of bases clipped in front; rows whose column `where` isn't true, or that lack a mate, have none."""
+
+    def rows(batch):
+        asked = batch.column(where).to_pylist() if where else [True] * batch.num_rows
+        texts = [[t if ok else None for t, ok in zip(batch.column(c).to_pylist(), asked)] for c in seqs]
+        x, y = _codes(texts[0]), _codes(texts[1])
+        cut = list(zip(*(batch.column(c).to_pylist() for c in fronts))) if fronts else [(0, 0)] * batch.num_rows
+        for a, b, f, found in zip(x, y, cut, find_overlaps(x, [_back(b) for b in y], least, limit, percent)):
+            ends = find_gap_overlap(a, b, least, limit, percent, f) if gap and found[0] == "none" and len(a) and len(b) else None
+            yield (*found, *(ends or (None, None)))
+
+    return _added(df, _OVERLAP, rows)
+
+
+def consensus(df: DataFrame, columns: tuple[str, ...] = ("seq1", "qual1", "seq2", "qual2"), correct: bool = False, merge: bool = False, fronts: tuple[str, str] | None = None) -> DataFrame:
+    """df (id1, insert_length and overlap_status of what columns hold) with seq1, qual1, seq2, qual2
+    corrected, corrected (how many bases), and merged_id, merged_seq, merged_qual.  Correction comes
+    first; pairs without a unique overlap keep their bases."""
+
+    def rows(batch):
+        texts = zip(*(batch.column(c).to_pylist() for c in ("overlap_status", "insert_length", "id1", *columns)))
+        cut = zip(*(batch.column(c).to_pylist() for c in fronts)) if fronts else iter(lambda: (0, 0), None)
+        for (status, insert, name, *own), front in zip(texts, cut):
+            fixed, merged = 0, (None, None, None)
+            if status == "unique":
+                s1, q1, s2, q2 = (np.frombuffer(bytearray(t.encode()), np.uint8) for t in own)
+                fixed = correct_pair(s1, q1, s2, q2, insert) if correct else 0
+                if merge:
+                    seq, qual = merge_pair(s1, q1, s2, q2, insert, front)
+                    first, *_ = (name or "").split(None, 1) or [""]
+                    merged = (first.removesuffix("/1") + (name or "")[len(first) :] + " merged", seq.tobytes().decode(), qual.tobytes().decode())
+                own = [a.tobytes().decode() for a in (s1, q1, s2, q2)]
+            yield (*own, fixed, *merged)
+
+    return _added(df, _MERGED, rows)
+
+
+def pair_features(pairs: DataFrame, least: int = 30, limit: int = 5, percent: float = 20, correct: bool = False, merge: bool = False, gap: bool = False) -> DataFrame:
+    """overlaps and consensus of pairs (id1, seq1, qual1, id2, seq2, qual2, already clipped)."""
+    return consensus(overlaps(pairs, least=least, limit=limit, percent=percent, gap=gap), correct=correct, merge=merge)

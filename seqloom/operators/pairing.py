@@ -12,7 +12,8 @@ def pair(r1: DataFrame, r2: DataFrame) -> DataFrame:
     """read_idx, kind (pair, orphan_r1, orphan_r2) and id, seq, qual of either mate.
 
     Inputs have read_idx, id, seq, qual.  Mates meet by core name and its occurrence, so files that
-    miss records on either side pair up again; what has no partner is an orphan.  One shuffle a side.
+    miss records on either side pair up again; what has no partner is an orphan.  read_idx is a
+    fragment's own: even after R1's order, odd for orphans of R2.  One shuffle a side.
     """
 
     def keyed(df, m):
@@ -22,7 +23,7 @@ def pair(r1: DataFrame, r2: DataFrame) -> DataFrame:
 
     both = keyed(r1, 1).join(keyed(r2, 2), ["core", "occ"], "full_outer")
     kind = F.when(F.col("idx2").isNull(), "orphan_r1").when(F.col("idx1").isNull(), "orphan_r2").otherwise("pair")
-    return both.select(F.coalesce("idx1", "idx2").alias("read_idx"), kind.alias("kind"), "id1", "seq1", "qual1", "id2", "seq2", "qual2")
+    return both.select(F.coalesce(F.col("idx1") * 2, F.col("idx2") * 2 + 1).alias("read_idx"), kind.alias("kind"), "id1", "seq1", "qual1", "id2", "seq2", "qual2")
 
 
 def interleaved(reads: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import clip, dna
 from seqloom.operators import filters, metrics, pairing
-from seqloom.operators.adapters import Adapter
-from seqloom.operators.overlap import pair_features
+from seqloom.operators.adapters import Adapter, sample_adapters
+from seqloom.operators.overlap import overlaps, pair_features
 from seqloom.operators.routing import route, route_counts
 from seqloom.plans.layout import Layout
+from seqloom.plans.pipeline import Spec, fragments, preprocessing_table, sample_table, summary
 
 LAYOUT = Layout.parse("R1_10A10B4T")
 ADAPTER = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
@@ -56,6 +57,15 @@ FROM (SELECT o_orderkey, {_QUAL.format(x=x)} AS q, {_QUAL.format(x=f"concat('b',
 def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for n in names:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+    if "orders" in names:
+        dealt(spark.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey").createOrReplaceTempView("orders")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df on every core: dealt out by key if its files make fewer partitions than there are cores, while
+    rows are still narrow; a large table's own splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def derived_reads(spark: SparkSession, sf_dir: str, key: str = "o_orderkey") -> DataFrame:
@@ -259,7 +269,7 @@ def q_scalar_functions(spark, sf_dir):
 _MATES = "r1 AS (SELECT * FROM i WHERE read_idx % 9 <> 4), r2 AS (SELECT * FROM i WHERE read_idx % 7 <> 2)"
 
 
-@_query(f"""WITH i AS ({_INS}), {_MATES} SELECT coalesce(r1.read_idx, r2.read_idx) AS read_idx, CASE WHEN r2.read_idx IS NULL THEN 'orphan_r1' WHEN r1.read_idx IS NULL THEN 'orphan_r2' ELSE 'pair' END AS kind,
+@_query(f"""WITH i AS ({_INS}), {_MATES} SELECT coalesce(2 * r1.read_idx, 2 * r2.read_idx + 1) AS read_idx, CASE WHEN r2.read_idx IS NULL THEN 'orphan_r1' WHEN r1.read_idx IS NULL THEN 'orphan_r2' ELSE 'pair' END AS kind,
  r1.seq AS seq1, r2.seq AS seq2 FROM r1 FULL JOIN r2 USING (read_idx)""")
 def q_pairing(spark, sf_dir):
     i = inserts(spark, sf_dir)
@@ -302,11 +312,18 @@ def q_cycle_content(spark, sf_dir):
 
 
 @_query(f"""WITH i AS ({_INS}), k AS (SELECT substr(seq, s, 10) AS sequence FROM (SELECT seq, unnest(range(1, length(seq) - 8)) AS s FROM i))
-SELECT sequence, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, sequence LIMIT 100""")
+SELECT sequence, count(*) AS n FROM k WHERE sequence NOT LIKE '%N%' GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, sequence LIMIT 100""")
 def q_overrepresented(spark, sf_dir):
     return metrics.overrepresented(inserts(spark, sf_dir))
 
 
+@_query(f"""WITH i AS ({_INS}), k AS (SELECT unnest(list_concat(
+   flatten(list_transform([10, 20, 40, 100, 150], lambda w: list_transform(range(1, greatest(length(seq) - w + 2, 1)), lambda s: substr(seq, s, w)))), CASE WHEN length(seq) IN (10, 20, 40, 100, 150) THEN [] ELSE [seq] END)) AS sequence FROM i WHERE read_idx % 2 = 0)
+SELECT sequence, count(*) AS n FROM k WHERE sequence NOT LIKE '%N%' GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, sequence LIMIT 100""")
+def q_overrepresented_all(spark, sf_dir):
+    return metrics.overrepresented(inserts(spark, sf_dir), (10, 20, 40, 100, 150), every=2, whole=True)
+
+
 @_query(f"WITH r AS ({_READS}), x AS (SELECT min({_CODE.format(x='r_name')}) AS e FROM region) SELECT read_idx, hamming(split_part(split_part(id, ' 1:N:0:', 2), '+', 1), e) <= 1 AS is_blacklisted FROM r, x")
 def q_index_blacklist(spark, sf_dir):
     barcodes, _ = dimensions(spark, sf_dir)
@@ -314,9 +331,29 @@ def q_index_blacklist(spark, sf_dir):
     return filters.blacklisted(derived_reads(spark, sf_dir).withColumnRenamed("id", "id1"), [entry], 1).select("read_idx", "is_blacklisted")
 
 
-@_query(f"""WITH i AS ({_INS}), s AS (SELECT read_idx, seq, unnest(range(0, greatest(length(seq) - {len(ADAPTER) - 1}, 0))) AS pos FROM i)
-SELECT i.read_idx, cast(min(pos) FILTER (hamming(substr(s.seq, pos + 1, {len(ADAPTER)}), '{ADAPTER}') <= 1 AND substr(s.seq, pos + 1 + {Adapter(ADAPTER).anchor[0]}, {len(Adapter(ADAPTER).anchor[1])}) = '{Adapter(ADAPTER).anchor[1]}' AND substr(s.seq, pos + 1, {len(ADAPTER)}) NOT LIKE '%N%') AS integer) AS full_at
-FROM i LEFT JOIN s USING (read_idx) GROUP BY 1""")
+def _informative_sql(w: str) -> str:
+    counts = [f"length({w}) - length(replace({w}, '{c}', ''))" for c in "ACGT"]
+    kinds = " + ".join(f"({c} > 0)::int" for c in counts)
+    return f"({kinds} >= 3 AND 4 * greatest({', '.join(counts)}) <= 3 * length(replace({w}, 'N', '')) AND {_pairs_of(w)} >= 6)"
+
+
+def _pairs_of(w: str) -> str:
+    return f"len(list_distinct(list_filter(list_transform(range(1, length({w})), lambda j: substr({w}, j, 2)), lambda d: d NOT LIKE '%N%')))"
+
+
+def _anchor_sql(table: str, expected: str, keys: str) -> str:
+    """keys, at, word: the longest informative run of 16 to 12 known bases, the most diverse and first of them."""
+    return f"""(SELECT {keys}, pos0, word FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY length(word) DESC, {_pairs_of('word')} DESC, pos0) AS best
+      FROM (SELECT {keys}, pos0, substr(expected, pos0 + 1, size) AS word FROM (SELECT {keys}, {expected} AS expected, unnest(range(0, length({expected}))) AS pos0, size FROM {table}, (SELECT unnest(range(12, 17)) AS size)) WHERE pos0 + size <= length(expected))
+      WHERE word NOT LIKE '%N%' AND {_informative_sql('word')}) WHERE best = 1)"""
+
+
+_ONE = f"(SELECT 1 AS k, '{ADAPTER}' AS e)"
+
+
+@_query(f"""WITH i AS ({_INS}), a AS {_anchor_sql(_ONE, 'e', 'k')}, s AS (SELECT read_idx, seq, unnest(range(0, greatest(length(seq) - {len(ADAPTER) - 1}, 0))) AS pos FROM i),
+ f AS (SELECT read_idx, pos FROM s, a WHERE hamming(substr(seq, pos + 1, {len(ADAPTER)}), '{ADAPTER}') <= 1 AND substr(seq, pos + 1 + pos0, length(word)) = word AND substr(seq, pos + 1, {len(ADAPTER)}) NOT LIKE '%N%')
+SELECT i.read_idx, cast(min(pos) AS integer) AS full_at FROM i LEFT JOIN f USING (read_idx) GROUP BY 1""")
 def q_full_adapter(spark, sf_dir):
     return inserts(spark, sf_dir).select("read_idx", Adapter(ADAPTER).full(F.col("seq")).alias("full_at"))
 
@@ -341,15 +378,152 @@ def q_sibling_distance(spark, sf_dir):
     return n.join(y, "parent").where("k < k2").select(F.col("n_name").alias("a"), F.col("n_name2").alias("b"), dna.hamming(F.col("code"), F.col("code2")).alias("distance"))
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    """Pairs from inserts of 40 bases without N: R1 its first 36, R2 from the other end."""
-    x = inserts(spark, sf_dir).where("length(seq) >= 40").withColumn("s", F.translate(F.substring("seq", 1, 40), "N", "A"))
-    return x.select("read_idx", F.col("id").alias("id1"), F.substring("s", 1, 36).alias("seq1"), F.substring("qual", 1, 36).alias("qual1"), F.col("id").alias("id2"), dna.revcomp(F.expr("substr(s, 5)")).alias("seq2"), F.reverse(F.substring("qual", 1, 36)).alias("qual2"))
+ADAPTER2 = "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"
 
 
-@_query()
+def _pairs_sql(text: str) -> str:
+    """Pairs of 50 bases from whole inserts of every length, which read through into adapters where the
+    insert is shorter; in some R2 has another base or of low quality, and some keep their N."""
+    return f"""
+SELECT read_idx, id AS id1, substr(concat(s, '{ADAPTER}'), 1, 50) AS seq1, substr(concat(qual, qual), 1, 50) AS qual1, id AS id2,
+       substr(concat(CASE WHEN read_idx % 5 = 0 THEN concat(substr(rc, 1, 9), translate(substr(rc, 10, 1), 'ACGT', 'CGTA'), substr(rc, 11)) ELSE rc END, '{ADAPTER2}'), 1, 50) AS seq2,
+       substr(concat(CASE WHEN read_idx % 10 = 0 THEN concat(substr(qual, 1, 9), '#', substr(qual, 11)) ELSE qual END, qual), 1, 50) AS qual2
+FROM (SELECT read_idx, id, qual, s, reverse(translate(s, 'ACGT', 'TGCA')) AS rc
+      FROM (SELECT read_idx, id, qual, CASE WHEN read_idx % 4 = 0 THEN seq ELSE translate(seq, 'N', 'A') END AS s FROM ({_inserts_sql(text)}) i) t) u
+"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "orders")
+    return spark.sql(_pairs_sql("string"))
+
+
+_OVER = f"""p AS ({_pairs_sql('varchar')}), c AS (SELECT read_idx, seq1, reverse(translate(seq2, 'ACGT', 'TGCA')) AS rc2, length(seq1) AS n, length(seq2) AS m FROM p),
+w AS (SELECT *, greatest(0, i - m) AS a, greatest(0, m - i) AS b FROM (SELECT *, unnest(range(30, n + m - 29)) AS i FROM c)),
+x AS (SELECT read_idx, i, size, substr(seq1, a + 1, size) AS x, substr(rc2, b + 1, size) AS y FROM (SELECT *, least(n - a, m - b) AS size FROM w) WHERE size >= 30),
+h AS (SELECT read_idx, i, size, hamming(x, y) AS mm FROM x WHERE x NOT LIKE '%N%' AND y NOT LIKE '%N%' AND hamming(x, y) <= least(5, size * 20 // 100) AND {_informative_sql('x')}),
+o AS (SELECT p.*, k, i, size, mm FROM p LEFT JOIN (SELECT read_idx, count(*) AS k, min(i) AS i, min(size) AS size, min(mm) AS mm FROM h GROUP BY 1) USING (read_idx))"""
+
+
+@_query(f"""WITH {_OVER} SELECT read_idx, CASE WHEN k IS NULL THEN 'none' WHEN k = 1 THEN 'unique' ELSE 'ambiguous' END AS overlap_status,
+ cast(CASE WHEN k = 1 THEN i ELSE 0 END AS integer) AS insert_length, cast(CASE WHEN k = 1 THEN size ELSE 0 END AS integer) AS overlap_length, cast(CASE WHEN k = 1 THEN mm ELSE 0 END AS integer) AS overlap_mismatches FROM o""")
 def q_mate_overlap(spark, sf_dir):
-    return pair_features(_pairs(spark, sf_dir), correct=True, merge=True).select("read_idx", "overlap_status", "insert_length", "overlap_mismatches", "corrected", "merged_seq")
+    return overlaps(pairs(spark, sf_dir)).select("read_idx", "overlap_status", "insert_length", "overlap_length", "overlap_mismatches")
+
+
+_MERGE = f"""{_OVER}, u AS (SELECT * FROM o WHERE k = 1), z AS (SELECT *, unnest(range(0, i)) AS pos0 FROM u),
+t AS (SELECT *, CASE WHEN pos0 < length(seq1) THEN substr(seq1, pos0 + 1, 1) END AS b1, CASE WHEN pos0 < length(seq1) THEN ascii(substr(qual1, pos0 + 1, 1)) END AS k1,
+       CASE WHEN i - pos0 <= length(seq2) THEN translate(substr(seq2, i - pos0, 1), 'ACGT', 'TGCA') END AS b2, CASE WHEN i - pos0 <= length(seq2) THEN ascii(substr(qual2, i - pos0, 1)) END AS k2 FROM z),
+f AS (SELECT *, coalesce(b1 <> b2 AND k1 >= 63 AND k2 <= 47, false) AS fix2, coalesce(b1 <> b2 AND k2 >= 63 AND k1 <= 47, false) AS fix1 FROM t)"""
+
+
+@_query(f"""WITH {_MERGE}, v AS (SELECT read_idx, count(*) FILTER (fix1 OR fix2) AS fixed,
+   string_agg(CASE WHEN b1 IS NULL OR (b2 IS NOT NULL AND CASE WHEN fix2 THEN k1 ELSE k2 END > CASE WHEN fix1 THEN k2 ELSE k1 END) THEN CASE WHEN fix2 THEN b1 ELSE b2 END ELSE CASE WHEN fix1 THEN b2 ELSE b1 END END, '' ORDER BY pos0) AS merged FROM f GROUP BY 1)
+SELECT p.read_idx, cast(coalesce(fixed, 0) AS integer) AS corrected, merged AS merged_seq FROM p LEFT JOIN v USING (read_idx)""")
+def q_correct_merge(spark, sf_dir):
+    return pair_features(pairs(spark, sf_dir), correct=True, merge=True).select("read_idx", "corrected", "merged_seq")
+
+
+_HEADS = range(10, len(ADAPTER))
+
+
+def _mate_sql(m: int, adapter: str) -> str:
+    heads = " OR ".join(f"(suffix(seq{m}, '{adapter[:n]}') AND {_informative_sql(f"'{adapter[:n]}'")} AND {{0}} = {n})" for n in _HEADS)
+    there = heads.replace(" AND {0} = ", " AND 0 <> ")
+    return f"({heads.format(f'length(seq{m}) - i')}) AS part_at{m}, ({there}) AS part{m}, " + f"""
+   len(list_filter(range(0, greatest(length(seq{m}) - {len(adapter) - 1}, 0)), lambda s: hamming(substr(seq{m}, s + 1, {len(adapter)}), '{adapter}') <= 1 AND substr(seq{m}, s + 1, {len(adapter)}) NOT LIKE '%N%' AND substr(seq{m}, s + 1 + a{m}.pos0, length(a{m}.word)) = a{m}.word)) > 0 AS full{m},
+   coalesce(length(seq{m}) - i >= {len(adapter)} AND hamming(rpad(substr(seq{m}, cast(i + 1 AS bigint), {len(adapter)}), {len(adapter)}, 'N'), '{adapter}') <= 1, false) AS full_at{m}"""
+
+
+def _kind_sql(m: int) -> str:
+    return f"CASE WHEN coalesce(k, 0) <> 1 THEN NULL WHEN full{m} THEN CASE WHEN full_at{m} THEN 'full' END WHEN part_at{m} THEN 'partial' WHEN NOT part{m} AND i < length(seq{m}) THEN 'overlap' END"
+
+
+@_query(f"""WITH {_OVER}, a1 AS {_anchor_sql(_ONE, 'e', 'k')}, a2 AS {_anchor_sql(_ONE.replace(ADAPTER, ADAPTER2), 'e', 'k')},
+d AS (SELECT o.read_idx, o.k, o.i, seq1, seq2, {_mate_sql(1, ADAPTER)}, {_mate_sql(2, ADAPTER2)} FROM o, a1, a2),
+e AS (SELECT *, {_kind_sql(1)} AS adapter1, {_kind_sql(2)} AS adapter2 FROM d)
+SELECT read_idx, adapter1, adapter2, cast(CASE WHEN adapter1 IS NULL THEN length(seq1) ELSE i END AS integer) AS end1, cast(CASE WHEN adapter2 IS NULL THEN length(seq2) ELSE i END AS integer) AS end2 FROM e""")
+def q_pair_bounds(spark, sf_dir):
+    own = {m: (Adapter(a, min_partial=10),) for m, a in ((1, ADAPTER), (2, ADAPTER2))}
+    return fragments(pairs(spark, sf_dir), Spec(adapters=own)).select("read_idx", "adapter1", "adapter2", F.col("_e1").alias("end1"), F.col("_e2").alias("end2"))
+
+
+_SIGNED = f"""sg AS (SELECT parent || '.' || bid AS sample, concat('NNNN', reverse(translate(bseq, 'ACGT', 'TGCA')), reverse(translate(aseq, 'ACGT', 'TGCA'))) AS expected FROM b JOIN a ON a.aid = b.parent),
+an AS {_anchor_sql('sg', 'expected', 'sample')}"""
+
+
+@_query(f"WITH {_ROUTED}, {_SIGNED} SELECT sample, expected, cast(pos0 AS integer) AS anchor_at, word AS anchor FROM sg JOIN an USING (sample)")
+def q_opposite_signature(spark, sf_dir):
+    rows = [(s, e, pos0, word) for s, _, e, pos0, word in sample_adapters(LAYOUT, *dimensions(spark, sf_dir), paired=False)]
+    return spark.createDataFrame(rows, "sample string, expected string, anchor_at int, anchor string")
+
+
+_THROUGH = "concat(seq1, 'GGTT', reverse(translate(substr(seq1, 1, 20), 'ACGT', 'TGCA')))"
+
+
+@_query(f"""WITH {_ROUTED}, {_SIGNED}, y AS (SELECT read_idx, sample, substr({_THROUGH}, 25) AS bio FROM x WHERE sample IS NOT NULL),
+z AS (SELECT y.*, expected, pos0, word, unnest(range(0, length(bio) - 23)) AS pos FROM y JOIN sg USING (sample) JOIN an USING (sample)),
+f AS (SELECT read_idx, pos FROM z WHERE substr(bio, pos + pos0 + 1, length(word)) = word AND hamming(substr(bio, pos + 5, 20), substr(expected, 5)) <= 1 AND substr(bio, pos + 5, 20) NOT LIKE '%N%')
+SELECT y.read_idx, sample, cast(min(pos) AS integer) AS full_at, cast(length(bio) - coalesce(min(pos), length(bio)) AS integer) AS removed FROM y LEFT JOIN f USING (read_idx) GROUP BY y.read_idx, sample, bio""")
+def q_sample_adapters(spark, sf_dir):
+    through = derived_reads(spark, sf_dir).withColumns({"seq1": F.expr(_THROUGH), "qual1": F.expr("rpad(qual1, 80, 'I')"), "id1": F.col("id")})
+    return fragments(through, _demux_spec(spark, sf_dir)).where("status = 'assigned'").select("read_idx", "sample", F.col("full1").alias("full_at"), F.col("adapter_removed1").cast("int").alias("removed"))
+
+
+def _demux_spec(spark, sf_dir, **more) -> Spec:
+    barcodes, sheet = dimensions(spark, sf_dir)
+    return Spec(layout=LAYOUT, barcodes=tuple(barcodes), sheet=tuple(sheet), infer_adapters=True, **more)
+
+
+@_query(f"""WITH {_ROUTED}, c AS (SELECT s.sample, count(x.read_idx) AS assigned_fragments, count(x.read_idx) AS single_records, cast(0 AS bigint) AS r1_records, cast(0 AS bigint) AS r2_records,
+   cast(coalesce(sum(length(seq1) - 24), 0) AS bigint) AS assigned_bases_single, cast(0 AS bigint) AS assigned_bases_r1, cast(0 AS bigint) AS assigned_bases_r2
+   FROM (SELECT parent || '.' || bid AS sample FROM b) s LEFT JOIN (SELECT * FROM x WHERE length(regexp_replace(substr(seq1, 25), '[^N]', '', 'g')) <= 2) x USING (sample) GROUP BY 1)
+SELECT *, round(assigned_fragments / (SELECT sum(assigned_fragments) FROM c), 8) AS fraction_of_assigned_fragments,
+       round(assigned_fragments / (SELECT median(assigned_fragments) FROM c WHERE assigned_fragments > 0), 8) AS fraction_of_median,
+       CASE WHEN assigned_fragments = 0 THEN 'MISSING' WHEN assigned_fragments < 0.05 * (SELECT median(assigned_fragments) FROM c WHERE assigned_fragments > 0) THEN 'LOW_REPRESENTATION' ELSE 'OK' END AS status FROM c""")
+def q_sample_table(spark, sf_dir):
+    spec = _demux_spec(spark, sf_dir, filters=filters.FilterOptions(max_n=2))
+    return sample_table(fragments(derived_reads(spark, sf_dir).withColumnRenamed("id", "id1"), spec), spec)
+
+
+_TRIMMED = f"""i AS ({_INS}), a AS {_anchor_sql(_ONE, 'e', 'k')}, b AS (SELECT read_idx, seq, qual, substr(seq, 6, length(seq) - 8) AS bio, substr(qual, 6, length(seq) - 8) AS bq FROM i),
+s AS (SELECT read_idx, bio, unnest(range(0, greatest(length(bio) - {len(ADAPTER) - 1}, 0))) AS pos FROM b),
+f AS (SELECT read_idx, min(pos) AS pos0 FROM s, a WHERE hamming(substr(bio, pos + 1, {len(ADAPTER)}), '{ADAPTER}') <= 1 AND substr(bio, pos + 1, {len(ADAPTER)}) NOT LIKE '%N%' AND substr(bio, pos + 1 + a.pos0, length(word)) = word GROUP BY 1),
+t AS (SELECT b.*, f.pos0, least(coalesce(f.pos0, length(bio)), 30) AS size FROM b LEFT JOIN f USING (read_idx))"""
+_TRIM = dict(trim_front=(5, 0), trim_tail=(3, 0), max_len=(30, 0), filters=filters.FilterOptions(min_length=20))
+
+
+def _trim(spark, sf_dir):
+    reads = inserts(spark, sf_dir).withColumnsRenamed({"id": "id1", "seq": "seq1", "qual": "qual1"})
+    return fragments(reads, Spec(adapters={1: (Adapter(ADAPTER),)}, **_TRIM))
+
+
+@_query(f"""WITH {_TRIMMED}, c AS (SELECT count(*) AS processed, count(*) AS assigned, count(*) FILTER (size >= 20) AS retained, count(*) FILTER (size < 20) AS too_short, count(pos0) AS full_adapters_r1,
+   sum(length(bio) - pos0) AS full_bases_r1, count(*) FILTER (pos0 <= 2) AS dimers_r1, sum(8) AS quality_bases_r1, sum(greatest(coalesce(pos0, length(bio)) - 30, 0)) AS max_length_bases_r1 FROM t)
+SELECT "Metric", cast("Count" AS bigint) AS "Count" FROM (UNPIVOT (SELECT processed::bigint processed, assigned::bigint assigned, retained::bigint retained, too_short::bigint too_short, full_adapters_r1::bigint full_adapters_r1,
+   full_bases_r1::bigint full_bases_r1, dimers_r1::bigint dimers_r1, quality_bases_r1::bigint quality_bases_r1, max_length_bases_r1::bigint max_length_bases_r1 FROM c) ON COLUMNS(*) INTO NAME "Metric" VALUE "Count")""")
+def q_preprocessing_counters(spark, sf_dir):
+    told = ["processed", "assigned", "retained", "too_short", "full_adapters_r1", "full_bases_r1", "dimers_r1", "quality_bases_r1", "max_length_bases_r1"]
+    return preprocessing_table(_trim(spark, sf_dir)).where(F.col("Metric").isin(told))
+
+
+@_query(f"WITH {_TRIMMED} SELECT 'R1' AS mate, {_STATS} FROM (SELECT substr(bio, 1, cast(size AS bigint)) AS s, substr(bq, 1, cast(size AS bigint)) AS q FROM t WHERE size >= 20)")
+def q_retained_stats(spark, sf_dir):
+    return metrics.mate_stats(_trim(spark, sf_dir).where("not rejected"))
+
+
+@_query(f"""WITH i AS ({_INS}), {_MATES}, p AS (SELECT r1.seq AS s1, r2.seq AS s2 FROM r1 FULL JOIN r2 USING (read_idx))
+SELECT count(*) AS processed, count(*) FILTER (s1 IS NOT NULL AND s2 IS NOT NULL) AS assigned, count(*) FILTER (s2 IS NULL) AS orphan_r1, count(*) FILTER (s1 IS NULL) AS orphan_r2,
+  count(*) FILTER (s1 IS NULL OR s2 IS NULL OR length(s1) >= 40) AS retained, count(*) FILTER (s1 IS NOT NULL AND s2 IS NOT NULL AND length(s1) < 40) AS too_short FROM p""")
+def q_orphan_counts(spark, sf_dir):
+    i = inserts(spark, sf_dir)
+    both = pairing.pair(i.where("read_idx % 9 <> 4"), i.where("read_idx % 7 <> 2"))
+    return summary(fragments(both, Spec(overlap=False, filters=filters.FilterOptions(min_length=40)))).select("processed", "assigned", "orphan_r1", "orphan_r2", "retained", "too_short")
+
+
+@_query(f"WITH i AS ({_INS}) SELECT read_idx, regexp_matches(id, '^(FS|MN|SH|NS|NB|NDX|VL|VH|A|NA|LH)') AS found FROM (SELECT read_idx, CASE WHEN read_idx % 3 = 0 THEN 'VH' || id ELSE id END AS id FROM i)")
+def q_poly_g_instrument(spark, sf_dir):
+    return inserts(spark, sf_dir).select("read_idx", dna.two_colour(F.when(F.col("read_idx") % 3 == 0, F.concat(F.lit("VH"), F.col("id"))).otherwise(F.col("id"))).alias("found"))
 
 
 def queries() -> dict:

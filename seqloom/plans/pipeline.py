@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import clip, dna
 from seqloom.operators import filters, metrics
-from seqloom.operators.adapters import Adapter
-from seqloom.operators.overlap import pair_features
+from seqloom.operators.adapters import Adapter, SampleAdapter, sample_adapters
+from seqloom.operators.overlap import consensus, overlaps
 from seqloom.operators.routing import route
 from seqloom.plans.layout import Layout
 from seqloom.sources.fastq import write_fastq
@@ -44,6 +44,8 @@ class Spec:
     poly_g: int = 0
     poly_x: int = 0
     adapters: dict[int, tuple[Adapter, ...]] = field(default_factory=dict)
+    infer_adapters: bool = False
+    technical: dict[int, str] = field(default_factory=dict)
     overlap: bool = True
     overlap_length: int = 30
     overlap_limit: int = 5
@@ -63,6 +65,7 @@ class Spec:
     blacklist: tuple[str, ...] = ()
     blacklist_threshold: int = 0
     write_unassigned: bool = False
+    write_failed: bool = False
     low_fraction: float = 0.05
     dimer_max: int = 2
 
@@ -86,12 +89,13 @@ class Spec:
 
 def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
     """The fragment table: read_idx, id, seq, qual by mate as they came, status and sample, bounds,
-    retained bases, filter flags, and for pairs the overlap's features.
+    retained bases, filter flags, bases removed by each step, and for pairs the overlap's features.
 
-    reads: read_idx, id1, seq1, qual1 and, for pairs, id2, seq2, qual2.  Order of steps: duplicates on
-    the raw bases, routing, fixed and quality clips, poly-G, adapters or overlap (assigned ones
-    only), poly-X, length, correction, merging, filters.  Nothing is collected; only duplicate marking
-    shuffles.
+    reads: read_idx, id1, seq1, qual1 and, for pairs, id2, seq2, qual2; a pair that lacks a mate is an
+    orphan, which nothing clips or rejects.  Order of steps: duplicates on the raw bases,
+    routing, fixed and quality clips, poly-G, adapters or overlap (assigned ones only), poly-X,
+    length, correction, merging, filters.  Nothing is collected; only duplicate marking shuffles,
+    and pairs pass through one or two Arrow stages.
     """
     mates = (1, 2) if "seq2" in reads.columns else (1,)
     df = reads
@@ -101,61 +105,104 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
         df = filters.mark_duplicates(df, mates)
     if spec.blacklist:
         df = filters.blacklisted(df, list(spec.blacklist), spec.blacklist_threshold)
+    paired = len(mates) == 2
     if spec.barcodes:
         df = route(df, spec.layout, list(spec.barcodes), list(spec.sheet), spec.max_mismatches)
     else:
         df = df.withColumns({"status": F.lit("assigned"), "sample": F.lit("trimmed"), "is_short": F.lit(False)})
-    assigned = F.col("status") == "assigned"
-    paired = len(mates) == 2
+    if paired:
+        orphan = F.col("seq1").isNull() | F.col("seq2").isNull()
+        df = df.withColumns({"status": F.when(orphan, "orphan").otherwise(F.col("status")), "sample": F.when(~orphan, F.col("sample")), "is_short": F.coalesce(~orphan & F.col("is_short"), F.lit(False))})
+    inferred = []
+    if spec.infer_adapters and spec.barcodes:
+        inferred = sample_adapters(spec.layout, list(spec.barcodes), list(spec.sheet), paired, spec.technical, {m: spec.umi_bases(m) for m in mates})
+        for m in sorted({r[1] for r in inferred}):
+            dim = df.sparkSession.createDataFrame([(r[0], *r[2:]) for r in inferred if r[1] == m], f"_s string, infer{m}_expected string, infer{m}_at int, infer{m}_word string")
+            df = df.join(F.broadcast(dim), F.col("sample") == F.col("_s"), "left").drop("_s")  # a row a sample of the sheet
+    own = {m: [*spec.adapters.get(m, ()), *([SampleAdapter(f"infer{m}")] if any(r[1] == m for r in inferred) else [])] for m in mates}
+    df = df.withColumn("_able", F.col("status") == "assigned")
+    confirm = paired and spec.overlap
     for m in mates:
-        df = _clip(df, m, spec, assigned, alone=not (paired and spec.overlap))
+        df = _settled(_clip(df, m, spec, own[m], alone=not confirm), df.columns)
     df = _names(df, spec, mates)
-    if paired and (spec.overlap or spec.correction or spec.merge):
-        df = _pairs(df, spec)
-    flagged = filters.flag(df.withColumns({f"raw_{c}{m}": F.col(f"{c}{m}") for c in ("seq", "qual") for m in mates}).withColumns({f"{c}{m}": F.col(f"kept_{c}{m}") for c in ("seq", "qual") for m in mates}), spec.filters, mates)
-    return flagged
+    if confirm:
+        df = _pair_bounds(df, spec, own)
+    for m in mates:
+        df = _finish(df, m, spec)
+        df = df.withColumns({f"kept_{c}{m}": dna.cut(F.col(f"{c}{m}"), F.col(f"_s{m}"), F.col(f"_e{m}")) for c in ("seq", "qual")})
+    df = _settled(df, [c for c in df.columns if not c.startswith(("kept_", "_s", "_e", "poly_x", "max_length", "adapter", "dimer"))])
+    df = df.withColumns({f"raw_{c}{m}": F.col(f"{c}{m}") for c in ("seq", "qual") for m in mates}).withColumns({f"{c}{m}": F.col(f"kept_{c}{m}") for c in ("seq", "qual") for m in mates})
+    if paired and (spec.correction or spec.merge):
+        df = overlaps(df.drop("overlap_status", "insert_length", "overlap_length", "overlap_mismatches", "gap_end1", "gap_end2") if confirm else df, where="_able", **_limits(spec))
+        df = consensus(df, correct=spec.correction, merge=spec.merge, fronts=("_front1", "_front2"))
+    return filters.flag(df, spec.filters, mates).drop("_able")
 
 
-def _clip(df: DataFrame, m: int, spec: Spec, assigned, alone: bool) -> DataFrame:
-    seq, qual, i = F.col(f"seq{m}"), F.col(f"qual{m}"), m - 1
-    start = F.when(assigned, F.least(F.lit(spec.layout.prefix(m) + spec.umi_bases(m)), F.length(seq))).otherwise(0)
-    df = df.withColumns({f"_s{m}": start, f"_e{m}": F.length(seq)})
+def _settled(df: DataFrame, before: list[str]) -> DataFrame:
+    """df with the columns it has beyond `before` computed once: an exploded array of one keeps Spark from
+    writing their expressions out again in every later filter and projection that uses them."""
+    new = [c for c in df.columns if c not in before]
+    old = [c for c in df.columns if c in before]
+    return df.select(*old, F.explode(F.array(F.struct(*new))).alias("_new")).select(*old, "_new.*")
+
 
-    def put(bounds):
-        nonlocal df
-        s, e = F.col(f"_s{m}"), F.col(f"_e{m}")
-        df = df.withColumns({f"_s{m}": F.when(assigned, bounds[0]).otherwise(s), f"_e{m}": F.when(assigned, bounds[1]).otherwise(e)})
+def _limits(spec: Spec) -> dict:
+    return dict(least=spec.overlap_length, limit=spec.overlap_limit, percent=spec.overlap_percent)
 
+
+def _put(df: DataFrame, m: int, step: str, bounds: tuple) -> DataFrame:
+    """New bounds of assigned fragments, and what the step has removed so far."""
+    s, e, able = F.col(f"_s{m}"), F.col(f"_e{m}"), F.col("_able")
+    df = df.withColumns({"_ns": F.when(able, bounds[0]).otherwise(s), "_ne": F.when(able, bounds[1]).otherwise(e)})
+    taken = (e - s) - (F.col("_ne") - F.col("_ns"))
+    before = F.col(f"{step}_removed{m}") if f"{step}_removed{m}" in df.columns else F.lit(0)
+    return df.withColumn(f"{step}_removed{m}", before + F.coalesce(taken, F.lit(0))).withColumns({f"_s{m}": F.col("_ns"), f"_e{m}": F.col("_ne")}).drop("_ns", "_ne")
+
+
+def _clip(df: DataFrame, m: int, spec: Spec, own: list, alone: bool) -> DataFrame:
+    """Bounds of a mate after its prefix, fixed and quality clips and poly-G, and where adapters begin in
+    what is left; if alone, these cut it."""
+    seq, qual, i = F.col(f"seq{m}"), F.col(f"qual{m}"), m - 1
     here = F.col(f"_s{m}"), F.col(f"_e{m}")
+    df = df.withColumns({f"_s{m}": F.lit(0), f"_e{m}": F.length(seq)})
+    df = _put(df, m, "proximal", (F.least(F.lit(spec.layout.prefix(m) + spec.umi_bases(m)), F.length(seq)), here[1]))
+    df = df.withColumn(f"_front{m}", here[0])
     if spec.trim_front[i] or spec.trim_tail[i]:
-        put(clip.fixed(here, spec.trim_front[i], spec.trim_tail[i]))
+        df = _put(df, m, "quality", clip.fixed(here, spec.trim_front[i], spec.trim_tail[i]))
     if spec.cut.front:
-        put(clip.cut_front(seq, qual, here, *spec.cut.front))
+        df = _put(df, m, "quality", clip.cut_front(seq, qual, here, *spec.cut.front))
     if spec.cut.right:
-        put(clip.cut_right(seq, qual, here, *spec.cut.right))
+        df = _put(df, m, "quality", clip.cut_right(seq, qual, here, *spec.cut.right))
     elif spec.cut.tail:
-        put(clip.cut_tail(seq, qual, here, *spec.cut.tail))
+        df = _put(df, m, "quality", clip.cut_tail(seq, qual, here, *spec.cut.tail))
     if spec.poly_g:
-        put(clip.poly_g(seq, here, spec.poly_g))
-    own = spec.adapters.get(m, ())
-    part = dna.cut(seq, *here)
-    full = F.array_min(F.array(*(a.full(part) for a in own))) if own else F.lit(None).cast("int")
-    partial = F.array_min(F.array(*(a.partial(part) for a in own))) if own else F.lit(None).cast("int")
-    df = df.withColumns({f"full{m}": F.when(assigned, full), f"partial{m}": F.when(assigned & full.isNull(), partial)})
-    if alone and own:
-        put((here[0], here[0] + F.coalesce(f"full{m}", f"partial{m}", here[1] - here[0])))
-        df = _finish(df, m, spec, assigned)
-    elif alone:
-        df = _finish(df, m, spec, assigned)
-    return df.withColumns({f"kept_seq{m}": dna.cut(seq, *here), f"kept_qual{m}": dna.cut(qual, *here)})
-
-
-def _finish(df: DataFrame, m: int, spec: Spec, assigned) -> DataFrame:
-    seq, here = F.col(f"seq{m}"), (F.col(f"_s{m}"), F.col(f"_e{m}"))
-    steps = [lambda: clip.poly_x(seq, here, spec.poly_x)] * bool(spec.poly_x) + [lambda: clip.max_length(here, spec.max_len[m - 1])] * bool(spec.max_len[m - 1])
-    for step in steps:
-        s, e = step()
-        df = df.withColumns({f"_s{m}": F.when(assigned, s).otherwise(here[0]), f"_e{m}": F.when(assigned, e).otherwise(here[1])})
+        df = _put(df, m, "poly_g", clip.poly_g(seq, here, spec.poly_g))
+    df = df.withColumns({f"_front{m}": here[0] - F.col(f"_front{m}"), f"_part{m}": dna.cut(seq, *here)})
+    part, none = F.col(f"_part{m}"), F.lit(None).cast("int")
+    full = F.array_min(F.array(*(a.full(part) for a in own))) if own else none
+    strongest = F.array_max(F.array(*(a.evidence(part) for a in own)))["start"] if own else none
+    df = df.withColumn(f"full{m}", F.when(F.col("_able"), full)).withColumn(f"partial{m}", F.when(F.col("_able") & F.col(f"full{m}").isNull(), strongest))
+    if alone:
+        kind = F.when(F.col(f"full{m}").isNotNull(), "full").when(F.col(f"partial{m}").isNotNull(), "partial")
+        df = _adapter_cut(df, m, spec, kind, F.coalesce(f"full{m}", f"partial{m}"))
+    return df
+
+
+def _adapter_cut(df: DataFrame, m: int, spec: Spec, kind, at) -> DataFrame:
+    """Cut a mate at `at` where kind (full, partial or overlap) isn't null, and note both and dimers."""
+    df = df.withColumns({f"adapter{m}": kind, "_at": at})
+    cut = F.when(F.col(f"adapter{m}").isNotNull(), F.col(f"_s{m}") + F.col("_at")).otherwise(F.col(f"_e{m}"))
+    df = _put(df, m, "adapter", (F.col(f"_s{m}"), cut)).drop("_at")
+    short = F.col(f"_e{m}") - F.col(f"_s{m}") <= spec.dimer_max
+    return df.withColumn(f"dimer{m}", F.col(f"adapter{m}").isNotNull() & short)
+
+
+def _finish(df: DataFrame, m: int, spec: Spec) -> DataFrame:
+    here = F.col(f"_s{m}"), F.col(f"_e{m}")
+    if spec.poly_x:
+        df = _put(df, m, "poly_x", clip.poly_x(F.col(f"seq{m}"), here, spec.poly_x))
+    if spec.max_len[m - 1]:
+        df = _put(df, m, "max_length", clip.max_length(here, spec.max_len[m - 1]))
     return df
 
 
@@ -182,36 +229,25 @@ def _names(df: DataFrame, spec: Spec, mates: tuple[int, ...]) -> DataFrame:
     return df
 
 
-def _pairs(df: DataFrame, spec: Spec) -> DataFrame:
-    """Overlap-confirmed adapter bounds, then correction and merging: one Arrow stage for either.
+def _pair_bounds(df: DataFrame, spec: Spec, own: dict[int, list]) -> DataFrame:
+    """Overlap-confirmed adapter bounds.
 
-    A mate is cut at insert + what was clipped in front of the other mate if a full adapter begins
-    there, or without one a partial does, or without either the overlap alone may decide.  Pairs
-    without a unique overlap keep their bases.
+    A mate may end at the insert plus what was clipped in front of the other mate (or where a one-gap
+    overlap puts it): if it has a full adapter and any signature begins there, or none and any
+    partial one does, or neither and the overlap may decide alone.  Pairs without a unique
+    overlap keep their bases.
     """
-    # rows carry everything through the stage under their read_idx; a narrow join puts it back
-    pairs = df.select("read_idx", "id1", F.col("kept_seq1").alias("seq1"), F.col("kept_qual1").alias("qual1"), "id2", F.col("kept_seq2").alias("seq2"), F.col("kept_qual2").alias("qual2"), F.col("status"))
-    common = dict(least=spec.overlap_length, limit=spec.overlap_limit, percent=spec.overlap_percent)
-    seen = pair_features(pairs.where("status = 'assigned'"), gap=spec.gap_overlap, **common)
-    seen = seen.select("read_idx", "overlap_status", "insert_length", "overlap_length", "overlap_mismatches", "gap_end1", "gap_end2")
-    df = df.join(seen, "read_idx", "left")
-    alone = F.lit(not spec.require_adapter)
+    df = overlaps(df, seqs=("_part1", "_part2"), gap=spec.gap_overlap, fronts=("_front1", "_front2"), where="_able", **_limits(spec))
     for m, other in ((1, 2), (2, 1)):
-        front = F.col(f"_s{other}") - spec.layout.prefix(other) - spec.umi_bases(other)
-        at = F.when(F.col("overlap_status") == "unique", F.col("insert_length") + front).when(F.col("overlap_status") == "none", F.col(f"gap_end{m}"))
-        n = F.col(f"_e{m}") - F.col(f"_s{m}")
-        full, part = F.col(f"full{m}"), F.col(f"partial{m}")
-        agrees = (full == at) | (full.isNull() & (part == at)) | (full.isNull() & part.isNull() & alone)
-        df = df.withColumn(f"_e{m}", F.when(F.coalesce((at < n) & agrees, F.lit(False)), F.col(f"_s{m}") + at).otherwise(F.col(f"_e{m}")))
-    for m in (1, 2):
-        df = _finish(df, m, spec, F.col("status") == "assigned")
-        df = df.withColumns({f"kept_{c}{m}": dna.cut(F.col(f"{c}{m}"), F.col(f"_s{m}"), F.col(f"_e{m}")) for c in ("seq", "qual")})
-    if spec.correction or spec.merge:
-        ready = df.where("status = 'assigned'").select("read_idx", "id1", "id2", *(F.col(f"kept_{c}{m}").alias(f"{c}{m}") for c in ("seq", "qual") for m in (1, 2)))
-        done = pair_features(ready, correct=spec.correction, merge=spec.merge, **common)
-        done = done.select("read_idx", *(F.col(f"{c}{m}").alias(f"_{c}{m}") for c in ("seq", "qual") for m in (1, 2)), "corrected", "merged_id", "merged_seq", "merged_qual")
-        df = df.join(done, "read_idx", "left")
-        df = df.withColumns({f"kept_{c}{m}": F.coalesce(f"_{c}{m}", f"kept_{c}{m}") for c in ("seq", "qual") for m in (1, 2)})
+        part, full, partial = F.col(f"_part{m}"), F.col(f"full{m}"), F.col(f"partial{m}")
+        at = F.when(F.col("overlap_status") == "unique", F.col("insert_length") + F.col(f"_front{other}")).when(F.col("overlap_status") == "none", F.col(f"gap_end{m}"))
+        df = df.withColumn(f"_end{m}", at)
+        here = F.col(f"_end{m}")
+        whole = reduce(lambda a, b: a | b, (x.full_at(part, here) for x in own[m]), F.lit(False))
+        end = reduce(lambda a, b: a | b, (x.partial_at(part, here) for x in own[m]), F.lit(False))
+        alone = full.isNull() & partial.isNull() & F.lit(not spec.require_adapter) & (here < F.length(part))
+        kind = F.when(here.isNull() | ~F.col("_able"), None).when(full.isNotNull() & whole, "full").when(full.isNull() & end, "partial").when(alone, "overlap")
+        df = _adapter_cut(df, m, spec, kind, here).drop(f"_end{m}")
     return df
 
 
@@ -228,6 +264,7 @@ def records(table: DataFrame, spec: Spec) -> DataFrame:
     rows = [F.when(~merged | ~assigned, F.struct(F.lit(names[m]).alias("stream"), F.col(f"id{m}").alias("id"), F.when(assigned, F.col(f"seq{m}")).otherwise(F.col(f"raw_seq{m}")).alias("seq"), F.when(assigned, F.col(f"qual{m}")).otherwise(F.col(f"raw_qual{m}")).alias("qual"))) for m in mates]
     if spec.merge and len(mates) == 2:
         rows.append(F.when(merged & assigned, F.struct(F.lit("merged").alias("stream"), F.col("merged_id").alias("id"), F.col("merged_seq").alias("seq"), F.col("merged_qual").alias("qual"))))
+    rows = [F.when(r["id"].isNotNull(), r) for r in rows]  # an orphan has one mate
     kept = table.where(~F.col("rejected")).where(assigned | F.lit(spec.write_unassigned))
     return kept.select(target.alias("target"), "read_idx", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("target", "read_idx", "x.*")
 
@@ -241,11 +278,45 @@ def failed_records(table: DataFrame) -> DataFrame:
 
 def summary(table: DataFrame) -> DataFrame:
     """One row of counters over the fragment table."""
-    sums = {s: F.sum((F.col("status") == s).cast("long")).alias(s) for s in ("assigned", "unmatched", "unrouted")}
-    extra = [F.sum(F.col("corrected").cast("long")).alias("corrected_bases")] if "corrected" in table.columns else []
-    extra += [F.sum(F.col("merged_seq").isNotNull().cast("long")).alias("merged")] if "merged_seq" in table.columns else []
-    adapters = [F.sum(F.col(f"{k}{m}").isNotNull().cast("long")).alias(f"{k}_adapters_r{m}") for m in (1, 2) if f"full{m}" in table.columns for k in ("full", "partial")]
-    return table.agg(F.count("*").alias("processed"), *sums.values(), F.sum((~F.col("rejected")).cast("long")).alias("retained"), *(F.sum(F.col(r).cast("long")).alias(r) for r in filters.REASONS), *adapters, *extra)
+    mates = [m for m in (1, 2) if f"seq{m}" in table.columns]
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    sums = {s: count(F.col("status") == s).alias(s) for s in ("assigned", "unmatched", "unrouted")}
+    sums |= {f"orphan_r{m}": count((F.col("status") == "orphan") & F.col(f"seq{m}").isNotNull()).alias(f"orphan_r{m}") for m in mates if len(mates) == 2}
+    extra = [count(F.col("corrected")).alias("corrected_bases")] if "corrected" in table.columns else []
+    extra += [count(F.col("merged_seq").isNotNull()).alias("merged")] if "merged_seq" in table.columns else []
+    for m in mates:
+        extra += [count(F.col(f"adapter{m}") == k).alias(f"{k}_adapters_r{m}") for k in ("full", "partial", "overlap")]
+        extra += [count(F.when(F.col(f"adapter{m}") == k, F.col(f"adapter_removed{m}"))).alias(f"{k}_bases_r{m}") for k in ("full", "partial", "overlap")]
+        extra.append(count(F.col(f"dimer{m}")).alias(f"dimers_r{m}"))
+        extra += [count(F.col(f"{s}_removed{m}")).alias(f"{s}_bases_r{m}") for s in ("proximal", "quality", "poly_g", "poly_x", "max_length") if f"{s}_removed{m}" in table.columns]
+    reasons = (count(F.col(r)).alias(r) for r in filters.REASONS)
+    return table.agg(F.count("*").alias("processed"), *sums.values(), count(F.col("is_short")).alias("short_reads"), count(~F.col("rejected")).alias("retained"), *reasons, *extra)
+
+
+def preprocessing_table(table: DataFrame) -> DataFrame:
+    """Metric, Count: the counters as rows, in the order of summary's columns."""
+    one = summary(table)
+    pairs = F.array(*(F.struct(F.lit(c).alias("Metric"), F.col(c).cast("long").alias("Count")) for c in one.columns))
+    return one.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+def sample_table(table: DataFrame, spec: Spec) -> DataFrame:
+    """A row for each sample of the sheet: fragments, records and bases retained by stream, shares and status."""
+    paired = "seq2" in table.columns
+    good = table.where("status = 'assigned' and not rejected")
+    merged = F.col("merged_seq").isNotNull() if "merged_seq" in table.columns else F.lit(False)
+    if paired:
+        parts = {"single": F.when(merged, F.length("merged_seq") if "merged_seq" in table.columns else F.lit(0)), "r1": F.when(~merged, F.length("seq1")), "r2": F.when(~merged, F.length("seq2"))}
+    else:
+        parts = {"single": F.length("seq1"), "r1": F.lit(None).cast("int"), "r2": F.lit(None).cast("int")}
+    counts = good.groupBy("sample").agg(
+        F.count("*").alias("fragments"),
+        *(F.count(c).alias(f"{n}_records") for n, c in parts.items()),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(f"assigned_bases_{n}") for n, c in parts.items()),
+    )
+    samples = table.sparkSession.createDataFrame([(r["Sample"],) for r in spec.sheet], "sample string")
+    columns = [f"{n}_records" for n in parts] + [f"assigned_bases_{n}" for n in parts]
+    return metrics.sample_metrics(counts, samples, spec.low_fraction, columns).withColumnsRenamed({"fragments": "assigned_fragments", "fraction_of_assigned": "fraction_of_assigned_fragments"})
 
 
 def demux(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip") -> DataFrame:
@@ -258,15 +329,22 @@ def demux(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip")
     table = fragments(reads, spec).persist()
     try:
         write_fastq(records(table, spec), f"{output}/reads", "target", "stream", compression=compression)
+        if spec.write_failed:
+            write_fastq(failed_records(table), f"{output}/failed", "stream", "mate", compression=compression)
         out = summary(table)
         row = out.first().asDict()
+        one = lambda df, name: df.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{output}/{name}")
         spark.createDataFrame([row], out.schema).coalesce(1).write.json(f"{output}/summary")
+        one(spark.createDataFrame(list(row.items()), "Metric string, Count long"), "preprocessing")
+        one(metrics.mate_stats(table, raw=True), "fastq_stats")
+        one(metrics.mate_stats(table.where("not rejected and status = 'assigned'")), "retained_fastq_stats")
+        if spec.layout.symbols:
+            raw = {f"{c}{m}": F.col(f"raw_{c}{m}") for c in ("seq", "qual") for m in (1, 2) if f"raw_seq{m}" in table.columns}
+            one(metrics.segment_stats(table.withColumns(raw), spec.layout), "barcode_stats")
         if spec.sheet:
-            samples = spark.createDataFrame([(r["Sample"],) for r in spec.sheet], "sample string")
-            size = reduce(lambda a, b: a + b, (F.length(f"seq{m}") for m in (1, 2) if f"seq{m}" in table.columns))
-            counts = table.where("status = 'assigned' and not rejected").groupBy("sample").agg(F.count("*").alias("fragments"), F.sum(size).alias("bases"))
-            metrics.sample_metrics(counts, samples, spec.low_fraction).coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{output}/sample_metrics")
-        if row["processed"] != row["assigned"] + row["unmatched"] + row["unrouted"]:
+            one(sample_table(table, spec), "sample_metrics")
+        spark.createDataFrame([(html_report(row),)], "page string").coalesce(1).write.text(f"{output}/report_html")
+        if row["processed"] != sum(row.get(c, 0) for c in ("assigned", "unmatched", "unrouted", "orphan_r1", "orphan_r2")):
             raise RuntimeError("fragment counts do not add up")
         return spark.createDataFrame([row], out.schema)
     finally:

@@ -10,6 +10,7 @@ import os
 from glob import glob
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,23 +18,69 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from seqloom.functions.dna import fastq_record
 
 SCHEMA = "file_idx int, read_idx long, id string, seq string, qual string"
+#: Plain files are cut into ranges of this size.
+SPLIT_BYTES = 128 << 20
+
+
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path inside it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _files(path: str) -> list[str]:
+    """Files of a path, folder or (on the driver's own disks) pattern, sorted; hidden ones are left out."""
+    if "://" not in path and any(c in path for c in "*?["):
+        found = sorted(glob(path))
+    else:
+        store, inside = _at(path)
+        if store.get_file_info(inside).type == fs.FileType.Directory:
+            prefix = path[: len(path) - len(inside)] if "://" in path else ""
+            found = sorted(prefix + i.path for i in store.get_file_info(fs.FileSelector(inside)) if i.is_file)
+        else:
+            found = [path]
+    return [p for p in found if not os.path.basename(p).startswith(("_", "."))]
+
+
+def _packing(magic: bytes) -> str | None:
+    for begin, name in ((b"\x1f\x8b", "gzip"), (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd")):
+        if magic.startswith(begin):
+            return name
+    return None
 
 
 def open_reads(path: str):
     """A byte stream, decompressed by the file's first bytes (several members follow each other)."""
-    with open(path, "rb") as f:
-        magic = f.read(6)
-    if magic[:2] == b"\x1f\x8b":
-        return gzip.open(path, "rb")
-    if magic[:3] == b"BZh":
-        return bz2.open(path, "rb")
-    if magic == b"\xfd7zXZ\x00":
-        return lzma.open(path, "rb")
-    if magic[:4] == b"\x28\xb5\x2f\xfd":
+    store, inside = _at(path)
+    f = store.open_input_file(inside)
+    kind = _packing(f.read(6))
+    f.seek(0)
+    if kind == "zstd":
         import zstandard
 
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True))
-    return open(path, "rb")
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True))
+    opened = {"gzip": gzip.open, "bz2": bz2.open, "xz": lzma.open}.get(kind)
+    return opened(f, "rb") if opened else io.BufferedReader(f)
+
+
+def first_record(stream, start: int) -> int:
+    """Where the first record at or behind byte `start` of a plain stream begins (its end, if none does).
+
+    Of four lines in a row only a record's name begins with @ while the line after next begins
+    with +: bases never do, whatever a quality line begins with."""
+    stream.seek(max(0, start - 1))
+    if start:
+        stream.readline()
+    at, lines = stream.tell(), []
+    while len(lines) < 6:
+        line = stream.readline()
+        if not line:
+            break
+        lines.append((at, line))
+        at += len(line)
+    for (here, name), (_, plus) in zip(lines, lines[2:]):
+        if name.startswith(b"@") and plus.startswith(b"+"):
+            return here
+    return at
 
 
 def parse(stream, where: str):
@@ -51,8 +98,10 @@ def parse(stream, where: str):
 
 
 class _Part(InputPartition):
-    def __init__(self, index: int, path: str):
-        self.index, self.path = index, path
+    """A file, or a range of one: then records are numbered by the byte at which they begin."""
+
+    def __init__(self, index: int, path: str, start: int = 0, end: int | None = None):
+        self.index, self.path, self.start, self.end = index, path, start, end
 
 
 class _Reader(DataSourceReader):
@@ -60,17 +109,38 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        paths = [p for part in self.options["path"].split(",") for p in (sorted(glob(f"{part}/*")) if os.path.isdir(part) else sorted(glob(part)) or [part])]
-        return [_Part(i, p) for i, p in enumerate(p for p in paths if not os.path.basename(p).startswith(("_", ".")))]
+        size, out = int(self.options.get("splitBytes", SPLIT_BYTES)), []
+        for i, path in enumerate(p for part in self.options["path"].split(",") for p in _files(part)):
+            store, inside = _at(path)
+            n = store.get_file_info(inside).size or 0
+            with store.open_input_file(inside) as f:
+                plain = _packing(f.read(6)) is None
+            out += [_Part(i, path, a, min(a + size, n)) for a in range(0, n, size)] if plain and n > size else [_Part(i, path)]
+        return out
+
+    def _records(self, part):
+        if part.end is None:
+            with open_reads(part.path) as f:
+                yield from enumerate(parse(f, part.path))
+            return
+        store, inside = _at(part.path)
+        with io.BufferedReader(store.open_input_file(inside)) as f:
+            at = first_record(f, part.start)
+            f.seek(at)
+            if at < part.end:
+                for record in parse(f, f"{part.path} from byte {at}"):
+                    yield at, record
+                    at = f.tell()
+                    if at >= part.end:
+                        return
 
     def read(self, partition):
         rows, size = [], int(self.options.get("batchRows", 8192))
-        with open_reads(partition.path) as f:
-            for n, (name, seq, qual) in enumerate(parse(f, partition.path)):
-                rows.append((partition.index, (partition.index << 40) | n, name, seq, qual))
-                if len(rows) == size:
-                    yield self._batch(rows)
-                    rows = []
+        for n, (name, seq, qual) in self._records(partition):
+            rows.append((partition.index, (partition.index << 40) | n, name, seq, qual))
+            if len(rows) == size:
+                yield self._batch(rows)
+                rows = []
         if rows:
             yield self._batch(rows)
 
@@ -81,8 +151,9 @@ class _Reader(DataSourceReader):
 
 
 class FastqDataSource(DataSource):
-    """spark.read.format("fastq"): a partition for each file; read_idx orders records within and
-    across files.  Files must be visible to executors, by a mount for example."""
+    """spark.read.format("fastq"): a partition for each compressed file and for each range of splitBytes of a
+    plain one; read_idx orders records within and across files: by number, or by byte where a file
+    is cut.  Paths are local or URIs that Arrow can open from executors (s3, gs, hdfs, file)."""
 
     @classmethod
     def name(cls):
@@ -95,22 +166,13 @@ class FastqDataSource(DataSource):
         return _Reader(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Records of a file, folder or pattern (or several with commas); limit keeps each file's first ones."""
+def read_fastq(spark: SparkSession, path: str, limit: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of a file, folder or pattern (or several with commas); limit keeps the first ones of all of
+    them, in order.  For interleaved mates and limits, records are numbered from 0 within a file,
+    so plain files are then read whole."""
     spark.dataSource.register(FastqDataSource)
-    df = spark.read.format("fastq").load(path)
-    return df.where((F.col("read_idx").bitwiseAND((1 << 40) - 1)) < limit) if limit else df
-
-
-def read_fastq_text(spark: SparkSession, path: str) -> DataFrame:
-    """Records of plain or gzip text from any store that Spark reads, by its own splits.
-
-    Spark's splitting at a record mark keeps four lines together: "\\n@" alone can also begin a
-    quality line, so lines are read whole per file and numbered within it.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    group = lines.groupBy("file", F.floor(F.col("n") / 4).alias("read_idx")).agg(*(F.max(F.when(F.col("n") % 4 == i, F.col("line"))).alias(c) for i, c in ((0, "id"), (1, "seq"), (3, "qual"))))
-    return group.where("id <> ''").select("file", "read_idx", F.expr("substring(id, 2)").alias("id"), "seq", "qual")
+    df = spark.read.format("fastq").option("splitBytes", (1 << 40) if limit else split_bytes).load(path)
+    return df.orderBy("read_idx").limit(limit) if limit else df
 
 
 def write_fastq(df: DataFrame, path: str, *keys: str, compression: str = "gzip") -> None:
