@@ -16,7 +16,7 @@ from seqloom.llm.shared import among, keep, only_kept, row_key, small
 #: Bands of minima that every document has, and those of the second family, for the nodes of open buckets.
 BANDS, ROWS = 32, 5
 LONG_BANDS, LONG_ROWS = 120, 12
-#: Minima of the second family of which one bit each is kept, 64 to a column; the bands' are among them.
+#: Minima of the second family of which one bit each is kept; the bands' are among them.
 SKETCH = 4096
 
 
@@ -206,12 +206,12 @@ def _long_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, pe
     used = keep(open_.select("node", "c").distinct())
     made = keep(_sets_of(used.select("node"), nodes, texts, k).mapInArrow(_long_bands(LONG_BANDS, LONG_ROWS, SKETCH), "node long, bands array<long>, bits array<long>"))
     flat = made.select("node", F.explode("bands").alias("key")).join(used, "node")
-    sketches = made.join(nodes.select("node", "n_shingles"), "node").select("node", F.col("n_shingles").alias("n"), *(F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH // 64)))
+    sketches = made.join(nodes.select("node", "n_shingles"), "node").select("node", F.col("n_shingles").alias("n"), "bits")
     met = keep(_mixed(flat).join(sketches, "node"))
     x, y = (met.select("key", *(F.col(v).alias(f"{v}_{e}") for v in met.columns if v != "key")) for e in "xy")
     off = (1 - percent / 100) / 2  # of the bits of two sets at the threshold
     differ = int(SKETCH * off + 4 * (SKETCH * off * (1 - off)) ** 0.5)
-    counted = " + ".join(f"bit_count(s{i}_x ^ s{i}_y)" for i in range(SKETCH // 64))
+    counted = "aggregate(zip_with(bits_x, bits_y, (p, q) -> bit_count(p ^ q)), 0, (n, d) -> n + d)"
     alike = f"node_x < node_y and c_x <> c_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and {counted} <= {differ}"
     return x.join(y, "key").where(alike).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
