@@ -1,8 +1,9 @@
 """Chat formatting: event logs folded into messages, rendered with a reversible template.
 
-An event log has conv_id, msg, seq, kind, role and text.  Events of a message, by seq, are
-`message` (begins it), `delta` (appends), `edit` (replaces what is there) and `regenerate`
-(throws it away; later deltas build the new reply).
+An event log has conv_id, turn, msg, seq, kind, role and text: turn is a message's place in its
+conversation, msg tells messages at one place apart.  Events of a message, by seq, are `message`
+(begins it), `delta` (appends), `edit` (replaces what is there) and `regenerate` (throws it
+away; later deltas build the new reply).
 """
 
 from __future__ import annotations
@@ -48,13 +49,13 @@ def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-_TURNS = [(c, pa.int64()) for c in ("conv_id", "msg", "seq")] + [(c, pa.string()) for c in ("role", "text", "rendered")] + [(c, pa.int64()) for c in ("loss_start", "loss_end")]
+_TURNS = [(c, pa.int64()) for c in ("conv_id", "turn", "msg")] + [(c, pa.string()) for c in ("role", "text", "rendered")] + [(c, pa.int64()) for c in ("loss_start", "loss_end")]
 _DIGESTS = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
 
 def _fold(batches):
     """Rows come sorted by conversation, message and sequence; one message is held at a time."""
-    held = None  # [conv, msg, seq, role, pieces]
+    held = None  # [conv, turn, msg, role, pieces]
 
     def done(m):
         text = "".join(m[4])
@@ -62,12 +63,12 @@ def _fold(batches):
 
     for batch in batches:
         out = []
-        for conv, msg, seq, kind, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for conv, turn, msg, kind, role, text in zip(*(c.to_pylist() for c in batch.columns)):
             text, role = text or "", role or ""
-            if held is None or kind == "message" or held[:2] != [conv, msg]:
+            if held is None or kind == "message" or held[:3] != [conv, turn, msg]:
                 if held:
                     out.append(done(held))
-                held = [conv, msg, seq, role, [] if kind == "regenerate" else [text]]
+                held = [conv, turn, msg, role, [] if kind == "regenerate" else [text]]
             elif kind == "delta":
                 held[4].append(text)
             else:
@@ -77,23 +78,28 @@ def _fold(batches):
         yield _batch([done(held)], _TURNS)
 
 
+KINDS = ("message", "delta", "edit", "regenerate")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
-    """One row per final message: conv_id, msg, seq, role, text, rendered, loss_start, loss_end.
+    """One row per final message: conv_id, turn, msg, role, text, rendered, loss_start, loss_end.
 
     The log is dealt out by conversation and message and sorted by sequence, so a conversation
-    with very many messages spreads over all tasks, and one message at a time is in memory.  A
-    conversation's document is its `rendered` by msg, seq, role and text; offsets are code points.
-
-    Null role or text: empty.  Null kind: message.  Null conv_id or msg group together and come
-    first.  Several `message` events of one msg stay separate turns, ordered by seq, role and
-    text; repeated rows are kept.  A delta or edit with nothing before it begins its message.
-    No rows give no rows; other columns are ignored.
+    with very many messages spreads over all tasks, and one message at a time, however long, is
+    in memory.  A conversation's document is its `rendered` by turn, role and text; offsets are
+    code points.  Without a column turn, msg gives a message's place.
+
+    Null role or text: empty.  Null kind: message; an unknown kind is an error.  Null conv_id, turn
+    or msg group together and come first.  Several `message` events of one msg stay separate
+    turns, ordered by seq, role and text; repeated rows are kept.  A delta or edit with nothing
+    before it begins its message.  No rows give no rows; other columns are ignored.
     """
-    log = events.select(
-        F.col("conv_id").cast("long"), F.col("msg").cast("long"), F.col("seq").cast("long"), F.coalesce("kind", F.lit("message")).alias("kind"), "role", "text"
-    )
-    dealt = log.repartition("conv_id", "msg").sortWithinPartitions("conv_id", "msg", "seq", "role", "text")
-    return dealt.mapInArrow(_fold, "conv_id long, msg long, seq long, role string, text string, rendered string, loss_start long, loss_end long")
+    kind = F.coalesce("kind", F.lit("message"))
+    known = F.when(kind.isin(*KINDS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), kind)))
+    turn = F.col("turn" if "turn" in events.columns else "msg").cast("long").alias("turn")
+    log = events.select(F.col("conv_id").cast("long").alias("conv_id"), turn, F.col("msg").cast("long").alias("msg"), F.col("seq").cast("long").alias("seq"), known.alias("kind"), "role", "text")
+    dealt = log.repartition("conv_id", "turn", "msg").sortWithinPartitions("conv_id", "turn", "msg", "seq", "role", "text")
+    return dealt.drop("seq").mapInArrow(_fold, "conv_id long, turn long, msg long, role string, text string, rendered string, loss_start long, loss_end long")
 
 
 def _digest(batches):
@@ -128,6 +134,6 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
     A digest over a conversation runs through its turns in order, so they meet in one task, sorted
     on disk where needed; the task streams over them and holds one turn at a time.
     """
-    dealt = formatted.select("conv_id", "msg", "seq", "role", "text", "rendered", "loss_start", "loss_end").repartition("conv_id")
-    rows = dealt.sortWithinPartitions("conv_id", "msg", "seq", "role", "text").select("conv_id", "rendered", "loss_start", "loss_end")
+    dealt = formatted.select("conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_end").repartition("conv_id")
+    rows = dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "rendered", "loss_start", "loss_end")
     return rows.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
