@@ -124,62 +124,73 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (np.log2((p1 + 1e-9) / (p1 + n1)) - np.log2((p0 + 1e-9) / (p0 + n0))) if p1 else -1.0
 
 
-def _grow(x: pd.DataFrame, bad: np.ndarray, steps: int = 24, depth: int = 3) -> Rule | None:
+def _grow(x: pd.DataFrame, wanted: np.ndarray, keep: bool, banned: set, steps: int = 24, depth: int = 3) -> Rule | None:
     mask, conditions = np.ones(len(x), bool), []
-    while len(conditions) < depth and (~bad & mask).any():
-        p0, n0, best = (bad & mask).sum(), (~bad & mask).sum(), (1e-6, None, None)
+    while len(conditions) < depth and (~wanted & mask).any():
+        p0, n0, best = (wanted & mask).sum(), (~wanted & mask).sum(), (1e-6, None, None)
         for f in x.columns:
             v = x[f].to_numpy()
-            for t in np.unique(np.quantile(v[bad & mask], np.linspace(0, 1, steps))):
+            for t in np.unique(np.quantile(v[wanted & mask], np.linspace(0, 1, steps))) if (wanted & mask).any() else ():
                 for op, m in (("<=", mask & (v <= t)), (">", mask & (v > t))):
-                    g = _gain(p0, n0, (bad & m).sum(), (~bad & m).sum())
-                    if g > best[0]:
+                    g = _gain(p0, n0, (wanted & m).sum(), (~wanted & m).sum())
+                    if g > best[0] and (conditions or (f, op) not in banned):
                         best = (g, (f, op, float(t)), m)
         if best[1] is None:
             break
         conditions.append(best[1])
         mask = best[2]
-    return Rule(tuple(conditions), False) if conditions else None
+    return Rule(tuple(conditions), keep) if conditions else None
 
 
-def _prune(rule: Rule, x: pd.DataFrame, bad: np.ndarray) -> Rule:
+def _prune(rule: Rule, x: pd.DataFrame, wanted: np.ndarray) -> Rule:
     """Drop final conditions while precision on rows set aside doesn't fall."""
 
     def worth(r: Rule) -> float:
         m = r.mask(x)
-        p, n = (bad & m).sum(), (~bad & m).sum()
+        p, n = (wanted & m).sum(), (~wanted & m).sum()
         return (p - n) / max(1, p + n)
 
-    while len(rule.conditions) > 1 and worth(shorter := Rule(rule.conditions[:-1], False)) >= worth(rule):
+    while len(rule.conditions) > 1 and worth(shorter := Rule(rule.conditions[:-1], rule.keep)) >= worth(rule):
         rule = shorter
     return rule
 
 
-def learn(x: pd.DataFrame, quality: np.ndarray, max_rules: int = 8, least_precision: float = 0.9) -> list[Rule]:
-    """Sequential covering: grow a conjunction that covers low-quality rows on two thirds, prune it
-    on the rest, take off what it covers, and go on while rules stay precise on both."""
-    bad = quality == 0
+def learn(x: pd.DataFrame, quality: np.ndarray, max_rules: int = 12, least_precision: float = 0.9, least_kept: float = 0.98) -> list[Rule]:
+    """Sequential covering of both classes: for either one, a conjunction is grown on two thirds of the
+    rows not covered yet and pruned on the rest.  A rule must be precise on all of them and on
+    the rest alone (rules that keep: more so, as most rows are good); where it isn't, another
+    first condition is tried.  The better of both, by the lift of what it covers, joins the list,
+    its rows go, and so on until no precise rule is left or the rest is of one class."""
     part = np.arange(len(x)) % 3
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
-    while len(rules) < max_rules and (bad & left).sum() >= 4:
-        grow, rest = left & (part < 2), left & (part == 2)
-        rule = _grow(x[grow], bad[grow])
-        if rule is None:
-            break
-        rule = _prune(rule, x[rest], bad[rest]) if rest.any() else rule
-        m = rule.mask(x) & left
-        if not m.any() or (bad & m).sum() < 3 or bad[m].mean() < least_precision:
+    while len(rules) < max_rules:
+        best = (0.0, None, None)
+        for keep, least in ((False, least_precision), (True, least_kept)):
+            wanted = (quality == 0) != keep
+            if min((wanted & left).sum(), (~wanted & left).sum()) < 4:
+                continue
+            grow, rest, banned = left & (part < 2), left & (part == 2), set()
+            while rule := _grow(x[grow], wanted[grow], keep, banned):
+                banned.add(rule.conditions[0][:2])
+                rule = _prune(rule, x[rest], wanted[rest])
+                m = rule.mask(x) & left
+                if (wanted & m).sum() >= 4 and wanted[m].mean() >= least and wanted[m & rest].sum() >= least * (m & rest).sum():
+                    lift = (wanted & m).sum() * np.log2(wanted[m].mean() / wanted[left].mean())
+                    best = max(best, (lift, rule, m), key=lambda b: b[0])
+                    break
+        if best[1] is None:
             break
-        rules.append(rule)
-        left &= ~m
+        rules.append(best[1])
+        left &= ~best[2]
     return rules
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """A decision list from labels (doc_id, quality).  Counts are made on Spark; at most
     max_labelled rows of ratios, the first by a hash of doc_id, reach the driver to fit rules.
-    Labels that are null, or of documents that base rules reject anyway, teach nothing."""
+    Labels that are null, or of documents that base rules reject anyway, teach nothing; of several
+    labels of a document the highest counts."""
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
@@ -192,7 +203,7 @@ def quality_filter(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, the counts of document_stats, base_failed and kept for every row of docs.
 
     kept is false where base rules fail, else what the decision list says.  Null or empty text has
-    no words and fails.  Null doc_ids and repeated rows get their rows; extra columns are ignored;
+    no words and fails; very long ones are counted whole.  Null doc_ids and repeated rows get their rows; extra columns are ignored;
     without labels no rule is learned and base rules decide alone.
     """
     return document_stats(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & decision(rules))
