@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm import words as W
-from seqloom.llm.shared import keep
+from seqloom.llm.shared import keep, only_kept
 
 #: Counts of at most so many of the most frequent words are sent to executors; the rest are joined.
 HEAD_WORDS = 300_000
 #: Contexts that the trie keeps at most, by count; bytes after all others are looked up or joined.
 MAX_NODES = 20_000
 #: Rows of the table of log10 p that are sent to executors at most; the rest is joined.
-HEAD_GRAMS = 1_000_000
+HEAD_GRAMS = 250_000
 ORDER, _START, _BITS = 4, 256, 9
 
 
@@ -288,10 +288,16 @@ def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS, max_nodes: int = MA
     of the word counts, at most head_words.  Rarer ones stay tables that are joined with what the
     heads lack, so neither model is ever held whole.
 
-    Words are 64-bit hashes.  Null text: empty, scored as the end alone; null doc_id: in training.
+    Words are 64-bit hashes.  Very long texts are scored whole, in blocks of memory that grow with the
+    text.  doc_id is cast to long in the result (a text that is no number: null).  Null text: empty, scored as the end alone; null doc_id: in training.
     Repeated rows count and are scored each time; other columns are ignored; an empty table gives
     no rows, and without training documents every word is unknown and every byte equally likely.
     """
+    with only_kept(docs.sparkSession) as stay:
+        return stay(_scores(docs, head_words, max_nodes, head_grams))
+
+
+def _scores(docs: DataFrame, head_words: int, max_nodes: int, head_grams: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     found = texts.where("not held_out").select("text").mapInArrow(_count, "kind byte, key long, c long")
