@@ -340,7 +340,7 @@ def test_contamination(spark, docs, none):
     rows = [(1, prose(22, 50) + " " + " ".join(item) + " " + prose(23, 50)), (2, " ".join(swapped).title()), (3, prose(24, 300)), (4, " ".join(item[:20])), (5, None), (None, " ".join(item))]
     bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None)], "item_id long, text string")
     got = {r.doc_id: r for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert set(got) == {1, 2, 4, None} and got[1].start == 50 and got[1].matched == 40 and got[2].matched == 35
+    assert set(got) == {1, 2, 4, None} and got[1].start == 50 and got[1].matched == 40 and got[2].matched == 35 and got[1].item_id == 7
     assert contamination(none, bench).count() == 0 and contamination(docs, bench.limit(0)).count() == 0
 
 
