@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.dna import is_informative, letters
-from seqloom.plans.layout import Layout
+from seqloom.plans.layout import Layout, Structure
 
 _ORDER = "ACGT"
 
@@ -188,6 +188,26 @@ def opposite(layout: Layout, mate: int, barcodes: dict[str, str], technical: dic
     return "".join(out + [t[::-1].translate(flip) for t in reversed(texts)])
 
 
+def distal(structure: Structure, barcodes: dict[str, str], technical: str | None = None) -> str:
+    """An explicit far end, read forward: each logical barcode in pieces, known technical bases or N."""
+    used, at, out = dict.fromkeys(barcodes, 0), 0, []
+    total = sum(p.end - p.start for p in structure.segments if p.symbol == "T")
+    if technical and len(technical) != total:
+        raise ValueError(f"the technical bases must be {total}")
+    for p in structure.segments:
+        n = p.end - p.start
+        if p.symbol == "T":
+            out.append(technical[at : at + n] if technical else "N" * n)
+            at += n
+            continue
+        text = barcodes[p.symbol][used[p.symbol] : used[p.symbol] + n]
+        used[p.symbol] += n
+        out.append(text[::-1].translate(str.maketrans("ACGT", "TGCA")) if p.reverse else text)
+    if any(used[s] not in (0, len(b)) for s, b in barcodes.items()):
+        raise ValueError("a barcode must be used up")
+    return "".join(out)
+
+
 def infer_adapter(reads: DataFrame, seed: int = 12, tail: int = 200, sample: int = 5000, prefix: int = 0) -> str | None:
     """An adapter that many read ends share: the 12-base seed of most reads, extended while nine in ten
     of its reads agree.  Seeds are counted on Spark over the first `sample` reads by read_idx, a

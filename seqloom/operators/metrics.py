@@ -9,6 +9,10 @@ from seqloom.functions import dna
 from seqloom.plans.layout import Layout
 
 
+#: Numbers of reads that one task puts in order where parts are numbered.
+STRETCH = 1_000_000
+
+
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
     return F.when(b == 0, 0.0).otherwise(scale * a / b)
 
@@ -121,5 +125,18 @@ def duplication(df: DataFrame, mates: tuple[int, ...] = (1,)) -> DataFrame:
 
 
 def split_parts(df: DataFrame, per_part: int, *keys: str) -> DataFrame:
-    """df plus part, from 0: per_part records of each stream in input order."""
-    return df.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("read_idx")) - 1) / per_part).cast("long"))
+    """df plus part, from 0: per_part records of each stream in input order.
+
+    Records are counted by stream and stretch of read_idx first; a record's place is what lies before
+    its stretch and its place within it, so a stream with most records spreads over all tasks."""
+    dealt = df.withColumn("_stretch", F.floor(F.col("read_idx") / STRETCH))
+    counts = dealt.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.join(counts.select(*keys, "_stretch", before.alias("_before")), [*keys, "_stretch"])
+    own = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy("read_idx"))
+    return placed.withColumn("part", F.floor((F.col("_before") + own - 1) / per_part).cast("long")).drop("_stretch", "_before")
+
+
+def split_evenly(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df plus part: so many parts of all records, by a count of them first."""
+    return split_parts(df, max(1, -(-df.count() // parts)), *keys)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CODE = np.full(256, 4, np.uint8)
@@ -203,3 +204,11 @@ def consensus(df: DataFrame, columns: tuple[str, ...] = ("seq1", "qual1", "seq2"
 def pair_features(pairs: DataFrame, least: int = 30, limit: int = 5, percent: float = 20, correct: bool = False, merge: bool = False, gap: bool = False) -> DataFrame:
     """overlaps and consensus of pairs (id1, seq1, qual1, id2, seq2, qual2, already clipped)."""
     return consensus(overlaps(pairs, least=least, limit=limit, percent=percent, gap=gap), correct=correct, merge=merge)
+
+
+def overlapped_span(text: Column, other: Column) -> Column:
+    """The part of R1's bases or qualities that a unique overlap without mismatches covers, or null;
+    other: R2's bases."""
+    start = F.greatest(F.col("insert_length") - F.length(other), F.lit(0))
+    exact = (F.col("overlap_status") == "unique") & (F.col("overlap_mismatches") == 0)
+    return F.when(exact, F.substring(text, start + 1, F.col("overlap_length")))

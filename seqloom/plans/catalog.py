@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from seqloom.functions import clip, dna
 from seqloom.operators import filters, metrics, pairing
 from seqloom.operators.adapters import Adapter, sample_adapters
-from seqloom.operators.overlap import overlaps, pair_features
+from seqloom.operators.overlap import overlapped_span, overlaps, pair_features
 from seqloom.operators.routing import route, route_counts
 from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, fragments, preprocessing_table, sample_table, summary
+from seqloom.sources import sam
 
 LAYOUT = Layout.parse("R1_10A10B4T")
 ADAPTER = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
@@ -526,6 +527,65 @@ def q_poly_g_instrument(spark, sf_dir):
     return inserts(spark, sf_dir).select("read_idx", dna.two_colour(F.when(F.col("read_idx") % 3 == 0, F.concat(F.lit("VH"), F.col("id"))).otherwise(F.col("id"))).alias("found"))
 
 
+@_query(f"WITH {_OVER} SELECT read_idx, CASE WHEN k = 1 AND mm = 0 THEN substr(seq1, cast(greatest(i - length(seq2), 0) + 1 AS bigint), size) END AS span FROM o")
+def q_overlapped_span(spark, sf_dir):
+    return overlaps(pairs(spark, sf_dir)).select("read_idx", overlapped_span(F.col("seq1"), F.col("seq2")).alias("span"))
+
+
+@_query(f"WITH i AS ({_INS}) SELECT read_idx, (row_number() OVER (ORDER BY read_idx) - 1) // cast(ceil((SELECT count(*) FROM i) / 7) AS bigint) AS part FROM i")
+def q_split_evenly(spark, sf_dir):
+    return metrics.split_evenly(inserts(spark, sf_dir), 7).select("read_idx", "part")
+
+
+_FLAG = "CASE read_idx % 12 WHEN 1 THEN 260 WHEN 2 THEN 2052 WHEN 3 THEN 0 WHEN 4 THEN 5 WHEN 5 THEN 68 ELSE 4 END"
+
+
+def sam_records(spark: SparkSession, sf_dir: str, flag: str = _FLAG) -> DataFrame:
+    """Records of inserts with some tags, of which some break the contract."""
+    tag = lambda k, v, t="Z": F.struct(F.lit(k).alias("key"), F.struct(F.lit(t).alias("type"), v.alias("value")).alias("value"))
+    every = F.array(tag("OQ", F.col("qual")), tag("XX", F.lit("kept")))
+    some = F.concat(every, F.when(F.col("read_idx") % 3 == 0, F.array(tag("NM", F.lit("1"), "i"))).otherwise(F.expr("slice(array(null), 1, 0)").cast("array<struct<key:string,value:struct<type:string,value:string>>>")), F.when(F.col("read_idx") % 4 == 0, F.array(tag("R2", F.col("seq")))).otherwise(F.expr("slice(array(null), 1, 0)").cast("array<struct<key:string,value:struct<type:string,value:string>>>")))
+    where = {"rname": F.lit("*"), "pos": F.when(F.col("read_idx") % 12 == 6, 7).otherwise(0), "mapq": F.lit(0), "cigar": F.lit("*"), "rnext": F.lit("*"), "pnext": F.when(F.col("read_idx") % 12 == 7, 9).otherwise(0), "tlen": F.lit(0)}
+    named = inserts(spark, sf_dir).withColumns({"qname": F.when(F.col("read_idx") % 12 == 8, "").otherwise(F.concat(F.lit("q"), F.col("read_idx"))), "flag": F.expr(flag), "tags": F.map_from_entries(some), **where})
+    return named.withColumns({"qual": F.when(F.col("read_idx") % 12 == 9, F.expr("substr(qual, 2)")).otherwise(F.col("qual")), "seq": F.when(F.col("read_idx") % 12 == 10, "").otherwise(F.col("seq"))})
+
+
+@_query(f"""SELECT read_idx, CASE read_idx % 12 WHEN 8 THEN 'no name' WHEN 1 THEN 'secondary' WHEN 2 THEN 'supplementary' WHEN 3 THEN 'aligned' WHEN 6 THEN 'aligned' WHEN 4 THEN 'paired' WHEN 5 THEN 'paired'
+ WHEN 7 THEN 'mate placed' WHEN 10 THEN 'no bases' WHEN 9 THEN 'lengths differ' END AS problem FROM ({_INS})""")
+def q_record_contract(spark, sf_dir):
+    return sam_records(spark, sf_dir).select("read_idx", sam.problem(paired=False).alias("problem"))
+
+
+def _trimmed_records(spark, sf_dir) -> DataFrame:
+    fine = sam_records(spark, sf_dir).where("read_idx % 12 not in (9, 10)")
+    return sam.trimmed(fine.withColumns({"b_start": F.when(F.col("read_idx") % 2 == 1, 5).otherwise(0), "b_end": F.length("seq"), "mate_seq": F.when(F.col("read_idx") % 5 == 0, "ACGT"), "mate_qual": F.when(F.col("read_idx") % 5 == 0, "IIII")}))
+
+
+_FINE = f"(SELECT * FROM ({_INS}) WHERE read_idx % 12 NOT IN (9, 10))"
+
+
+@_query(f"""SELECT read_idx, CASE WHEN read_idx % 2 = 1 THEN substr(seq, 6) ELSE seq END AS seq, CASE WHEN read_idx % 2 = 1 THEN substr(qual, 6) ELSE qual END AS oq,
+ read_idx % 3 = 0 AND read_idx % 2 = 0 AS has_nm, CASE WHEN read_idx % 4 <> 0 THEN NULL WHEN read_idx % 5 = 0 THEN 'ACGT' ELSE seq END AS r2 FROM {_FINE}""")
+def q_tag_policy(spark, sf_dir):
+    return _trimmed_records(spark, sf_dir).select("read_idx", "seq", F.col("tags")["OQ"]["value"].alias("oq"), F.map_contains_key("tags", "NM").alias("has_nm"), F.col("tags")["R2"]["value"].alias("r2"))
+
+
+@_query(f"""WITH f AS {_FINE}, a AS (SELECT CASE WHEN read_idx % 2 = 1 THEN 'rewritten' ELSE 'preserved' END AS "Action", 'OQ' AS "Tag" FROM f UNION ALL SELECT 'preserved', 'XX' FROM f
+ UNION ALL SELECT CASE WHEN read_idx % 2 = 1 THEN 'removed' ELSE 'preserved' END, 'NM' FROM f WHERE read_idx % 3 = 0 UNION ALL SELECT CASE WHEN read_idx % 5 = 0 THEN 'rewritten' ELSE 'preserved' END, 'R2' FROM f WHERE read_idx % 4 = 0)
+SELECT "Action", "Tag", count(*) AS "Count" FROM a GROUP BY 1, 2""")
+def q_tag_counts(spark, sf_dir):
+    return sam.tag_counts(_trimmed_records(spark, sf_dir))
+
+
+@_query(f"""SELECT 2 * read_idx AS read_idx, 'q' || cast(read_idx AS varchar) AS qname, read_idx % 2 = 0 AS r1_first, CASE WHEN read_idx % 2 = 0 THEN seq ELSE reverse(seq) END AS seq1, CASE WHEN read_idx % 2 = 0 THEN reverse(seq) ELSE seq END AS seq2 FROM ({_INS})""")
+def q_record_mates(spark, sf_dir):
+    i = inserts(spark, sf_dir).withColumn("qname", F.concat(F.lit("q"), F.col("read_idx")))
+    even = F.col("read_idx") % 2 == 0
+    first = i.withColumns({"flag": F.when(even, 77).otherwise(141), "read_idx": F.col("read_idx") * 2})
+    second = i.withColumns({"flag": F.when(even, 141).otherwise(77), "read_idx": F.col("read_idx") * 2 + 1, "seq": F.reverse("seq"), "qual": F.reverse("qual")})
+    return sam.mates(first.unionByName(second)).select("read_idx", "qname", "r1_first", "seq1", "seq2")
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import clip, dna
 from seqloom.operators import filters, metrics
-from seqloom.operators.adapters import Adapter, SampleAdapter, sample_adapters
+from seqloom.operators.adapters import Adapter, SampleAdapter, opposite, sample_adapters
 from seqloom.operators.overlap import consensus, overlaps
 from seqloom.operators.routing import route
 from seqloom.plans.layout import Layout
@@ -66,6 +66,7 @@ class Spec:
     blacklist_threshold: int = 0
     write_unassigned: bool = False
     write_failed: bool = False
+    include_unmerged: bool = False
     low_fraction: float = 0.05
     dimer_max: int = 2
 
@@ -119,7 +120,7 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
         for m in sorted({r[1] for r in inferred}):
             dim = df.sparkSession.createDataFrame([(r[0], *r[2:]) for r in inferred if r[1] == m], f"_s string, infer{m}_expected string, infer{m}_at int, infer{m}_word string")
             df = df.join(F.broadcast(dim), F.col("sample") == F.col("_s"), "left").drop("_s")  # a row a sample of the sheet
-    own = {m: [*spec.adapters.get(m, ()), *([SampleAdapter(f"infer{m}")] if any(r[1] == m for r in inferred) else [])] for m in mates}
+    own = {m: [*spec.adapters.get(m, ()), *_technical_adapter(spec, m, paired), *([SampleAdapter(f"infer{m}")] if any(r[1] == m for r in inferred) else [])] for m in mates}
     df = df.withColumn("_able", F.col("status") == "assigned")
     confirm = paired and spec.overlap
     for m in mates:
@@ -138,6 +139,15 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
     return filters.flag(df, spec.filters, mates).drop("_able")
 
 
+def _technical_adapter(spec: Spec, m: int, paired: bool) -> list[Adapter]:
+    """Without barcodes a far end is known where its technical bases are."""
+    if spec.barcodes or not spec.infer_adapters:
+        return []
+    source = 3 - m if paired else m
+    expected = opposite(spec.layout, source, {}, spec.technical, spec.umi_bases(source))
+    return [Adapter(expected)] if Adapter(expected).anchor else []
+
+
 def _settled(df: DataFrame, before: list[str]) -> DataFrame:
     """df with the columns it has beyond `before` computed once: an exploded array of one keeps Spark from
     writing their expressions out again in every later filter and projection that uses them."""
@@ -264,6 +274,8 @@ def records(table: DataFrame, spec: Spec) -> DataFrame:
     rows = [F.when(~merged | ~assigned, F.struct(F.lit(names[m]).alias("stream"), F.col(f"id{m}").alias("id"), F.when(assigned, F.col(f"seq{m}")).otherwise(F.col(f"raw_seq{m}")).alias("seq"), F.when(assigned, F.col(f"qual{m}")).otherwise(F.col(f"raw_qual{m}")).alias("qual"))) for m in mates]
     if spec.merge and len(mates) == 2:
         rows.append(F.when(merged & assigned, F.struct(F.lit("merged").alias("stream"), F.col("merged_id").alias("id"), F.col("merged_seq").alias("seq"), F.col("merged_qual").alias("qual"))))
+    if spec.include_unmerged and spec.merge and len(mates) == 2:  # R1 and R2 in turn among the merged ones
+        rows += [F.when(assigned, r.withField("stream", F.lit("merged"))) for r in rows[:2]]
     rows = [F.when(r["id"].isNotNull(), r) for r in rows]  # an orphan has one mate
     kept = table.where(~F.col("rejected")).where(assigned | F.lit(spec.write_unassigned))
     return kept.select(target.alias("target"), "read_idx", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("target", "read_idx", "x.*")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import dna
 from seqloom.operators import filters
-from seqloom.operators.adapters import Adapter, infer_adapter, opposite
+from seqloom.operators.adapters import Adapter, distal, infer_adapter, opposite
 from seqloom.operators.pairing import interleaved
+from seqloom.plans import options
 from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, html_report
-from seqloom.sources import tables
+from seqloom.sources import sam, tables
 from seqloom.sources.fastq import read_fastq, write_fastq
 from seqloom.streaming import reads as streams
 
@@ -127,3 +128,34 @@ def test_adapter_places(spark):
     a = Adapter("AGATCGGAAGAGCACACGTCTG", min_partial=8)
     row = spark.range(1).select(a.full_at(F.lit("TTAGATCGGAAGAGCACACGTCTGCC"), F.lit(2)).alias("yes"), a.full_at(F.lit("TTAGATCGGAAGAGCACACGTCTGCC"), F.lit(1)).alias("no"), a.partial_at(F.lit("CCCCAGATCGGAAG"), F.lit(4)).alias("end"), a.evidence(F.lit("CCCCAGATCGGAAG")).alias("e")).first()
     assert row.yes and not row.no and row.end and (row.e.known, row.e.start) == (10, 4)
+
+
+def test_option_texts():
+    assert (options.positive("7"), options.fraction("0.5"), options.percent("100"), options.quality("93")) == (7, 0.5, 100, 93)
+    assert [options.byte_size(x) for x in ("auto", "12", "3k", "2MiB", "1gb", "5b")] == [None, 12, 3072, 2 << 20, 1 << 30, 5]
+    for f, bad in ((options.positive, "0"), (options.positive, "x"), (options.fraction, "1.1"), (options.fraction, "nan"), (options.percent, "-1"), (options.quality, "94"), (options.byte_size, ""), (options.byte_size, "0k"), (options.byte_size, "3x")):
+        with pytest.raises(ValueError):
+            f(bad)
+
+
+def test_distal_ends():
+    s = Layout.parse("R2_4A(rc)2T3B").structures[0]
+    assert distal(s, {"A": "AACG", "B": "GGA"}) == "CGTTNNGGA" and distal(s, {"A": "AACG", "B": "GGA"}, "AC") == "CGTTACGGA"
+    for codes, technical in (({"A": "AACGT", "B": "GGA"}, None), ({"A": "AACG", "B": "GGA"}, "A")):
+        with pytest.raises(ValueError):
+            distal(s, codes, technical)
+
+
+def test_record_errors(spark):
+    schema = "read_idx long, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string, struct<type: string, value: string>>"
+    row = lambda i, flag, tags=None, qname="a": (i, qname, flag, "*", 0, 0, "*", "*", 0, 0, "ACGT", "IIII", tags or {})
+    df = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert sam.checked(df(row(0, 77), row(1, 141)), paired=True).count() == 2
+    for flag, paired in ((4, True), (77, False), (69, True), (205, True), (79, True)):
+        with pytest.raises(Exception, match="record a"):
+            sam.checked(df(row(0, flag)), paired).collect()
+    with pytest.raises(Exception, match="neighbours"):
+        sam.mates(df(row(0, 77), row(2, 141))).collect()
+    for tags in ({"OQ": ("i", "1")}, {"OQ": ("Z", "III")}):
+        with pytest.raises(Exception, match="tag"):
+            sam.trimmed(df(row(0, 4, tags)).withColumns({"b_start": F.lit(1), "b_end": F.lit(4)})).collect()
