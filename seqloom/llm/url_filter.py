@@ -40,6 +40,7 @@ class RuleTrie:
             for s in segments:
                 node = node.setdefault(("s", s), {})
             node.setdefault("ends", {})[end] = (name + start, verdict)
+            node.setdefault("lengths", set()).add(len(end))
 
     def match(self, name: str, start: str) -> tuple[str | None, str | None]:
         """The rule with the most host labels, then the longest path, that fits; or nothing."""
@@ -56,9 +57,9 @@ class RuleTrie:
     def _path(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for s in segments:
-            fits = [e for e in node.get("ends", ()) if s.startswith(e)]
+            fits = [n for n in node.get("lengths", ()) if s[:n] in node["ends"]]  # a lookup for each length that ends have
             if fits:
-                best = node["ends"][max(fits, key=len)]
+                best = node["ends"][s[: max(fits)]]
             node = node.get(("s", s))
             if node is None:
                 break
@@ -75,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     Rules are collected into a broadcast trie only if there are at most max_trie_rules; larger
     lists are joined on host suffix and path prefix instead, with the same result.
     Null url or no "://": host and path empty, no rule.  Every row is kept, repeated ones too; an
-    empty rule list gives the default; extra columns are ignored.
+    empty rule list gives the default; urls of any length are matched whole; extra columns are ignored.
     """
     spark = pages.sparkSession
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
