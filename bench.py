@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 from seqloom.plans import catalog  # noqa: E402
 from seqloom.plans.pipeline import spark_session  # noqa: E402
 
-HEADLINE = ["route_counts", "barcode_decode", "sample_metrics", "pairing", "dedup", "overrepresented", "fastq_stats", "filter_counts", "full_adapter", "cut_tail", "cycle_content", "mate_overlap"]
+HEADLINE = ["route_counts", "barcode_decode", "sample_metrics", "pairing", "dedup", "overrepresented", "fastq_stats", "filter_counts", "full_adapter", "cut_tail", "cycle_content", "mate_overlap", "pair_bounds", "sample_adapters"]
 MOST_SECONDS = 120  # no query begins later than this
 
 
