@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.centroids import cluster
 from seqloom.llm.chat import chat_digests, format_chats
 from seqloom.llm.decontaminate import contamination
+from seqloom.llm.filter_audit import audit_text_filters
+from seqloom.llm.fingerprint import edited_fingerprints
 from seqloom.llm.line_dedup import drop_recurring_lines
 from seqloom.llm.lm_score import lm_scores
 from seqloom.llm.mixing import mix_sources
@@ -86,11 +89,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_text_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (
+    op1_chat, op2_url_filter, op3_near_dedup, op4_line_dedup, op5_substring_dedup, op6_mixing, op7_quality,
+    op8_lm_score, op9_decontamination, op10_secrets, op11_fingerprint, op12_filter_audit, op13_centroids,
+)
+
+
 def queries() -> dict:
-    return {
-        f.__name__: f
-        for f in (op1_chat, op2_url_filter, op3_near_dedup, op4_line_dedup, op5_substring_dedup, op6_mixing, op7_quality, op8_lm_score, op9_decontamination, op10_secrets)
-    }
+    return {f.__name__: f for f in _OPERATORS}
 
 
 _OP2 = r"""
@@ -119,5 +137,40 @@ FROM t GROUP BY conv_id
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+m AS (SELECT text, min(doc_id) AS first FROM d GROUP BY 1),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+w AS (SELECT d.*, first, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM d JOIN m USING (text) LEFT JOIN l USING (doc_id)),
+b AS (SELECT part, good, toxic, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int
+        + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int AS bits FROM w),
+p AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM b GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT *, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::int AS passed
+      FROM (SELECT filter_order, unnest(range(1, 6))::int AS step FROM o)),
+t AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (bits & (passed | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (bits & passed = 0 AND bits & own <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER (bits & passed <> 0 AND bits & own <> 0), 0) AS redundant, coalesce(sum(n) FILTER (bits = own), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (bits & passed = 0 AND bits & own <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (bits & passed = 0 AND bits & own <> 0), 0) AS toxic_lost FROM s, p GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley FROM t
+"""
+
+
+def _op13(rounds: int = 3) -> str:
+    nearest = "SELECT r, vec_id, v, j, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, j) AS place FROM (SELECT r, vec_id, v, j, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint AS d FROM v, c{0})) WHERE place = 1"
+    floors = "SELECT j, list(((s - ((s % n) + n) % n) // n)::bigint ORDER BY i) AS c FROM (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{0}) GROUP BY 1, 2) GROUP BY 1"
+    steps = [f"a{i} AS MATERIALIZED ({nearest.format(i)}), c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN ({floors.format(i)}) m USING (j))" for i in range(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM v QUALIFY j < 16),
+{', '.join(steps)}, a{rounds} AS MATERIALIZED ({nearest.format(rounds)})
+SELECT vec_id, j::int AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::bigint AS cluster_inertia, (sum(d) OVER ())::bigint AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (j)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": _OP1, "op2_url_filter": _OP2}
+    return {"op1_chat": _OP1, "op2_url_filter": _OP2, "op12_filter_audit": _OP12, "op13_centroids": _op13()}
