@@ -16,7 +16,8 @@ from seqloom.operators.overlap import overlapped_span, overlaps, pair_features
 from seqloom.operators.routing import route, route_counts
 from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, fragments, preprocessing_table, sample_table, summary
-from seqloom.sources import sam
+from seqloom.sources import sam, scratch
+from seqloom.sources.fastq import read_fastq, write_fastq
 
 LAYOUT = Layout.parse("R1_10A10B4T")
 ADAPTER = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
@@ -284,6 +285,52 @@ def q_interleaved(spark, sf_dir):
     return pairing.interleaved(both).where("kind = 'pair'").select("read_idx", "seq1", "seq2")
 
 
+#: So small that the queries' own files are cut into many ranges.
+_CUT = 1 << 17
+
+
+def _refiled(spark, df: DataFrame, **options) -> tuple[DataFrame, str]:
+    """df (read_idx, id, seq, qual) written as plain FASTQ files and read from ranges of them."""
+    path = scratch.shared_path(spark, "reads")
+    write_fastq(df, path, compression="none")
+    return read_fastq(spark, path, split_bytes=_CUT, numbering="all", **options), path
+
+
+@_query(f"WITH i AS ({_INS}) SELECT row_number() OVER (ORDER BY read_idx) - 1 AS n, id, seq, qual FROM i")
+def q_split_records(spark, sf_dir):
+    reads, path = _refiled(spark, inserts(spark, sf_dir))
+    return scratch.settled(reads.select(F.col("read_idx").alias("n"), "id", "seq", "qual"), path)
+
+
+@_query(f"WITH i AS ({_INS}) SELECT row_number() OVER (ORDER BY read_idx) - 1 AS read_idx, id AS id1, seq AS seq1, reverse(seq) AS seq2 FROM i")
+def q_split_interleaved(spark, sf_dir):
+    i = inserts(spark, sf_dir)
+    second = {"read_idx": F.col("read_idx") * 2 + 1, "seq": F.reverse("seq"), "qual": F.reverse("qual")}
+    reads, path = _refiled(spark, i.withColumn("read_idx", F.col("read_idx") * 2).unionByName(i.withColumns(second)))
+    return scratch.settled(pairing.interleaved(reads).where("kind = 'pair'").select("read_idx", "id1", "seq1", "seq2"), path)
+
+
+@_query(f"WITH i AS ({_INS}), k AS (SELECT row_number() OVER (ORDER BY read_idx) - 1 AS n, seq FROM i) SELECT n, seq FROM k WHERE n < 10000 AND n % 20 = 0")
+def q_split_sampled(spark, sf_dir):
+    """Every 20th of the first 10,000 reads: the limit is the feature."""
+    reads, path = _refiled(spark, inserts(spark, sf_dir), limit=10_000)
+    return scratch.settled(reads.where("read_idx % 20 = 0").select(F.col("read_idx").alias("n"), "seq"), path)
+
+
+_SWAPPED = f"""i AS ({_INS}), r1 AS (SELECT *, CASE read_idx % 63 WHEN 54 THEN 2 * read_idx + 3 WHEN 55 THEN 2 * read_idx - 3 ELSE 2 * read_idx END AS p FROM i WHERE read_idx % 9 <> 4), r2 AS (SELECT *, row_number() OVER (ORDER BY read_idx) - 1 AS p FROM i WHERE read_idx % 7 <> 2),
+s AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS n, read_idx % 63 = 55 AND read_idx - 1 IN (SELECT read_idx FROM i) AS lost FROM r1)"""
+
+
+@_query(f"""WITH {_SWAPPED} SELECT 2 * s.n AS read_idx, CASE WHEN r2.p IS NULL OR lost THEN 'orphan_r1' ELSE 'pair' END AS kind, s.seq AS seq1, CASE WHEN NOT lost THEN r2.seq END AS seq2 FROM s LEFT JOIN r2 USING (read_idx)
+UNION ALL SELECT 2 * r2.p + 1, 'orphan_r2', NULL, r2.seq FROM r2 LEFT JOIN s USING (read_idx) WHERE s.n IS NULL OR lost""")
+def q_pairing_resync(spark, sf_dir):
+    """Mates by order: both files lack some reads, and R1 has two in 63 the other way round."""
+    i, k = inserts(spark, sf_dir), F.col("read_idx")
+    order = F.when(k % 63 == 54, 2 * k + 3).when(k % 63 == 55, 2 * k - 3).otherwise(2 * k)
+    one, two = i.where("read_idx % 9 <> 4").withColumn("read_idx", order), i.where("read_idx % 7 <> 2")
+    return pairing.pair_in_order(one, two, segment=1 << 12).select("read_idx", "kind", "seq1", "seq2")
+
+
 _DUP = f"r AS ({_reads_sql('varchar', 'o_custkey')}), d AS (SELECT *, row_number() OVER (PARTITION BY seq1 ORDER BY read_idx) > 1 AS is_duplicate FROM r)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import json
 import lzma
 import os
 from glob import glob
@@ -18,8 +19,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from seqloom.functions.dna import fastq_record
 
 SCHEMA = "file_idx int, read_idx long, id string, seq string, qual string"
-#: Plain files are cut into ranges of this size.
-SPLIT_BYTES = 128 << 20
+INDEX_SCHEMA = "file_idx int, path string, start long, stop long, records long"
+_INDEX = [("file_idx", pa.int32()), ("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("records", pa.int64())]
+#: Plain files are cut into ranges of this size, and counted in blocks.
+SPLIT_BYTES, COUNT_BYTES = 128 << 20, 8 << 20
+#: read_idx has a file's number above so many bits of the record's.
+FILE_BITS = 40
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -98,46 +103,84 @@ def parse(stream, where: str):
 
 
 class _Part(InputPartition):
-    """A file, or a range of one: then records are numbered by the byte at which they begin."""
-
-    def __init__(self, index: int, path: str, start: int = 0, end: int | None = None):
-        self.index, self.path, self.start, self.end = index, path, start, end
+    """A file, or a range of one, and the number of its first record."""
+
+    def __init__(self, index: int, path: str, start: int = 0, end: int | None = None, first: int = 0):
+        self.index, self.path, self.start, self.end, self.first = index, path, start, end, first
+
+
+def _ranges(path: str, size: int) -> list[_Part]:
+    """Files, and ranges of `size` bytes of plain ones that are larger."""
+    out = []
+    for i, name in enumerate(p for part in path.split(",") for p in _files(part)):
+        store, inside = _at(name)
+        n = store.get_file_info(inside).size or 0
+        with store.open_input_file(inside) as f:
+            plain = _packing(f.read(6)) is None
+        out += [_Part(i, name, a, min(a + size, n)) for a in range(0, n, size)] if plain and n > size else [_Part(i, name)]
+    return out
+
+
+def count_records(part: _Part) -> int:
+    """Records that begin in a range of a plain file, by its line ends; those of a whole file, if it has no range."""
+    if part.end is None:
+        with open_reads(part.path) as f:
+            lines, last = 0, b"\n"
+            while block := f.read(COUNT_BYTES):
+                lines, last = lines + block.count(b"\n"), block[-1:]
+        return (lines + (last != b"\n")) // 4  # a blank line behind the last record is none
+    store, inside = _at(part.path)
+    with io.BufferedReader(store.open_input_file(inside)) as f:
+        at = first_record(f, part.start)
+        if at >= part.end:
+            return 0
+        f.seek(at)
+        lines, left = 1, part.end - 1 - at  # a line end before the last byte begins a line in the range
+        while left and (block := f.read(min(left, COUNT_BYTES))):
+            lines, left = lines + block.count(b"\n"), left - len(block)
+        f.seek(max(0, part.end - 2))
+        lines -= f.read(3) == b"\n\n"  # a blank line at the file's end
+    return -(-lines // 4)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.options = options
+        self.limit = int(options.get("limit", 0))
 
     def partitions(self):
-        size, out = int(self.options.get("splitBytes", SPLIT_BYTES)), []
-        for i, path in enumerate(p for part in self.options["path"].split(",") for p in _files(part)):
-            store, inside = _at(path)
-            n = store.get_file_info(inside).size or 0
-            with store.open_input_file(inside) as f:
-                plain = _packing(f.read(6)) is None
-            out += [_Part(i, path, a, min(a + size, n)) for a in range(0, n, size)] if plain and n > size else [_Part(i, path)]
-        return out
+        if "index" in self.options:
+            parts = [_Part(*x) for x in json.loads(self.options["index"])]
+            return [p for p in parts if not self.limit or p.first < self.limit] or [_Part(0, "")]
+        return _ranges(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)) if self.options.get("mode") == "index" else 1 << 62)
 
     def _records(self, part):
         if part.end is None:
             with open_reads(part.path) as f:
-                yield from enumerate(parse(f, part.path))
+                yield from enumerate(parse(f, part.path), part.first)
             return
         store, inside = _at(part.path)
         with io.BufferedReader(store.open_input_file(inside)) as f:
             at = first_record(f, part.start)
             f.seek(at)
             if at < part.end:
-                for record in parse(f, f"{part.path} from byte {at}"):
-                    yield at, record
-                    at = f.tell()
-                    if at >= part.end:
+                for n, record in enumerate(parse(f, f"{part.path} from byte {at}"), part.first):
+                    yield n, record
+                    if f.tell() >= part.end:
                         return
 
     def read(self, partition):
+        if not partition.path:
+            return
+        if self.options.get("mode") == "index":
+            yield pa.RecordBatch.from_pylist([{"file_idx": partition.index, "path": partition.path, "start": partition.start, "stop": partition.end, "records": count_records(partition)}], pa.schema(_INDEX))
+            return
         rows, size = [], int(self.options.get("batchRows", 8192))
+        file = 0 if self.options.get("numbering") == "all" else partition.index << FILE_BITS
         for n, (name, seq, qual) in self._records(partition):
-            rows.append((partition.index, (partition.index << 40) | n, name, seq, qual))
+            if self.limit and n >= self.limit:
+                break
+            rows.append((partition.index, file + n, name, seq, qual))
             if len(rows) == size:
                 yield self._batch(rows)
                 rows = []
@@ -151,28 +194,54 @@ class _Reader(DataSourceReader):
 
 
 class FastqDataSource(DataSource):
-    """spark.read.format("fastq"): a partition for each compressed file and for each range of splitBytes of a
-    plain one; read_idx orders records within and across files: by number, or by byte where a file
-    is cut.  Paths are local or URIs that Arrow can open from executors (s3, gs, hdfs, file)."""
+    """spark.read.format("fastq"): read_idx numbers records from 0 within each file, file after file.
+
+    As it is, a partition for each file.  Ranges of plain files need to know how many records lie
+    before them: mode=index gives a row for each range of splitBytes with its number of records, and
+    index takes ranges with the number of their first one (read_fastq does both).  limit keeps the first
+    records by number; ranges behind it are not opened.  Paths are local or URIs that Arrow can
+    open from executors (s3, gs, hdfs, file)."""
 
     @classmethod
     def name(cls):
         return "fastq"
 
     def schema(self):
-        return SCHEMA
+        return INDEX_SCHEMA if self.options.get("mode") == "index" else SCHEMA
 
     def reader(self, schema):
         return _Reader(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, limit: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of a file, folder or pattern (or several with commas); limit keeps the first ones of all of
-    them, in order.  For interleaved mates and limits, records are numbered from 0 within a file,
-    so plain files are then read whole."""
+def record_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """file_idx, path, start, stop (null: a whole file), records: how many records begin in each range, counted by
+    one task a range; a compressed file is one range."""
+    spark.dataSource.register(FastqDataSource)
+    return spark.read.format("fastq").option("mode", "index").option("splitBytes", split_bytes).load(path)
+
+
+def read_fastq(spark: SparkSession, path: str, limit: int = 0, split_bytes: int = SPLIT_BYTES, numbering: str = "file") -> DataFrame:
+    """Records of a file, folder or pattern (or several with commas), numbered without gaps: from 0 in each file
+    (numbering="file", with the file's number in the upper bits) or from 0 over all of them in order
+    ("all").  limit keeps the records with smaller numbers: of each file, or of all.
+
+    Where a plain file is larger than split_bytes, or numbers run over several files, records are counted first, by
+    range; what comes to the driver is a row a range.  The same records have the same numbers for
+    any split_bytes."""
+    if numbering not in ("file", "all"):
+        raise ValueError("numbering is by file or all")
     spark.dataSource.register(FastqDataSource)
-    df = spark.read.format("fastq").option("splitBytes", (1 << 40) if limit else split_bytes).load(path)
-    return df.orderBy("read_idx").limit(limit) if limit else df
+    parts = _ranges(path, split_bytes)
+    several = len({p.index for p in parts}) > 1
+    if len(parts) > len({p.index for p in parts}) or (several and numbering == "all"):
+        counted = record_index(spark, path, split_bytes).orderBy("file_idx", "start").collect()
+        parts, before = [], {}
+        for r in counted:
+            key = 0 if numbering == "all" else r["file_idx"]
+            parts.append(_Part(r["file_idx"], r["path"], r["start"], r["stop"], before.get(key, 0)))
+            before[key] = before.get(key, 0) + r["records"]
+    index = json.dumps([[p.index, p.path, p.start, p.end, p.first] for p in parts])
+    return spark.read.format("fastq").option("index", index).option("limit", limit).option("numbering", numbering).load()
 
 
 def write_fastq(df: DataFrame, path: str, *keys: str, compression: str = "gzip") -> None:

@@ -15,7 +15,7 @@ from seqloom.plans import options
 from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, html_report
 from seqloom.sources import sam, tables
-from seqloom.sources.fastq import read_fastq, write_fastq
+from seqloom.sources.fastq import read_fastq, record_index, write_fastq
 from seqloom.streaming import reads as streams
 
 
@@ -30,10 +30,32 @@ def test_compressed_files_and_ranges(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     whole = read_fastq(spark, str(tmp_path)).orderBy("read_idx").collect()
     assert [r.id for r in whole] == [f"r{i}/1 x" for i in range(130)]
-    for size in (1, 7, 64, 300):
+    for size in (40, 300):
         cut = read_fastq(spark, f"file://{tmp_path}/a.fq", split_bytes=size)
-        assert [(r.id, r.seq, r.qual) for r in cut.orderBy("read_idx").collect()] == [(r.id, r.seq, r.qual) for r in whole[:50]]
-    assert read_fastq(spark, str(tmp_path), limit=60).count() == 60
+        assert cut.orderBy("read_idx").collect() == whole[:50]
+        assert record_index(spark, str(tmp_path / "a.fq"), size).agg(F.sum("records")).first()[0] == 50
+        every = read_fastq(spark, str(tmp_path), split_bytes=size, numbering="all").orderBy("read_idx").collect()
+        assert [(r.read_idx, r.id) for r in every] == [(i, f"r{i}/1 x") for i in range(130)]
+        assert read_fastq(spark, str(tmp_path), limit=60, split_bytes=size, numbering="all").count() == 60
+        assert read_fastq(spark, str(tmp_path), limit=15, split_bytes=size).count() == 15 * 2 + 30
+    assert whole[50].read_idx == 1 << 40
+
+
+def test_numbers_do_not_depend_on_ranges(spark, tmp_path):
+    """Interleaved mates, samples and limits over cut files; blank and missing line ends at a file's end; CRLF."""
+    data = fastq(400)
+    for name, text in (("plain", data), ("open", data[:-1]), ("blank", data + b"\n"), ("crlf", data.replace(b"\n", b"\r\n")), ("empty", b"")):
+        (tmp_path / f"{name}.fq").write_bytes(text)
+    for name in ("plain", "open", "blank", "crlf"):
+        for size in (999, 5000):
+            reads = read_fastq(spark, str(tmp_path / f"{name}.fq"), split_bytes=size)
+            assert [r.id for r in reads.where("read_idx % 20 = 0").orderBy("read_idx").collect()] == [f"r{i}/1 x" for i in range(0, 400, 20)]
+            assert reads.agg(F.max("read_idx"), F.count_distinct("read_idx")).first()[:] == (399, 400)
+    assert read_fastq(spark, str(tmp_path / "empty.fq"), split_bytes=50).count() == 0
+    two = b"".join(b"@f%d/%d\nACGT\n+\nIIII\n" % (i, m) for i in range(300) for m in (1, 2))
+    (tmp_path / "two.fq").write_bytes(two)
+    both = interleaved(read_fastq(spark, str(tmp_path / "two.fq"), split_bytes=700))
+    assert both.where("kind = 'pair'").count() == 300
 
 
 @pytest.mark.parametrize("data", [b"@a\nACGT\n+\nIII\n", b"a\nACGT\n+\nIIII\n", b"@a\nACGT\n+\n"])
