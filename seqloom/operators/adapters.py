@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,8 @@ from seqloom.functions.dna import is_informative, letters
 from seqloom.plans.layout import Layout, Structure
 
 _ORDER = "ACGT"
+#: Bits of one word of a Shift-And state.
+WORD = 62
 
 
 def informative(text: str) -> bool:
@@ -72,13 +75,7 @@ class Adapter:
     def partial(self, seq: Column) -> Column:
         """Where a read's end begins that equals the adapter's start at every known base: with the most
         known bases, the latest among equals; or null."""
-        if self.min_partial is None:
-            return F.lit(None).cast("int")
-        up = F.upper(seq)
-        best = [(k, n, F.when(self._ends(up, n), F.length(up) - n)) for n, k in self._heads()]
-        if not best:
-            return F.lit(None).cast("int")
-        return F.coalesce(*(c for _, _, c in sorted(best, key=lambda x: (-x[0], x[1]))))
+        return self.evidence(seq)["start"]
 
     def _heads(self) -> list[tuple[int, int]]:
         """Lengths of the adapter's starts that are evidence enough, and their known bases."""
@@ -87,22 +84,59 @@ class Adapter:
         heads = [(n, sum(c in _ORDER for c in self.expected[:n])) for n in range(1, len(self.expected))]
         return [(n, k) for n, k in heads if k >= self.min_partial and informative(self.expected[:n])]
 
-    def _ends(self, up: Column, n: int) -> Column:
-        tail = F.substring(up, F.length(up) - n + 1, F.lit(n))
-        return (F.length(up) >= n) & tail.rlike("^" + self.expected[:n].replace("N", ".") + "$")
+    def _ends(self, up: Column) -> Column:
+        """Shift-And over a read's last bases: words of bits, of which bit n - 1 tells whether the last n bases
+        equal the adapter's first n (N fits all)."""
+        most = max(n for n, _ in self._heads())
+        count = -(-most // WORD)
+
+        def mask(c: Column, w: int) -> Column:
+            part = self.expected[:most][w * WORD : (w + 1) * WORD]
+            bits = {x: sum(1 << i for i, e in enumerate(part) if e in (x, "N")) for x in _ORDER + "N"}
+            return reduce(lambda at, x: at.when(c == x, F.lit(bits[x]).cast("long")), _ORDER[1:], F.when(c == _ORDER[0], F.lit(bits[_ORDER[0]]).cast("long"))).otherwise(F.lit(bits["N"]).cast("long"))
+
+        def step(words: Column, c: Column) -> Column:
+            shifted = [F.shiftleft(words[f"w{w}"], 1).bitwiseOR(F.shiftright(words[f"w{w - 1}"], WORD - 1) if w else F.lit(1).cast("long")) for w in range(count)]
+            return F.struct(*(x.bitwiseAND(mask(c, w)).alias(f"w{w}") for w, x in enumerate(shifted)))
+
+        tail = letters(F.substring(up, F.greatest(F.length(up) - most, F.lit(0)) + 1, F.lit(most)))
+        return F.aggregate(tail, F.struct(*(F.lit(0).cast("long").alias(f"w{w}") for w in range(count))), step)
 
     def partial_at(self, seq: Column, s: Column) -> Column:
         """Whether the read's end from s on is one of the adapter's starts."""
-        up = F.upper(seq)
-        fits = reduce(lambda a, b: a | b, ((F.length(up) - s == n) & self._ends(up, n) for n, _ in self._heads()), F.lit(False))
-        return F.coalesce(fits, F.lit(False))
+        heads = self._heads()
+        if not heads:
+            return F.lit(False)
+        most = max(n for n, _ in heads)
+        wanted = [sum(1 << (n - 1) % WORD for n, _ in heads if (n - 1) // WORD == w) for w in range(-(-most // WORD))]
+        n = F.length(seq) - s - 1
+
+        def bit(words: Column) -> Column:
+            found = F.lit(False)
+            for w, mask in enumerate(wanted):
+                there = F.call_function("shiftright", words[f"w{w}"].bitwiseAND(F.lit(mask)), n - w * WORD).bitwiseAND(F.lit(1)) == 1
+                found = F.when((n >= w * WORD) & (n < (w + 1) * WORD), there).otherwise(found)
+            return found
+
+        return F.coalesce(_let(self._ends(F.upper(seq)), bit), F.lit(False))
 
     def evidence(self, seq: Column) -> Column:
         """(known bases, start) of the strongest partial match, to compare those of several adapters; or null."""
-        up, none = F.upper(seq), F.lit(None).cast("struct<known:int,start:int>")
+        none = F.lit(None).cast("struct<known:int,start:int>")
         heads = sorted(self._heads(), key=lambda x: (-x[1], x[0]))
-        found = (F.when(self._ends(up, n), F.struct(F.lit(k).alias("known"), (F.length(up) - n).alias("start"))) for n, k in heads)
-        return F.coalesce(*found, none)
+        if not heads:
+            return none
+
+        def strongest(words: Column) -> Column:
+            there = (words[f"w{(n - 1) // WORD}"].bitwiseAND(F.lit(1 << (n - 1) % WORD)) != 0 for n, _ in heads)
+            return F.coalesce(*(F.when(t, F.struct(F.lit(k).alias("known"), (F.length(seq) - n).alias("start"))) for t, (n, k) in zip(there, heads)), none)
+
+        return _let(self._ends(F.upper(seq)), strongest)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import clip, dna
 from seqloom.operators import filters, metrics, pairing
 from seqloom.operators.adapters import Adapter, sample_adapters
+from seqloom.operators.automaton import AdapterSet
 from seqloom.operators.overlap import overlapped_span, overlaps, pair_features
 from seqloom.operators.routing import route, route_counts
 from seqloom.plans.layout import Layout
@@ -413,6 +414,32 @@ def q_partial_adapter(spark, sf_dir):
     return inserts(spark, sf_dir).select("read_idx", Adapter(ADAPTER, min_partial=20).partial(F.col("seq")).alias("partial_at"))
 
 
+def _suppliers_sql(text: str) -> str:
+    """An adapter of 32 bases for each supplier, and where it stands among them."""
+    b = "translate(md5(concat('s', cast(s_suppkey as {0}))), '0123456789abcdef', 'ACGTACGTACGTACGT')".format(text)
+    return f"SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS n, {b} AS expected FROM supplier"
+
+
+def _through_sql(text: str) -> str:
+    """Inserts that run into a supplier's adapter, whole, with one base changed, or at their end only."""
+    a = "CASE WHEN read_idx % 3 = 0 THEN concat(substr(expected, 1, 4), translate(substr(expected, 5, 1), 'ACGT', 'CGTA'), substr(expected, 6)) ELSE expected END"
+    return f"""SELECT read_idx, CASE WHEN read_idx % 4 = 3 THEN concat(substr(seq, 1, 20), substr(expected, 1, 20 + read_idx % 9)) ELSE concat(substr(seq, 1, 12 + read_idx % 15), {a}, 'ACGTTGCA') END AS seq
+FROM ({_inserts_sql(text)}) i JOIN ({_suppliers_sql(text)}) s ON s.n = read_idx % (SELECT count(*) FROM supplier)"""
+
+
+@_query(f"""WITH sup AS ({_suppliers_sql('varchar')}), i AS ({_through_sql('varchar')}), a AS {_anchor_sql('sup', 'expected', 'n')},
+k AS (SELECT a.n, pos0, word, length(word) AS size, expected FROM a JOIN sup USING (n)), p AS (SELECT read_idx, seq, unnest(range(0, length(seq) - 11)) AS b FROM i),
+w AS (SELECT p.*, size, substr(seq, b + 1, size) AS word FROM p, (SELECT DISTINCT size FROM k)),
+f AS (SELECT read_idx, b - pos0 AS start, n FROM w JOIN k USING (word) WHERE b >= pos0 AND b - pos0 + 32 <= length(seq) AND hamming(rpad(substr(seq, b - pos0 + 1, 32), 32, '-'), expected) <= 1 AND substr(seq, b - pos0 + 1, 32) NOT LIKE '%N%'),
+e AS (SELECT read_idx, c FROM (SELECT read_idx, seq, unnest(range(20, 32)) AS c FROM i) JOIN (SELECT substr(expected, 1, c2) AS head, c2 FROM sup, (SELECT unnest(range(20, 32)) AS c2)) ON c = c2 AND suffix(seq, head) WHERE {_informative_sql('head')})
+SELECT i.read_idx, cast(min(start) AS integer) AS full_at, cast(arg_min(n, (start, n)) AS integer) AS adapter, cast((SELECT max(c) FROM e WHERE e.read_idx = i.read_idx) AS integer) AS known FROM i LEFT JOIN f USING (read_idx) GROUP BY i.read_idx""")
+def q_many_adapters(spark, sf_dir):
+    _views(spark, sf_dir, "orders", "supplier")
+    own = spark.sql(_suppliers_sql("string")).orderBy("n").collect()  # the adapters: a dimension of the driver, as from a file
+    found = AdapterSet(tuple(Adapter(r["expected"], min_partial=20) for r in own)).found(F.col("seq"))
+    return spark.sql(_through_sql("string")).select("read_idx", found.alias("x")).select("read_idx", F.col("x.start").alias("full_at"), "x.adapter", "x.known")
+
+
 @_query(f"WITH {_ROUTED} SELECT read_idx, sample, (row_number() OVER (PARTITION BY sample ORDER BY read_idx) - 1) // 250 AS part FROM x WHERE sample IS NOT NULL")
 def q_split_parts(spark, sf_dir):
     return metrics.split_parts(routed(spark, sf_dir).where("sample is not null"), 250, "sample").select("read_idx", "sample", "part")

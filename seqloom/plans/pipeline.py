@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from seqloom.functions import clip, dna
 from seqloom.operators import filters, metrics
 from seqloom.operators.adapters import Adapter, SampleAdapter, opposite, sample_adapters
+from seqloom.operators.automaton import AdapterSet
 from seqloom.operators.overlap import consensus, overlaps
 from seqloom.operators.routing import route
 from seqloom.plans.layout import Layout
 from seqloom.sources.fastq import write_fastq
-from seqloom.sources.tables import file_names
+from seqloom.sources.tables import file_names, read_adapters
+
+#: So many adapters of a mate are expressions of their own; more go through one automaton.
+FEW_ADAPTERS = 4
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,8 @@ class Spec:
     poly_g: int = 0
     poly_x: int = 0
     adapters: dict[int, tuple[Adapter, ...]] = field(default_factory=dict)
+    adapter_fasta: dict[int, str] = field(default_factory=dict)
+    adapter_min_known: int = 20
     infer_adapters: bool = False
     technical: dict[int, str] = field(default_factory=dict)
     overlap: bool = True
@@ -120,7 +126,7 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
         for m in sorted({r[1] for r in inferred}):
             dim = df.sparkSession.createDataFrame([(r[0], *r[2:]) for r in inferred if r[1] == m], f"_s string, infer{m}_expected string, infer{m}_at int, infer{m}_word string")
             df = df.join(F.broadcast(dim), F.col("sample") == F.col("_s"), "left").drop("_s")  # a row a sample of the sheet
-    own = {m: [*spec.adapters.get(m, ()), *_technical_adapter(spec, m, paired), *([SampleAdapter(f"infer{m}")] if any(r[1] == m for r in inferred) else [])] for m in mates}
+    own = {m: [*_own_adapters(spec, m), *_technical_adapter(spec, m, paired), *([SampleAdapter(f"infer{m}")] if any(r[1] == m for r in inferred) else [])] for m in mates}
     df = df.withColumn("_able", F.col("status") == "assigned")
     confirm = paired and spec.overlap
     for m in mates:
@@ -139,6 +145,15 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
     return filters.flag(df, spec.filters, mates).drop("_able")
 
 
+def _own_adapters(spec: Spec, m: int) -> list:
+    """A mate's given adapters and those of its FASTA file: as they are while they are few, else as one automaton."""
+    own = [*spec.adapters.get(m, ())]
+    if m in spec.adapter_fasta:
+        known = {"min_known": spec.adapter_min_known, "min_partial": spec.adapter_min_known}
+        own += AdapterSet(tuple(Adapter(seq, **known) for _, seq in read_adapters(spec.adapter_fasta[m]))).adapters
+    return own if len(own) <= FEW_ADAPTERS else [AdapterSet(tuple(own))]
+
+
 def _technical_adapter(spec: Spec, m: int, paired: bool) -> list[Adapter]:
     """Without barcodes a far end is known where its technical bases are."""
     if spec.barcodes or not spec.infer_adapters:
