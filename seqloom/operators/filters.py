@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna
+from seqloom.operators.near import near_join
 
+#: So many entries of a blacklist are compared with every index in place.
+FEW_ENTRIES = 8
 REASONS = ["too_short", "too_many_n", "low_quality", "low_mean_quality", "too_long", "low_complexity", "duplicate", "index_blacklist"]
 
 
@@ -64,12 +67,21 @@ def rejection_counts(flagged: DataFrame) -> DataFrame:
 
 
 def blacklisted(df: DataFrame, entries: list[str], threshold: int = 0, second: bool = False, id_column: str = "id1") -> DataFrame:
-    """df plus is_blacklisted: its index is as long as an entry and differs in threshold places at most."""
+    """df plus is_blacklisted (or whether it was so before): its index is as long as an entry and differs in threshold
+    places at most.  A few entries are compared in place; more are joined on pieces."""
     if not entries or len(set(entries)) != len(entries):
         raise ValueError("the blacklist must have entries, each once")
-    index = dna.index_of(F.col(id_column), second)
-    hit = reduce(lambda a, b: a | b, (F.coalesce(dna.hamming(index, F.lit(e.upper())) <= threshold, F.lit(False)) for e in entries))
-    return df.withColumn("is_blacklisted", hit)
+    index = F.upper(dna.index_of(F.col(id_column), second))
+    known = sorted({e.upper() for e in entries})
+    if len(known) <= FEW_ENTRIES:
+        hit = reduce(lambda a, b: a | b, (F.coalesce(dna.hamming(index, F.lit(e)) <= threshold, F.lit(False)) for e in known))
+    else:
+        dim = df.sparkSession.createDataFrame([(e,) for e in known], "_entry string")
+        df = near_join(df.withColumn("_index", index), dim, [], "_index", "_entry", threshold).drop("_index")
+        hit = F.col("_distance").isNotNull()
+    if "is_blacklisted" in df.columns:
+        hit = hit | F.col("is_blacklisted")
+    return df.withColumn("is_blacklisted", hit).drop("_distance")
 
 
 def mark_duplicates(df: DataFrame, mates: tuple[int, ...] = (1,)) -> DataFrame:

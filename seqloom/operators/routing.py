@@ -5,18 +5,34 @@ from __future__ import annotations
 from itertools import combinations, product
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.dna import hamming
+from seqloom.operators.near import close_pairs, near_join
 from seqloom.plans.layout import Layout
 
-#: Neighbourhoods of more rows than this are not spelled out: observed barcodes are compared instead.
-MAX_NEIGHBOURS = 1_000_000
+#: Neighbourhoods of more rows than this are not spelled out: observed barcodes meet known ones on pieces.
+MAX_NEIGHBOURS = 100_000
+#: So many barcodes of one level are compared with each other on the driver; more are joined on pieces.
+FEW_BARCODES = 500
+
+
+def check_all(spark: SparkSession, rows: list[tuple[str, str, str]], k: int) -> None:
+    """Barcodes (parent, id, seq) under one parent must differ in 2k + 1 places, or correction is ambiguous."""
+    if len(rows) > FEW_BARCODES:
+        close = close_pairs(spark.createDataFrame(rows, "parent string, id string, seq string"), ["parent"], 2 * k).orderBy("parent", "id1", "id2").first()
+        if close:
+            raise ValueError(f"barcodes {close['id1']} and {close['id2']} under {close['parent'] or 'the root'} differ in {close['distance']} places; {2 * k + 1} are needed")
+        return
+    under: dict[str, list[tuple[str, str]]] = {}
+    for parent, i, seq in rows:
+        under.setdefault(parent, []).append((i, seq))
+    for parent, own in under.items():
+        check_distances(own, k, parent or "the root")
 
 
 def check_distances(barcodes: list[tuple[str, str]], k: int, where: str) -> None:
-    """Barcodes (id, seq) under one parent must differ in 2k + 1 places, or correction is ambiguous."""
+    """check_all for a few barcodes (id, seq) of one parent."""
     for (a, x), (b, y) in combinations(barcodes, 2):
         d = sum(p != q for p, q in zip(x, y))
         if d < 2 * k + 1:
@@ -70,23 +86,19 @@ def route(reads: DataFrame, layout: Layout, barcodes: list[tuple[str, str, str]]
             parents.setdefault("/".join(row[x] for x in symbols[:level]), set()).add(row[s])
         if not level:
             parents = {"": set(by_set[s])}
-        rows, total = [], 0
+        rows = []
         for parent, ids in parents.items():
-            own = [(i, by_set[s][i]) for i in sorted(ids)]
-            check_distances(own, k, parent or "the root")
-            for i, seq in own:
-                total += 1
-                rows.append((parent, i, seq))
+            rows += [(parent, i, by_set[s][i]) for i in sorted(ids)]
+        check_all(spark, rows, k)
         observed = F.when(~F.col("is_short") & F.col("_path").isNotNull(), layout.barcode(s, seqs))
         out = out.withColumn("_obs", observed)
-        if total * neighbour_count(layout.length(s), k) <= max_neighbours:
+        if len(rows) * neighbour_count(layout.length(s), k) <= max_neighbours:
             dim = spark.createDataFrame([(p, o, i, d) for p, i, seq in rows for o, d in neighbours(seq, k).items()], f"_p string, _o string, {s}_id string, {s}_mm int")
             out = out.join(F.broadcast(dim), (F.col("_path") == F.col("_p")) & (F.col("_obs") == F.col("_o")), "left").drop("_p", "_o")
         else:
-            dim = spark.createDataFrame(rows, f"_p string, {s}_id string, _o string")
-            distance = hamming(F.col("_obs"), F.col("_o"))
-            near = (F.col("_path") == F.col("_p")) & F.col("_obs").rlike("^[ACGTN]+$") & (distance <= k)
-            out = out.join(F.broadcast(dim), near, "left").withColumn(f"{s}_mm", distance).drop("_p", "_o")
+            dim = spark.createDataFrame(rows, f"_path string, {s}_id string, _o string")
+            valid = out.withColumn("_obs", F.when(F.col("_obs").rlike("^[ACGTN]+$"), F.col("_obs")))
+            out = near_join(valid, dim, ["_path"], "_obs", "_o", k).withColumnRenamed("_distance", f"{s}_mm")
         out = out.withColumn("_path", F.when(F.col("_path") == "", F.col(f"{s}_id")).otherwise(F.concat("_path", F.lit("/"), F.col(f"{s}_id"))))
     names = spark.createDataFrame([("/".join(r[s] for s in symbols), r["Sample"]) for r in sheet], "_p string, sample string")
     out = out.join(F.broadcast(names), F.col("_path") == F.col("_p"), "left").drop("_p")

@@ -380,6 +380,29 @@ def q_index_blacklist(spark, sf_dir):
     return filters.blacklisted(derived_reads(spark, sf_dir).withColumnRenamed("id", "id1"), [entry], 1).select("read_idx", "is_blacklisted")
 
 
+@_query(f"WITH {_ROUTED} SELECT read_idx, aid AS A_id, cast(amm AS integer) AS A_mm, bid AS B_id, cast(bmm AS integer) AS B_mm, status FROM x")
+def q_piece_decode(spark, sf_dir):
+    """barcode_decode without spelled-out neighbourhoods: barcodes meet on pieces."""
+    out = route(derived_reads(spark, sf_dir), LAYOUT, *dimensions(spark, sf_dir), max_neighbours=0)
+    return out.select("read_idx", "A_id", "A_mm", "B_id", "B_mm", "status")
+
+
+_SECOND = f"SELECT {_CODE.format(x='n_name')} AS e FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT {_CODE.format(x='concat(p_name, p_partkey)')} FROM part"
+
+
+@_query(f"""WITH r AS ({_READS}), i AS (SELECT read_idx, split_part(split_part(id, ' 1:N:0:', 2), '+', 1) AS one, split_part(split_part(id, ' 1:N:0:', 2), '+', 2) AS two FROM r),
+x AS (SELECT min({_CODE.format(x='r_name')}) AS e FROM region), t AS (SELECT DISTINCT two FROM i), y AS (SELECT two, bool_or(hamming(two, e) <= 2) AS bad FROM t, ({_SECOND}) GROUP BY 1)
+SELECT read_idx, hamming(one, e) <= 2 OR bad AS is_blacklisted FROM i JOIN y USING (two), x""")
+def q_index_blacklists(spark, sf_dir):
+    """Both index lists: one entry for the first, those of many parts and nations for the second."""
+    barcodes, _ = dimensions(spark, sf_dir)
+    _views(spark, sf_dir, "nation", "part")
+    second = [r["e"] for r in spark.sql(_SECOND).collect()]  # entries: a dimension of the driver, as from a file
+    reads = derived_reads(spark, sf_dir).withColumnRenamed("id", "id1")
+    first = filters.blacklisted(reads, [min(s for k, _, s in barcodes if k == "A")], 2)
+    return filters.blacklisted(first, second, 2, second=True).select("read_idx", "is_blacklisted")
+
+
 def _informative_sql(w: str) -> str:
     counts = [f"length({w}) - length(replace({w}, '{c}', ''))" for c in "ACGT"]
     kinds = " + ".join(f"({c} > 0)::int" for c in counts)

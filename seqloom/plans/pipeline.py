@@ -69,6 +69,7 @@ class Spec:
     phred64: bool = False
     filters: filters.FilterOptions = field(default_factory=filters.FilterOptions)
     blacklist: tuple[str, ...] = ()
+    blacklist2: tuple[str, ...] = ()
     blacklist_threshold: int = 0
     write_unassigned: bool = False
     write_failed: bool = False
@@ -110,9 +111,10 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
         df = df.withColumns({f"qual{m}": dna.phred64_to_33(F.col(f"qual{m}")) for m in mates})
     if spec.filters.dedup:
         df = filters.mark_duplicates(df, mates)
-    if spec.blacklist:
-        df = filters.blacklisted(df, list(spec.blacklist), spec.blacklist_threshold)
     paired = len(mates) == 2
+    for second, entries in ((False, spec.blacklist), (True, spec.blacklist2)):
+        if entries:  # the second index is read from R2's name, if there is one
+            df = filters.blacklisted(df, list(entries), spec.blacklist_threshold, second, "id2" if second and paired else "id1")
     if spec.barcodes:
         df = route(df, spec.layout, list(spec.barcodes), list(spec.sheet), spec.max_mismatches)
     else:
