@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna
+from seqloom.operators.metrics import read_digest
 from seqloom.operators.near import near_join
 
 #: So many entries of a blacklist are compared with every index in place.
@@ -90,8 +91,7 @@ def mark_duplicates(df: DataFrame, mates: tuple[int, ...] = (1,)) -> DataFrame:
     A digest of the bases and read_idx are all that is shuffled to find duplicates; their numbers are
     then joined back, which moves whole reads only where duplicates are too many to send.
     """
-    key = F.unhex(F.sha2(F.concat_ws("|", *(F.concat(F.length(f"seq{m}").cast("string"), F.lit(":"), F.upper(F.col(f"seq{m}"))) for m in mates)), 256))
-    keyed = df.select("read_idx", key.alias("_key"))
+    keyed = df.select("read_idx", read_digest(mates).alias("_key"))
     first = keyed.groupBy("_key").agg(F.min("read_idx").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = keyed.join(first, "_key").where("read_idx > _first").select("read_idx", F.lit(True).alias("is_duplicate"))
     return df.join(later, "read_idx", "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna
+from seqloom.operators.sketches import distinct_estimate, heavy_hitters
 from seqloom.plans.layout import Layout
 
 
@@ -99,31 +100,53 @@ def cycle_content(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFr
     return rows.groupBy("cycle", base.alias("base")).agg(F.count("*").alias("bases"), F.sum("q").alias("quality_sum"))
 
 
-def overrepresented(df: DataFrame, widths: tuple[int, ...] = (10,), every: int = 1, top: int = 100, seq: str = "seq", whole: bool = False) -> DataFrame:
-    """The most frequent substrings of ACGT of all widths in every nth read, twice at least; ties by
-    sequence.  whole: reads of 512 bases at most, and of none of the widths, count as they are, too."""
+def windows(df: DataFrame, widths: tuple[int, ...] = (10,), every: int = 1, seq: str = "seq", whole: bool = False) -> DataFrame:
+    """sequence: every substring of ACGT of all widths in every nth read; whole: reads of 512 bases at most, and of
+    none of the widths, as they are, too."""
     s = F.upper(F.col(seq))
 
-    def windows(w: int):
+    def cut(w: int):
         starts = F.when(F.length(s) >= w, F.sequence(F.lit(1), F.length(s) - w + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(s, i, F.lit(w)))
 
-    parts = [windows(w) for w in widths]
+    parts = [cut(w) for w in widths]
     if whole:
         parts.append(F.when((F.length(s) <= 512) & ~F.length(s).isin(*widths), F.array(s)).otherwise(F.array().cast("array<string>")))
-    pieces = df.where(F.col("read_idx") % every == 0).select(F.explode(F.concat(*parts)).alias("sequence")).where("sequence rlike '^[ACGT]+$'")
-    counted = pieces.groupBy("sequence").agg(F.count("*").alias("n")).where("n >= 2")
+    return df.where(F.col("read_idx") % every == 0).select(F.explode(F.concat(*parts)).alias("sequence")).where("sequence rlike '^[ACGT]+$'")
+
+
+def overrepresented(df: DataFrame, widths: tuple[int, ...] = (10,), every: int = 1, top: int = 100, seq: str = "seq", whole: bool = False, counters: int = 0) -> DataFrame:
+    """sequence, n: the most frequent of windows, twice at least; ties by sequence.  counters: in bounded memory
+    instead, n being a lower bound, with the upper one as upper."""
+    pieces = windows(df, widths, every, seq, whole)
+    if counters:
+        counted = heavy_hitters(pieces, "sequence", counters).select(F.col("item").alias("sequence"), F.col("lower").alias("n"), "upper").where("n >= 2")
+    else:
+        counted = pieces.groupBy("sequence").agg(F.count("*").alias("n")).where("n >= 2")
     return counted.orderBy(F.desc("n"), "sequence").limit(top)
 
 
+def read_digest(mates: tuple[int, ...] = (1,)) -> Column:
+    """32 bytes of a fragment's bases, whatever their case, with where one mate ends."""
+    return F.unhex(F.sha2(F.concat_ws("|", *(F.concat(F.length(f"seq{m}").cast("string"), F.lit(":"), F.upper(F.col(f"seq{m}"))) for m in mates)), 256))
+
+
 def duplication(df: DataFrame, mates: tuple[int, ...] = (1,)) -> DataFrame:
-    """One row: fragments, different ones, duplicates and their rate."""
-    counted = df.groupBy(*(F.upper(F.col(f"seq{m}")).alias(f"s{m}") for m in mates)).agg(F.count("*").alias("n"))
+    """One row: fragments, different ones, duplicates and their rate; digests are what is shuffled."""
+    counted = df.groupBy(read_digest(mates).alias("s")).agg(F.count("*").alias("n"))
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fragments"), F.count("*").alias("distinct_fragments"))
     dup = F.col("fragments") - F.col("distinct_fragments")
     return sums.select("fragments", "distinct_fragments", dup.alias("duplicates"), F.round(ratio(dup, F.col("fragments")), 8).alias("duplication_rate"))
 
 
+def duplication_estimate(df: DataFrame, mates: tuple[int, ...] = (1,), bits: int = 24) -> DataFrame:
+    """duplication in bounded memory: fragments, and estimates of the others with the standard error of the rate; the
+    map of 2 ** bits bits suits up to about half as many different fragments."""
+    one = distinct_estimate(df.select(read_digest(mates).alias("s")), "s", bits)
+    distinct = F.least(F.col("distinct"), F.col("rows").cast("double"))
+    return one.select(F.col("rows").alias("fragments"), F.round(distinct).cast("long").alias("distinct_fragments"), F.round(ratio(F.col("rows") - distinct, F.col("rows")), 8).alias("duplication_rate"), ratio(F.col("standard_error"), F.col("rows")).alias("rate_error"))
+
+
 def split_parts(df: DataFrame, per_part: int, *keys: str) -> DataFrame:
     """df plus part, from 0: per_part records of each stream in input order.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import clip, dna
-from seqloom.operators import filters, metrics, pairing
+from seqloom.operators import filters, metrics, pairing, sketches
 from seqloom.operators.adapters import Adapter, sample_adapters
 from seqloom.operators.automaton import AdapterSet
 from seqloom.operators.overlap import overlapped_span, overlaps, pair_features
@@ -373,6 +373,22 @@ def q_overrepresented_all(spark, sf_dir):
     return metrics.overrepresented(inserts(spark, sf_dir), (10, 20, 40, 100, 150), every=2, whole=True)
 
 
+@_query(f"""WITH i AS ({_INS}), k AS (SELECT substr(seq, s, 10) AS sequence FROM (SELECT seq, unnest(range(1, length(seq) - 8)) AS s FROM i)), f AS (SELECT sequence FROM k WHERE sequence NOT LIKE '%N%')
+SELECT sequence AS item, count(*) AS n, true AS bounded FROM f GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM f) / 1000""")
+def q_frequent_windows(spark, sf_dir):
+    """All windows that are more than one in a thousand, and whether the summary's bounds hold them."""
+    found = sketches.frequent(metrics.windows(inserts(spark, sf_dir)), "sequence", 1000)
+    return found.select("item", "n", F.expr("lower <= n and n <= upper").alias("bounded"))
+
+
+@_query(f"""WITH {_DUP}, c AS (SELECT count(*) AS fragments, count(*) FILTER (is_duplicate) / count(*) AS rate FROM d) SELECT fragments, true AS close FROM c""")
+def q_duplication_estimate(spark, sf_dir):
+    """The estimate in bounded memory, held against the exact rate: within five standard errors and a ten-thousandth."""
+    reads = derived_reads(spark, sf_dir, "o_custkey")
+    both = metrics.duplication_estimate(reads).crossJoin(F.broadcast(metrics.duplication(reads).select(F.col("duplication_rate").alias("exact"))))  # one row each
+    return both.select("fragments", (F.abs(F.col("duplication_rate") - F.col("exact")) <= 5 * F.col("rate_error") + 1e-4).alias("close"))
+
+
 @_query(f"WITH r AS ({_READS}), x AS (SELECT min({_CODE.format(x='r_name')}) AS e FROM region) SELECT read_idx, hamming(split_part(split_part(id, ' 1:N:0:', 2), '+', 1), e) <= 1 AS is_blacklisted FROM r, x")
 def q_index_blacklist(spark, sf_dir):
     barcodes, _ = dimensions(spark, sf_dir)
