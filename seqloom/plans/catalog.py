@@ -6,7 +6,7 @@ operators under test then run on them, and the SQL says the same in another way.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import clip, dna
@@ -19,6 +19,7 @@ from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, fragments, preprocessing_table, sample_table, summary
 from seqloom.sources import sam, scratch
 from seqloom.sources.fastq import read_fastq, write_fastq
+from seqloom.sources.files import write_files
 
 LAYOUT = Layout.parse("R1_10A10B4T")
 ADAPTER = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
@@ -332,6 +333,34 @@ def q_pairing_resync(spark, sf_dir):
     return pairing.pair_in_order(one, two, segment=1 << 12).select("read_idx", "kind", "seq1", "seq2")
 
 
+_FILED = f"""{_ROUTED}, w AS (SELECT regexp_replace(sample, '[^A-Za-z0-9._-]', '_', 'g') AS sample, read_idx, seq1, (row_number() OVER (PARTITION BY sample ORDER BY read_idx) - 1) AS n FROM x WHERE sample IS NOT NULL)"""
+
+
+def _filed(spark, sf_dir, **options) -> tuple[DataFrame, DataFrame, str]:
+    """Routed reads written as named files and read again: file_idx by name, read_idx within a file."""
+    path = scratch.shared_path(spark, "files")
+    own = routed(spark, sf_dir).where("sample is not null").select(F.col("sample").alias("target"), F.lit("R1").alias("stream"), "read_idx", "id", F.col("seq1").alias("seq"), F.col("qual1").alias("qual"))
+    files = write_files(own, path, **options).where("records > 0").select("file", "records")
+    return read_fastq(spark, path), files, path
+
+
+@_query(f"WITH {_FILED} SELECT sample || '_R1.fastq.gz' AS file, n, seq1 AS seq, count(*) OVER (PARTITION BY sample) AS records FROM w")
+def q_named_files(spark, sf_dir):
+    """One gzip file a sample, of members that many tasks wrote; every read back at its place."""
+    reads, files, path = _filed(spark, sf_dir)
+    numbered = files.withColumn("file_idx", F.row_number().over(Window.orderBy("file")) - 1)  # a row a file
+    told = reads.join(F.broadcast(numbered), "file_idx").select("file", (F.col("read_idx") % (1 << 40)).alias("n"), "seq", "records")
+    return scratch.settled(told, path)
+
+
+@_query(f"WITH {_FILED} SELECT lpad(cast(n // 300 + 1 AS varchar), 4, '0') || '.' || sample || '_R1.fastq' AS file, count(*) AS records, cast(sum(length(seq1)) AS bigint) AS bases FROM w GROUP BY 1")
+def q_numbered_files(spark, sf_dir):
+    reads, files, path = _filed(spark, sf_dir, per_part=300, compression="none")
+    numbered = files.withColumn("file_idx", F.row_number().over(Window.orderBy("file")) - 1)  # a row a file
+    sums = reads.groupBy("file_idx").agg(F.sum(F.length("seq")).alias("bases"))
+    return scratch.settled(sums.join(F.broadcast(numbered), "file_idx").select("file", "records", "bases"), path)
+
+
 _DUP = f"r AS ({_reads_sql('varchar', 'o_custkey')}), d AS (SELECT *, row_number() OVER (PARTITION BY seq1 ORDER BY read_idx) > 1 AS is_duplicate FROM r)"
 
 

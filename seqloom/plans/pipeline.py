@@ -18,6 +18,7 @@ from seqloom.operators.overlap import consensus, overlaps
 from seqloom.operators.routing import route
 from seqloom.plans.layout import Layout
 from seqloom.sources.fastq import write_fastq
+from seqloom.sources.files import write_files
 from seqloom.sources.tables import file_names, read_adapters
 
 #: So many adapters of a mate are expressions of their own; more go through one automaton.
@@ -279,7 +280,7 @@ def _pair_bounds(df: DataFrame, spec: Spec, own: dict[int, list]) -> DataFrame:
 
 
 def records(table: DataFrame, spec: Spec) -> DataFrame:
-    """target, stream (R1, R2, single or merged), read_idx, id, seq, qual of everything retained.
+    """target, stream (R1, R2, single or merged), read_idx, stream_order (within a fragment), id, seq, qual of everything retained.
 
     Unassigned fragments come untrimmed and only if asked for.
     """
@@ -295,7 +296,7 @@ def records(table: DataFrame, spec: Spec) -> DataFrame:
         rows += [F.when(assigned, r.withField("stream", F.lit("merged"))) for r in rows[:2]]
     rows = [F.when(r["id"].isNotNull(), r) for r in rows]  # an orphan has one mate
     kept = table.where(~F.col("rejected")).where(assigned | F.lit(spec.write_unassigned))
-    return kept.select(target.alias("target"), "read_idx", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("target", "read_idx", "x.*")
+    return kept.select(target.alias("target"), "read_idx", F.posexplode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("stream_order", "x")).select("target", "read_idx", "stream_order", "x.*")
 
 
 def failed_records(table: DataFrame) -> DataFrame:
@@ -348,16 +349,27 @@ def sample_table(table: DataFrame, spec: Spec) -> DataFrame:
     return metrics.sample_metrics(counts, samples, spec.low_fraction, columns).withColumnsRenamed({"fragments": "assigned_fragments", "fraction_of_assigned": "fraction_of_assigned_fragments"})
 
 
-def demux(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip") -> DataFrame:
+def expected_files(spec: Spec, paired: bool) -> tuple[tuple[str, str], ...]:
+    """(target, stream) of the files that a run makes even if nothing comes into them."""
+    streams = [("merged",)] * (spec.merge and paired) + ([("R1",), ("R2",)] if paired else [("single",)])
+    targets = [r["Sample"] for r in spec.sheet] or ["trimmed"]
+    return tuple((t, s) for t in targets + ["unassigned"] * spec.write_unassigned for (s,) in streams if not (t == "unassigned" and s == "merged"))
+
+
+def demux(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip", named: bool = False, per_part: int = 0) -> DataFrame:
     """Write every sample's reads and the reports under output, and return the summary row.
 
-    output must not exist.  The fragment table is kept in memory and on disk once, as several
+    Reads go to folders by target and stream, or, if named, to one file for each of them (or numbered files
+    of per_part records).  output must not exist.  The fragment table is kept in memory and on disk once, as several
     sinks read it.
     """
     spark = reads.sparkSession
     table = fragments(reads, spec).persist()
     try:
-        write_fastq(records(table, spec), f"{output}/reads", "target", "stream", compression=compression)
+        if named or per_part:
+            write_files(records(table, spec), f"{output}/reads", compression, per_part, expected_files(spec, "seq2" in table.columns))
+        else:
+            write_fastq(records(table, spec), f"{output}/reads", "target", "stream", compression=compression)
         if spec.write_failed:
             write_fastq(failed_records(table), f"{output}/failed", "stream", "mate", compression=compression)
         out = summary(table)
@@ -380,11 +392,11 @@ def demux(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip")
         table.unpersist()
 
 
-def trim(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip") -> DataFrame:
+def trim(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip", **options) -> DataFrame:
     """demux without barcodes: all fragments belong to one sample, trimmed."""
     if spec.barcodes:
         raise ValueError("trim takes no barcodes")
-    return demux(reads, spec, output, compression)
+    return demux(reads, spec, output, compression, **options)
 
 
 def html_report(row: dict, title: str = "Read report") -> str:
