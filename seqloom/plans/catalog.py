@@ -17,7 +17,7 @@ from seqloom.operators.overlap import overlapped_span, overlaps, pair_features
 from seqloom.operators.routing import route, route_counts
 from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, fragments, preprocessing_table, sample_table, summary
-from seqloom.sources import sam, scratch
+from seqloom.sources import sam, sam_text, scratch
 from seqloom.sources.fastq import read_fastq, write_fastq
 from seqloom.sources.files import write_files
 
@@ -719,6 +719,17 @@ def q_tag_counts(spark, sf_dir):
     return sam.tag_counts(_trimmed_records(spark, sf_dir))
 
 
+@_query(f"""SELECT row_number() OVER (ORDER BY read_idx) - 1 AS n, 'q' || cast(read_idx AS varchar) AS qname, cast({_FLAG} AS integer) AS flag, CASE WHEN read_idx % 12 = 10 THEN '' ELSE seq END AS seq, qual,
+ qual AS oq, CASE WHEN read_idx % 3 = 0 THEN 'i:1' END AS nm, CASE WHEN read_idx % 4 = 0 THEN seq END AS r2 FROM (SELECT read_idx, seq, CASE WHEN read_idx % 12 = 9 THEN substr(qual, 2) ELSE qual END AS qual FROM ({_INS}) i WHERE read_idx % 12 NOT IN (8, 9))""")
+def q_sam_text(spark, sf_dir):
+    """Records written as SAM text with a header and read from ranges of the file."""
+    path = scratch.shared_path(spark, "sam")
+    sam_text.write_sam(sam_records(spark, sf_dir).where("read_idx % 12 not in (8, 9)"), path, "x.sam", ["@HD\tVN:1.6\tGO:query"])
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    told = sam_text.read_sam(spark, f"{path}/x.sam", paired=True, split_bytes=_CUT)
+    return scratch.settled(told.select(F.col("read_idx").alias("n"), "qname", "flag", "seq", "qual", tag("OQ")["value"].alias("oq"), F.concat_ws(":", tag("NM")["type"], tag("NM")["value"]).alias("nm"), tag("R2")["value"].alias("r2")).withColumn("nm", F.nullif("nm", F.lit(""))), path)
+
+
 @_query(f"""SELECT 2 * read_idx AS read_idx, 'q' || cast(read_idx AS varchar) AS qname, read_idx % 2 = 0 AS r1_first, CASE WHEN read_idx % 2 = 0 THEN seq ELSE reverse(seq) END AS seq1, CASE WHEN read_idx % 2 = 0 THEN reverse(seq) ELSE seq END AS seq2 FROM ({_INS})""")
 def q_record_mates(spark, sf_dir):
     i = inserts(spark, sf_dir).withColumn("qname", F.concat(F.lit("q"), F.col("read_idx")))

@@ -136,6 +136,32 @@ def _join(spark: SparkSession, path: str, files: dict[str, list]) -> None:
         df.mapInArrow(copy, "file string").collect()
 
 
+def _rows_to_files(rows: DataFrame, order: list[str], path: str, compression: str) -> dict[str, list]:
+    """Rows (file, read_idx, value and what else order names) as files below path; their members by file."""
+    spark = rows.sparkSession
+    spark.dataSource.register(FastqFiles)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("file", "read_idx", "value")
+    dealt.write.format("fastq_files").mode("append").option("path", path).option("compression", compression).save()
+    store, inside = _at(path)
+    with store.open_input_stream(f"{inside}/{MANIFEST}", compression=None) as f:
+        files = json.loads(f.read())
+    _join(spark, path, files)
+    return files
+
+
+def _end(path: str) -> None:
+    store, inside = _at(path)
+    store.delete_dir(f"{inside}/{STAGING}")
+    store.delete_file(f"{inside}/{MARKER}")
+
+
+def write_lines(rows: DataFrame, path: str, compression: str = "none", overwrite: bool = False) -> None:
+    """Rows (file, read_idx, value: lines with their ends) as files below path, in order of read_idx; see write_files."""
+    _begin(path, overwrite)
+    _rows_to_files(rows, ["file", "read_idx"], path, compression)
+    _end(path)
+
+
 def write_files(records: DataFrame, path: str, compression: str = "gzip", per_part: int = 0, expected: tuple[tuple[str, str], ...] = (), overwrite: bool = False) -> DataFrame:
     """Write records (target, stream, read_idx, id, seq, qual) as named files below path, and tell file, records, bytes.
 
@@ -152,7 +178,6 @@ def write_files(records: DataFrame, path: str, compression: str = "gzip", per_pa
     targets = sorted({r["target"] for r in records.select("target").distinct().collect()} | {t for t, _ in expected})  # samples: a dimension
     safe = file_names([t for t in targets if t != "unassigned"]) | {"unassigned": "unassigned"}
     store, inside = _begin(path, overwrite)
-    spark.dataSource.register(FastqFiles)
     if per_part:
         records = split_parts(records, per_part, "target", "stream")
     name = F.element_at(F.create_map(*(F.lit(x) for t in targets for x in (t, safe[t]))), F.col("target"))
@@ -161,11 +186,7 @@ def write_files(records: DataFrame, path: str, compression: str = "gzip", per_pa
     file = F.concat(front, body, F.lit(".fastq" + (".gz" if compression == "gzip" else "")))
     value = F.concat(F.lit("@"), F.col("id"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"), F.lit("\n"))
     order = ["file", "read_idx", *(["stream_order"] if "stream_order" in records.columns else [])]
-    rows = records.withColumns({"file": file, "value": value}).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.select("file", "read_idx", "value").write.format("fastq_files").mode("append").option("path", path).option("compression", compression).save()
-    with store.open_input_stream(f"{inside}/{MANIFEST}", compression=None) as f:
-        files = json.loads(f.read())
-    _join(spark, path, files)
+    files = _rows_to_files(records.withColumns({"file": file, "value": value}), order, path, compression)
     told = [(n, sum(m[2] for m in members), sum(m[3] for m in members)) for n, members in files.items()]
     for target, stream in expected:
         empty = file_name(safe[target], stream, 0 if per_part else None, compression)
@@ -173,6 +194,5 @@ def write_files(records: DataFrame, path: str, compression: str = "gzip", per_pa
             with store.open_output_stream(f"{inside}/{empty}", compression=None) as f:
                 f.write(gzip.compress(b"", mtime=0) if compression == "gzip" else b"")
             told.append((empty, 0, store.get_file_info(f"{inside}/{empty}").size))
-    store.delete_dir(f"{inside}/{STAGING}")
-    store.delete_file(f"{inside}/{MARKER}")
+    _end(path)
     return spark.createDataFrame(told, "file string, records long, bytes long")
