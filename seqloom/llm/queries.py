@@ -137,6 +137,20 @@ FROM t GROUP BY conv_id
 """
 
 
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(shingle) AS h, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+c AS (SELECT doc_id AS node, doc_id AS first FROM documents UNION SELECT l.y, c.first FROM c JOIN l ON l.x = c.node WHERE c.first < l.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.first AS component_id, m.first = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(first) AS first FROM c GROUP BY 1) m ON m.node = d.doc_id
+"""
+
+
 _OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 m AS (SELECT text, min(doc_id) AS first FROM d GROUP BY 1),
@@ -173,4 +187,4 @@ FROM a{rounds} JOIN c{rounds} USING (j)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": _OP1, "op2_url_filter": _OP2, "op12_filter_audit": _OP12, "op13_centroids": _op13()}
+    return {"op1_chat": _OP1, "op2_url_filter": _OP2, "op3_near_dedup": _OP3, "op12_filter_audit": _OP12, "op13_centroids": _op13()}

@@ -32,6 +32,10 @@ def same(spark, name, tables):
     return len(got)
 
 
+def test_near_dedup_query_equals_sql(spark):
+    assert same(spark, "op3_near_dedup", ["documents"]) == 200
+
+
 # fingerprints
 
 
