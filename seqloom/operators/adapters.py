@@ -168,15 +168,17 @@ class SampleAdapter:
         return F.lit(False)
 
 
-def sample_adapters(layout: Layout, barcodes: list[tuple[str, str, str]], sheet: list[dict[str, str]], paired: bool, technical: dict[int, str] | None = None, umi: dict[int, int] | None = None) -> list[tuple]:
+def sample_adapters(layout: Layout, barcodes: list[tuple[str, str, str]], sheet: list[dict[str, str]], paired: bool, technical: dict[int, str] | None = None, umi: dict[int, int] | None = None, distals: dict[int, Structure] | None = None) -> list[tuple]:
     """(sample, mate, expected, at, word): what each mate's reads of a sample run into behind the insert, if
-    it has an anchor.  Single reads are taken to have the same structure at both ends."""
+    it has an anchor.  Single reads are taken to have the same structure at both ends, unless a
+    distal one says, read forward, what a mate meets."""
     known, rows = {(s, i): seq.upper() for s, i, seq in barcodes}, []
     for row in sheet:
         own = {s: known[(s, row[s])] for s in layout.symbols}
         for mate in (1, 2) if paired else (1,):
             source = 3 - mate if paired else mate
-            adapter = Adapter(opposite(layout, source, own, technical, (umi or {}).get(source, 0)))
+            far = (distals or {}).get(mate)
+            adapter = Adapter(distal(far, own) if far else opposite(layout, source, own, technical, (umi or {}).get(source, 0)))
             if adapter.anchor:
                 rows.append((row["Sample"], mate, adapter.expected, *adapter.anchor))
     return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,12 @@ class FilterOptions:
         return cls(**{"qualified_quality": 15, "max_low_quality_percent": 40, "max_n": 5, "min_length": 15} | explicit)
 
 
+    def without(self, *kinds: str) -> FilterOptions:
+        """These options with whole kinds of filters off, whatever set them: quality, n, length or complexity."""
+        off = {"quality": {"max_low_quality_percent": None, "min_average_quality": None}, "n": {"max_n": None}, "length": {"min_length": 0, "length_limit": None}, "complexity": {"low_complexity_percent": None}}
+        return replace(self, **{k: v for kind in kinds for k, v in off[kind].items()})
+
+
 def reasons(seq: Column, qual: Column, o: FilterOptions) -> dict[str, Column]:
     """A flag for each reason that one mate's retained bases can give."""
     n, no = F.length(seq), F.lit(False)

@@ -190,6 +190,16 @@ def q_filter_reasons(spark, sf_dir):
     return _flags(spark, sf_dir).select("read_idx", *filters.REASONS[:6])
 
 
+@_query(f"""WITH i AS ({_INS}), f AS (SELECT length(seq) < 15 AS too_short, length(regexp_replace(seq, '[^N]', '', 'g')) > 2 AS too_many_n, len(list_filter({_CODES}, lambda q: q < 15)) * 100 > 40 * length(seq) AS low_quality FROM i)
+SELECT count(*) AS fragments, count(*) FILTER (too_many_n OR low_quality) AS rejected_fragments, cast(0 AS bigint) AS too_short, count(*) FILTER (too_many_n) AS too_many_n, count(*) FILTER (low_quality) AS low_quality, cast(0 AS bigint) AS low_mean_quality,
+ cast(0 AS bigint) AS too_long, cast(0 AS bigint) AS low_complexity, cast(0 AS bigint) AS duplicate, cast(0 AS bigint) AS index_blacklist FROM f""")
+def q_profile_counts(spark, sf_dir):
+    """The default profile with N said otherwise and lengths off."""
+    profile = filters.FilterOptions.defaults_profile(max_n=2).without("length")
+    reads = inserts(spark, sf_dir).withColumnsRenamed({"id": "id1", "seq": "seq1", "qual": "qual1"})
+    return filters.rejection_counts(fragments(reads, Spec(filters=profile)))
+
+
 def _clipped(spark, sf_dir, f):
     df = inserts(spark, sf_dir)
     s, e = f(F.col("seq"), F.col("qual"), clip.whole(F.col("seq")))
@@ -244,6 +254,13 @@ def q_poly_g(spark, sf_dir):
     return _clipped(spark, sf_dir, lambda s, q, b: clip.poly_g(s, b, 10))
 
 
+@_query(_SQL["poly_g"])
+def q_auto_poly_g(spark, sf_dir):
+    """Poly-G clips because the first read's name asks for them."""
+    reads = inserts(spark, sf_dir).select("read_idx", F.concat(F.lit("VH"), F.col("id")).alias("id1"), F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
+    return fragments(reads, Spec(auto_poly_g=True)).select("read_idx", F.lit(0).alias("b_start"), F.length("seq1").alias("b_end"), F.col("seq1").alias("kept"))
+
+
 _RUN = ", ".join(f"sum(CASE WHEN base IN ('{x}', 'N') THEN 1 ELSE 0 END) OVER (PARTITION BY read_idx ORDER BY j) AS n{x}" for x in "ATCG")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import clip, dna
 from seqloom.operators import filters, metrics
-from seqloom.operators.adapters import Adapter, SampleAdapter, opposite, sample_adapters
+from seqloom.operators.adapters import Adapter, SampleAdapter, infer_adapter, opposite, sample_adapters
 from seqloom.operators.automaton import AdapterSet
 from seqloom.operators.overlap import consensus, overlaps
 from seqloom.operators.routing import route
-from seqloom.plans.layout import Layout
+from seqloom.plans.layout import Layout, Structure
 from seqloom.sources.fastq import write_fastq
 from seqloom.sources.files import write_files
 from seqloom.sources.tables import file_names, read_adapters
@@ -52,6 +52,9 @@ class Spec:
     adapter_fasta: dict[int, str] = field(default_factory=dict)
     adapter_min_known: int = 20
     infer_adapters: bool = False
+    distal: dict[int, str] = field(default_factory=dict)
+    detect_adapters: bool = False
+    auto_poly_g: bool = False
     technical: dict[int, str] = field(default_factory=dict)
     overlap: bool = True
     overlap_length: int = 30
@@ -85,6 +88,15 @@ class Spec:
             raise ValueError("a UMI in reads needs a length")
         if bool(self.barcodes) != bool(self.sheet):
             raise ValueError("barcodes and samples go together")
+        if self.distal and not (self.infer_adapters and self.barcodes):
+            raise ValueError("a distal structure is for signatures of samples")
+        if self.detect_adapters and (self.adapters or self.adapter_fasta or self.infer_adapters):
+            raise ValueError("adapters are detected where none are given")
+        if self.auto_poly_g and self.poly_g:
+            raise ValueError("poly-G is clipped or found out, not both")
+        for m, text in self.distal.items():
+            if unknown := {x.symbol for x in Structure.parse(text).segments} - {*self.layout.symbols, "T"}:
+                raise ValueError(f"the distal structure of R{m} has unknown barcodes {sorted(unknown)}")
         for s in self.layout.symbols:
             if not 0 <= self.max_mismatches <= self.layout.length(s):
                 raise ValueError("more mismatches than barcode bases")
@@ -96,6 +108,25 @@ class Spec:
         return self.umi_length + self.umi_skip if mate in used else 0
 
 
+#: Bases of a run that poly-G clips take, where the instrument asks for them.
+AUTO_POLY_G = 10
+
+
+def detected(reads: DataFrame, spec: Spec) -> Spec:
+    """spec with what it leaves to the reads: poly-G clips if the first read's name is that of an instrument with
+    two colours, and for each mate the adapter that many of its ends share.  Looks at the first read and
+    the first few thousand, by read_idx."""
+    more: dict = {}
+    mates = (1, 2) if "seq2" in reads.columns else (1,)
+    if spec.auto_poly_g:
+        named = reads.where("id1 is not null").orderBy("read_idx").limit(1).select(dna.two_colour(F.col("id1")).alias("two")).first()
+        more |= {"auto_poly_g": False, "poly_g": AUTO_POLY_G if named and named["two"] else 0}
+    if spec.detect_adapters:
+        found = {m: infer_adapter(reads.where(f"seq{m} is not null").select("read_idx", F.col(f"seq{m}").alias("seq")), prefix=spec.layout.prefix(m) + spec.umi_bases(m)) for m in mates}
+        more |= {"detect_adapters": False, "adapters": {m: (Adapter(a, min_partial=spec.adapter_min_known),) for m, a in found.items() if a}}
+    return replace(spec, **more) if more else spec
+
+
 def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
     """The fragment table: read_idx, id, seq, qual by mate as they came, status and sample, bounds,
     retained bases, filter flags, bases removed by each step, and for pairs the overlap's features.
@@ -107,7 +138,7 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
     and pairs pass through one or two Arrow stages.
     """
     mates = (1, 2) if "seq2" in reads.columns else (1,)
-    df = reads
+    df, spec = reads, detected(reads, spec)
     if spec.phred64:
         df = df.withColumns({f"qual{m}": dna.phred64_to_33(F.col(f"qual{m}")) for m in mates})
     if spec.filters.dedup:
@@ -125,7 +156,7 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
         df = df.withColumns({"status": F.when(orphan, "orphan").otherwise(F.col("status")), "sample": F.when(~orphan, F.col("sample")), "is_short": F.coalesce(~orphan & F.col("is_short"), F.lit(False))})
     inferred = []
     if spec.infer_adapters and spec.barcodes:
-        inferred = sample_adapters(spec.layout, list(spec.barcodes), list(spec.sheet), paired, spec.technical, {m: spec.umi_bases(m) for m in mates})
+        inferred = sample_adapters(spec.layout, list(spec.barcodes), list(spec.sheet), paired, spec.technical, {m: spec.umi_bases(m) for m in mates}, {m: Structure.parse(x) for m, x in spec.distal.items()})
         for m in sorted({r[1] for r in inferred}):
             dim = df.sparkSession.createDataFrame([(r[0], *r[2:]) for r in inferred if r[1] == m], f"_s string, infer{m}_expected string, infer{m}_at int, infer{m}_word string")
             df = df.join(F.broadcast(dim), F.col("sample") == F.col("_s"), "left").drop("_s")  # a row a sample of the sheet

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators.adapters import Adapter
+from seqloom.operators.adapters import Adapter, distal, sample_adapters
 from seqloom.operators.automaton import AdapterSet
-from seqloom.plans.pipeline import Spec, fragments
+from seqloom.operators.filters import FilterOptions
+from seqloom.plans.layout import Layout, Structure
+from seqloom.plans.pipeline import Spec, detected, fragments
 
 R = np.random.default_rng(11)
 
@@ -94,3 +96,42 @@ def test_shift_and_over_long_adapters(spark):
         for i, read in enumerate(reads):
             assert got[i][0] == plain_partial(a, read)[1]
             assert got[i][1] == (read is not None and len(read) >= 20 and 20 in dict(a._heads()) and all(e in (p, "N") for p, e in zip(read[-20:], text)))
+
+
+READ = "read_idx long, id1 string, seq1 string, qual1 string"
+
+
+def test_adapters_are_detected_and_poly_g_found_out(spark):
+    adapter = "AGATCGGAAGAGCACACGTCTGAACTCCAG"
+    rows = [(i, f"{'VH' if i == 0 else 'r'}{i}", bases(30 + i % 9) + adapter + bases(3), "I" * (63 + i % 9)) for i in range(120)]
+    reads = spark.createDataFrame(rows, READ).repartition(3)
+    got = fragments(reads, Spec(detect_adapters=True)).collect()
+    assert {(r.adapter1, len(r.seq1) - r.read_idx % 9) for r in got} == {("full", 30)}
+    spec = detected(reads, Spec(auto_poly_g=True))
+    assert spec.poly_g == 10 and not spec.auto_poly_g and detected(reads.where("read_idx > 0"), Spec(auto_poly_g=True)).poly_g == 0
+    plain = spark.createDataFrame([(i, f"r{i}", bases(60), "I" * 60) for i in range(60)], READ)
+    assert detected(plain, Spec(detect_adapters=True)).adapters == {} and detected(plain.limit(0), Spec(auto_poly_g=True, detect_adapters=True)) == Spec()
+    for bad in ({"detect_adapters": True, "infer_adapters": True}, {"auto_poly_g": True, "poly_g": 5}, {"distal": {1: "R1_4A"}}):
+        with pytest.raises(ValueError):
+            Spec(**bad)
+
+
+def test_a_distal_structure_replaces_the_mirrored_one(spark):
+    layout = Layout.parse("R1_22A")
+    codes = {"x": "ACGTTGCATCAGGATTCACCGT", "y": "TGCAACGTAGTCCTAAGTGGCA"}
+    sheet, far = ({"Sample": "sx", "A": "x"}, {"Sample": "sy", "A": "y"}), "R1_6T22A"
+    rows = [(i, f"r{i}", codes[k] + bases(20) + bases(6) + codes[k] + "AC", "I" * 72) for i, k in enumerate("xyxy")]
+    reads = spark.createDataFrame(rows, READ)
+    spec = Spec(layout=layout, barcodes=tuple(("A", i, s) for i, s in codes.items()), sheet=sheet, infer_adapters=True, distal={1: far})
+    assert distal(Structure.parse(far), {"A": codes["x"]}) == "N" * 6 + codes["x"]
+    known = sample_adapters(layout, list(spec.barcodes), list(sheet), False, distals={1: Structure.parse(far)})
+    assert [(r[0], r[2]) for r in known] == [("sx", "N" * 6 + codes["x"]), ("sy", "N" * 6 + codes["y"])]
+    assert [(r.adapter1, len(r.seq1)) for r in fragments(reads, spec).collect()] == [("full", 20)] * 4
+    with pytest.raises(ValueError, match="unknown barcodes"):
+        Spec(layout=layout, barcodes=spec.barcodes, sheet=sheet, infer_adapters=True, distal={1: "R1_4B"})
+
+
+def test_filter_kinds_go_off():
+    o = FilterOptions.defaults_profile(length_limit=90, min_average_quality=20.0)
+    assert o.without("quality").max_low_quality_percent is None and o.without("quality").min_average_quality is None and o.without("quality").max_n == 5
+    assert (o.without("length").min_length, o.without("length").length_limit, o.without("n").max_n) == (0, None, None)
