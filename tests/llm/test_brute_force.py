@@ -116,6 +116,16 @@ def test_passages_recall_against_brute_force(spark):
     assert not linked & {i for i, _ in clean}
 
 
+def test_passages_of_repeated_and_missing_ids(spark):
+    """Every text of an id is looked at, and rows without one."""
+    planted = [prose(900 + i, 80, 5000) for i in range(5)]
+    rows = [(1, f"{prose(1, 40)} {planted[0]}"), (1, f"{prose(2, 40)} {planted[1]}"), (1, f"{prose(3, 40)} {planted[2]}"), (None, f"{planted[3]} {prose(4, 30)}"), (None, f"{prose(5, 30)} {planted[4]}")]
+    rows += [(10 + i, f"{prose(20 + i, 60)} {p} {prose(40 + i, 60)}") for i, p in enumerate(planted)] + [rows[0], (None, None)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, PLAIN)).collect()
+    assert {tuple(sorted((r.doc_id or 0, r.other_id or 0))) for r in got} == {(1, 10), (1, 11), (1, 12), (0, 13), (0, 14)}
+    assert all(r.end - r.start >= 70 for r in got)
+
+
 def overlaps_somewhere(doc, item, window=13, share=0.8):
     run = min(window, len(item))
     need = -(-run * share // 1)
@@ -267,7 +277,8 @@ def test_operators_on_hostile_tables(spark, hostile):
     assert line_dedup.drop_recurring_lines(hostile).columns == [c for c in hostile.columns if c != "n_dropped"] + ["n_dropped"]
     for op in (near_duplicates, line_dedup.drop_recurring_lines, mix_sources, lambda d: quality_filter(d, []), lm_scores, secrets.find_secrets):
         assert op(hostile).count() == n and op(none).count() == 0
-    assert passages.repeated_passages(hostile).where("doc_id is null").count() == 0 and passages.repeated_passages(none).count() == 0
+    rows = passages.repeated_passages(hostile).collect()  # id 6, a repeated row and one without an id have one text
+    assert {(r.doc_id, r.other_id) for r in rows if r.start == 0 and r.end == 80 and r.similarity == 1.0} == {(7, 6), (None, 6)} and passages.repeated_passages(none).count() == 0
     hits = decontaminate.contamination(hostile, bench).collect()
     assert {r.doc_id for r in hits} == {8} and decontaminate.contamination(hostile, bench.limit(0)).count() == 0
     keep_all = good_documents(hostile, [Rule((("n_words", ">", 0.0),), True)])
