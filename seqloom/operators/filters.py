@@ -56,9 +56,11 @@ def reasons(seq: Column, qual: Column, o: FilterOptions) -> dict[str, Column]:
 
 def flag(df: DataFrame, o: FilterOptions, mates: tuple[int, ...] = (1,)) -> DataFrame:
     """df (seq<m>, qual<m>; is_duplicate and is_blacklisted if there) plus a flag for each reason,
-    failed<m> for each mate and rejected.  Fragments that lack a mate (orphans) pass all of them."""
+    failed<m> for each mate and rejected.  Fragments that lack a mate (orphans) pass all of them; those that have a
+    merged_seq are judged by it."""
     whole_pair = reduce(lambda a, b: a & b, (F.col(f"seq{m}").isNotNull() for m in mates))
-    own = {m: reasons(F.col(f"seq{m}"), F.col(f"qual{m}"), o) for m in mates}
+    read = lambda c, m: F.coalesce(f"merged_{c}", f"{c}{m}") if "merged_seq" in df.columns else F.col(f"{c}{m}")
+    own = {m: reasons(read("seq", m), read("qual", m), o) for m in mates}
     either = {r: reduce(lambda a, b: a | b, (own[m][r] for m in mates)) for r in REASONS[:6]}
     either["duplicate"] = F.col("is_duplicate") if o.dedup and "is_duplicate" in df.columns else F.lit(False)
     either["index_blacklist"] = F.col("is_blacklisted") if "is_blacklisted" in df.columns else F.lit(False)

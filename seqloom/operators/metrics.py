@@ -18,13 +18,13 @@ def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
     return F.when(b == 0, 0.0).otherwise(scale * a / b)
 
 
-def _stats(seq: str, qual: str) -> list[Column]:
-    s, q = F.col(seq), F.col(qual)
+def stats_of(s: Column, q: Column) -> list[Column]:
+    """The sums behind FASTQ stats; extremes are null where there is no read."""
     return [
         F.count(s).alias("reads"),
         F.coalesce(F.sum(F.length(s)), F.lit(0)).alias("bases"),
-        F.coalesce(F.min(F.length(s)), F.lit(0)).alias("min_length"),
-        F.coalesce(F.max(F.length(s)), F.lit(0)).alias("max_length"),
+        F.min(F.length(s)).alias("min_length"),
+        F.max(F.length(s)).alias("max_length"),
         F.sum(dna.gc_count(s)).alias("gc"),
         F.sum(dna.n_count(s)).alias("n"),
         F.sum(dna.quality_sum(q)).alias("quality"),
@@ -33,10 +33,11 @@ def _stats(seq: str, qual: str) -> list[Column]:
     ]
 
 
-def _rates(df: DataFrame, *keys: str) -> DataFrame:
+def rates(df: DataFrame, *keys: str) -> DataFrame:
+    """FASTQ stats from their sums."""
     c = F.col
     return df.select(
-        *keys, "reads", "bases", "min_length", "max_length",
+        *keys, "reads", "bases", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("min_length", "max_length")),
         F.round(ratio(c("bases"), c("reads")), 4).alias("mean_length"),
         *(F.round(ratio(c(x), c("bases"), 100.0), 4).alias(f"{x}_percent") for x in ("gc", "n")),
         F.round(ratio(c("quality"), c("bases")), 4).alias("mean_quality"),
@@ -46,7 +47,7 @@ def _rates(df: DataFrame, *keys: str) -> DataFrame:
 
 def fastq_stats(df: DataFrame, *keys: str, seq: str = "seq", qual: str = "qual") -> DataFrame:
     """Reads, bases, lengths, GC, N and quality by keys."""
-    return _rates(df.groupBy(*keys).agg(*_stats(seq, qual)), *keys)
+    return rates(df.groupBy(*keys).agg(*stats_of(F.col(seq), F.col(qual))), *keys)
 
 
 def segment_stats(reads: DataFrame, layout: Layout) -> DataFrame:

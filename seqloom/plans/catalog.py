@@ -15,8 +15,9 @@ from seqloom.operators.adapters import Adapter, sample_adapters
 from seqloom.operators.automaton import AdapterSet
 from seqloom.operators.overlap import overlapped_span, overlaps, pair_features
 from seqloom.operators.routing import route, route_counts
+from seqloom.plans import accounting
 from seqloom.plans.layout import Layout
-from seqloom.plans.pipeline import Spec, fragments, preprocessing_table, sample_table, summary
+from seqloom.plans.pipeline import Spec, demux, fragments, preprocessing_table, sample_table, summary
 from seqloom.sources import sam, sam_text, scratch
 from seqloom.sources.fastq import read_fastq, write_fastq
 from seqloom.sources.files import write_files
@@ -667,6 +668,81 @@ def q_preprocessing_counters(spark, sf_dir):
     return preprocessing_table(_trim(spark, sf_dir)).where(F.col("Metric").isin(told))
 
 
+_ACCOUNT = f"""{_OVER}, a1 AS {_anchor_sql(_ONE, 'e', 'k')}, a2 AS {_anchor_sql(_ONE.replace(ADAPTER, ADAPTER2), 'e', 'k')},
+d AS (SELECT o.read_idx, o.k, o.i, seq1, seq2, qual1, qual2, {_mate_sql(1, ADAPTER)}, {_mate_sql(2, ADAPTER2)} FROM o, a1, a2),
+e AS (SELECT *, {_kind_sql(1)} AS adapter1, {_kind_sql(2)} AS adapter2 FROM d),
+g AS (SELECT *, CASE WHEN adapter1 IS NULL THEN length(seq1) ELSE i END AS n1, CASE WHEN adapter2 IS NULL THEN length(seq2) ELSE i END AS n2 FROM e)"""
+_SECTIONS = f"""WITH {_ACCOUNT}, told AS (SELECT 'before' AS phase, 'R1' AS mate, seq1 AS s, qual1 AS q FROM g UNION ALL SELECT 'before', 'R2', seq2, qual2 FROM g UNION ALL
+  SELECT 'after', 'R1', substr(seq1, 1, cast(n1 AS bigint)), substr(qual1, 1, cast(n1 AS bigint)) FROM g WHERE least(n1, n2) >= 35 UNION ALL
+  SELECT 'after', 'R2', substr(seq2, 1, cast(n2 AS bigint)), substr(qual2, 1, cast(n2 AS bigint)) FROM g WHERE least(n1, n2) >= 35)"""
+
+
+def _account_sql() -> str:
+    """One row of all metrics, turned."""
+    told = {k: "0" for k in accounting.RUN_METRICS} | {f"R{m}_{k}": "0" for m in (1, 2) for k in accounting.MATE_METRICS}
+    cut, good = "(adapter1 IS NOT NULL OR adapter2 IS NOT NULL)", "(least(n1, n2) >= 35)"
+    told |= {"overlap_confirmed_pairs": f"count(*) FILTER ({cut})", "overlap_unconfirmed_pairs": f"count(*) FILTER (NOT {cut})", "overlap_ambiguous_pairs": "count(*) FILTER (k > 1)"}
+    told |= {"fragments_processed": "count(*)", "fragments_retained": f"count(*) FILTER ({good})", "fragments_rejected": f"count(*) FILTER (NOT {good})", "rejected_min_length": f"count(*) FILTER (NOT {good})"}
+    for m in (1, 2):
+        for kind, name in (("full", "full_adapter"), ("partial", "partial_adapter"), ("overlap", "overlap_only")):
+            told |= {f"R{m}_{name}_reads": f"count(*) FILTER (adapter{m} = '{kind}')", f"R{m}_{name}_bases_removed": f"coalesce(sum(length(seq{m}) - n{m}) FILTER (adapter{m} = '{kind}'), 0)"}
+        told[f"R{m}_adapter_dimers"] = f"count(*) FILTER (adapter{m} IS NOT NULL AND n{m} <= 2)"
+    row = ", ".join(f'cast({c} AS bigint) AS "{k}"' for k, c in told.items())
+    return f'WITH {_ACCOUNT}, sums AS (SELECT {row} FROM g) SELECT "Metric", "Count" FROM (UNPIVOT (SELECT * FROM sums) ON COLUMNS(*) INTO NAME "Metric" VALUE "Count")'
+
+
+def _pair_run(spark, sf_dir) -> DataFrame:
+    own = {m: (Adapter(a, min_partial=10),) for m, a in ((1, ADAPTER), (2, ADAPTER2))}
+    return fragments(pairs(spark, sf_dir), Spec(adapters=own, filters=filters.FilterOptions(min_length=35)))
+
+
+@_query(_account_sql())
+def q_run_metrics(spark, sf_dir):
+    """All metrics of a run over pairs, from its ledger."""
+    return accounting.metric_rows(accounting.ledger(_pair_run(spark, sf_dir)))
+
+
+@_query(f"{_SECTIONS} SELECT phase, mate, {_STATS} FROM told GROUP BY ALL")
+def q_report_sections(spark, sf_dir):
+    """FASTQ stats before and after, from the same ledger."""
+    return accounting.section_rows(accounting.ledger(_pair_run(spark, sf_dir)))
+
+
+@_query(f"{_SECTIONS} SELECT phase, mate, cast(length(s) AS integer) AS length, count(*) AS reads FROM told GROUP BY ALL")
+def q_report_lengths(spark, sf_dir):
+    """Lengths before and after, from a spectrum of cycles: both are read from one table."""
+    run = scratch.settled(_pair_run(spark, sf_dir))
+    return accounting.length_histogram(accounting.spectrum(run), accounting.section_rows(accounting.ledger(run)))
+
+
+@_query(f"""{_SECTIONS}, cycles AS (SELECT phase, mate, s, q, unnest(range(1, length(s) + 1)) AS cycle FROM told)
+SELECT phase, mate, cast(cycle AS integer) AS cycle, substr(s, cycle, 1) AS base, count(*) AS bases, round(avg(ascii(substr(q, cycle, 1)) - 33), 4) AS mean_quality FROM cycles GROUP BY ALL""")
+def q_report_cycles(spark, sf_dir):
+    return accounting.cycle_content(accounting.spectrum(_pair_run(spark, sf_dir)))
+
+
+@_query(f"""WITH {_MERGE}, v AS (SELECT read_idx, count(*) FILTER (fix1 OR fix2) AS fixed, count(DISTINCT pos0) AS size FROM f GROUP BY 1),
+y AS (SELECT fixed, size, coalesce(size, least(length(seq1), length(seq2))) >= 55 AS good FROM p LEFT JOIN v USING (read_idx))
+SELECT count(*) AS processed, count(*) FILTER (good) AS retained, count(*) FILTER (NOT good) AS too_short, count(*) FILTER (good AND size IS NOT NULL) AS merged, cast(coalesce(sum(fixed), 0) AS bigint) AS corrected_bases FROM y""")
+def q_merge_counts(spark, sf_dir):
+    """Merged reads are judged as such: a pair of short mates may make a long one."""
+    spec = Spec(overlap=False, correction=True, merge=True, filters=filters.FilterOptions(min_length=55))
+    return accounting.totals(accounting.ledger(fragments(pairs(spark, sf_dir), spec))).select("processed", "retained", "too_short", "merged", "corrected_bases")
+
+
+@_query(f"""WITH {_ROUTED}, v AS (SELECT status, length(regexp_replace(CASE WHEN status = 'assigned' THEN substr(seq1, 25) ELSE seq1 END, '[^N]', '', 'g')) <= 2 AS good FROM x),
+c AS (SELECT count(*) AS n, count(*) FILTER (good AND status = 'assigned') AS a, count(*) FILTER (good AND status <> 'assigned') AS u FROM v)
+SELECT 'classes' AS "check", n AS told, n AS found FROM c UNION ALL SELECT 'decisions', n, n FROM c UNION ALL SELECT 'samples', a, a FROM c UNION ALL SELECT 'mates', 0, 0 FROM c
+UNION ALL SELECT 'unassigned', u, u FROM c UNION ALL SELECT 'assigned', a, a FROM c""")
+def q_reconciliation(spark, sf_dir):
+    """A whole run into named files; its sums as it wrote them down."""
+    path = scratch.shared_path(spark, "run")
+    spec = _demux_spec(spark, sf_dir, filters=filters.FilterOptions(max_n=2), write_unassigned=True)
+    demux(derived_reads(spark, sf_dir).withColumnRenamed("id", "id1"), spec, path, named=True)
+    sums = spark.read.option("sep", "\t").option("header", True).schema("check string, told long, found long").csv(f"{path}/reconciliation")
+    return scratch.settled(sums, path)
+
+
 @_query(f"WITH {_TRIMMED} SELECT 'R1' AS mate, {_STATS} FROM (SELECT substr(bio, 1, cast(size AS bigint)) AS s, substr(bq, 1, cast(size AS bigint)) AS q FROM t WHERE size >= 20)")
 def q_retained_stats(spark, sf_dir):
     return metrics.mate_stats(_trim(spark, sf_dir).where("not rejected"))

@@ -7,7 +7,7 @@ import os
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import clip, dna
@@ -16,7 +16,10 @@ from seqloom.operators.adapters import Adapter, SampleAdapter, infer_adapter, op
 from seqloom.operators.automaton import AdapterSet
 from seqloom.operators.overlap import consensus, overlaps
 from seqloom.operators.routing import route
+from seqloom.plans import accounting
+from seqloom.plans.accounting import html_report
 from seqloom.plans.layout import Layout, Structure
+from seqloom.sources import scratch
 from seqloom.sources.fastq import write_fastq
 from seqloom.sources.files import write_files
 from seqloom.sources.tables import file_names, read_adapters
@@ -80,6 +83,8 @@ class Spec:
     include_unmerged: bool = False
     low_fraction: float = 0.05
     dimer_max: int = 2
+    report_title: str = "Read report"
+    report_details: bool = False
 
     def __post_init__(self):
         if self.umi_location not in (None, "read1", "read2", "per_read", "index1", "index2", "per_index"):
@@ -171,7 +176,7 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
     for m in mates:
         df = _finish(df, m, spec)
         df = df.withColumns({f"kept_{c}{m}": dna.cut(F.col(f"{c}{m}"), F.col(f"_s{m}"), F.col(f"_e{m}")) for c in ("seq", "qual")})
-    df = _settled(df, [c for c in df.columns if not c.startswith(("kept_", "_s", "_e", "poly_x", "max_length", "adapter", "dimer"))])
+    df = _settled(df, [c for c in df.columns if not c.startswith(("kept_", "_s", "_e", "poly_x", "max_length", "adapter", "dimer", "pair_overlap"))])
     df = df.withColumns({f"raw_{c}{m}": F.col(f"{c}{m}") for c in ("seq", "qual") for m in mates}).withColumns({f"{c}{m}": F.col(f"kept_{c}{m}") for c in ("seq", "qual") for m in mates})
     if paired and (spec.correction or spec.merge):
         df = overlaps(df.drop("overlap_status", "insert_length", "overlap_length", "overlap_mismatches", "gap_end1", "gap_end2") if confirm else df, where="_able", **_limits(spec))
@@ -307,7 +312,11 @@ def _pair_bounds(df: DataFrame, spec: Spec, own: dict[int, list]) -> DataFrame:
         alone = full.isNull() & partial.isNull() & F.lit(not spec.require_adapter) & (here < F.length(part))
         kind = F.when(here.isNull() | ~F.col("_able"), None).when(full.isNotNull() & whole, "full").when(full.isNull() & end, "partial").when(alone, "overlap")
         df = _adapter_cut(df, m, spec, kind, here).drop(f"_end{m}")
-    return df
+    evidence = [F.col(f"{k}{m}").isNotNull() for k in ("full", "partial") for m in (1, 2)]
+    asked = F.col("_able") & reduce(lambda a, b: a | b, evidence, F.lit(not spec.require_adapter))
+    cut, unique = F.col("adapter1").isNotNull() | F.col("adapter2").isNotNull(), F.col("overlap_status") == "unique"
+    told = F.when(cut & unique, "confirmed").when(cut, "gapped").when(F.col("overlap_status") == "ambiguous", "ambiguous").otherwise("unconfirmed")
+    return df.withColumn("pair_overlap", F.when(asked, told))
 
 
 def records(table: DataFrame, spec: Spec) -> DataFrame:
@@ -331,10 +340,15 @@ def records(table: DataFrame, spec: Spec) -> DataFrame:
 
 
 def failed_records(table: DataFrame) -> DataFrame:
-    """stream (failed, or unpaired for the mate that passes), mate, read_idx, id, seq, qual of rejected fragments."""
+    """stream (failed, or unpaired for the mate that passes), mate (0 for a merged read), read_idx, id, seq, qual of
+    rejected fragments."""
     mates = (1, 2) if "seq2" in table.columns else (1,)
     rows = [F.struct(F.when(F.col(f"failed{m}"), "failed").otherwise("unpaired").alias("stream"), F.lit(m).alias("mate"), F.col(f"id{m}").alias("id"), F.col(f"seq{m}").alias("seq"), F.col(f"qual{m}").alias("qual")) for m in mates]
-    return table.where("rejected").select("read_idx", F.explode(F.array(*rows)).alias("x")).select("read_idx", "x.*")
+    rows = F.array(*rows)
+    if "merged_seq" in table.columns:
+        whole = F.struct(F.lit("failed").alias("stream"), F.lit(0).alias("mate"), *(F.col(f"merged_{c}").alias(c) for c in ("id", "seq", "qual")))
+        rows = F.when(F.col("merged_seq").isNotNull(), F.array(whole)).otherwise(rows)
+    return table.where("rejected").select("read_idx", F.explode(rows).alias("x")).select("read_idx", "x.*")
 
 
 def summary(table: DataFrame) -> DataFrame:
@@ -391,36 +405,63 @@ def demux(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip",
     """Write every sample's reads and the reports under output, and return the summary row.
 
     Reads go to folders by target and stream, or, if named, to one file for each of them (or numbered files
-    of per_part records).  output must not exist.  The fragment table is kept in memory and on disk once, as several
-    sinks read it.
+    of per_part records).  output must not exist.  The fragment table is written once to the shared folder, from
+    which sinks read it, so executors may be lost; one aggregation gives the ledger that all reports
+    come from (accounting), and sums that don't agree are an error.  report_details adds lengths,
+    qualities and cycles to the report, by one more aggregation.
     """
     spark = reads.sparkSession
-    table = fragments(reads, spec).persist()
+    paths = [scratch.shared_path(spark, x) for x in ("fragments", "ledger", "spectrum")]
+    kept = lambda df, path: (df.write.parquet(path), spark.read.schema(df.schema).parquet(path))[1]
     try:
+        table = kept(fragments(reads, spec), paths[0])
         if named or per_part:
-            write_files(records(table, spec), f"{output}/reads", compression, per_part, expected_files(spec, "seq2" in table.columns))
+            files = write_files(records(table, spec), f"{output}/reads", compression, per_part, expected_files(spec, "seq2" in table.columns))
+            mate = "_R[12]" if "seq2" in table.columns else ""
+            apart = F.col("file").rlike(rf"^(\d{{4,}}\.)?unassigned{mate}\.fastq(\.gz)?$")
+            sums = files.agg(*(F.coalesce(F.sum(F.when(c, F.col("records"))), F.lit(0)).alias(k) for k, c in (("unassigned", apart), ("assigned", ~apart)))).first().asDict()
         else:
-            write_fastq(records(table, spec), f"{output}/reads", "target", "stream", compression=compression)
+            told, apart = Observation(), F.col("target") == "unassigned"
+            counts = [F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in (("unassigned", apart), ("assigned", ~apart))]
+            write_fastq(records(table, spec), f"{output}/reads", "target", "stream", compression=compression, told=(told, *counts))
+            sums = {k: told.get.get(k) or 0 for k in ("unassigned", "assigned")}
         if spec.write_failed:
             write_fastq(failed_records(table), f"{output}/failed", "stream", "mate", compression=compression)
-        out = summary(table)
-        row = out.first().asDict()
+        book = kept(accounting.ledger(table, spec.layout), paths[1])
+        seen = kept(accounting.spectrum(table, spec.layout), paths[2]) if spec.report_details else None
+        totals = accounting.totals(book)
+        row = totals.first().asDict()
         one = lambda df, name: df.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{output}/{name}")
-        spark.createDataFrame([row], out.schema).coalesce(1).write.json(f"{output}/summary")
-        one(spark.createDataFrame(list(row.items()), "Metric string, Count long"), "preprocessing")
-        one(metrics.mate_stats(table, raw=True), "fastq_stats")
-        one(metrics.mate_stats(table.where("not rejected and status = 'assigned'")), "retained_fastq_stats")
+        out = spark.createDataFrame([row], totals.schema)
+        out.coalesce(1).write.json(f"{output}/summary")
+        one(accounting.metric_rows(book), "preprocessing")
+        stats = accounting.section_rows(book)
+        one(stats.where("phase = 'before'").drop("phase"), "fastq_stats")
+        one(stats.where("phase = 'after'").drop("phase"), "retained_fastq_stats")
         if spec.layout.symbols:
             raw = {f"{c}{m}": F.col(f"raw_{c}{m}") for c in ("seq", "qual") for m in (1, 2) if f"raw_seq{m}" in table.columns}
             one(metrics.segment_stats(table.withColumns(raw), spec.layout), "barcode_stats")
+        by_sample = accounting.sample_rows(book, accounting.samples_of(spark, [r["Sample"] for r in spec.sheet] or ["trimmed"]), spec.low_fraction)
         if spec.sheet:
-            one(sample_table(table, spec), "sample_metrics")
-        spark.createDataFrame([(html_report(row),)], "page string").coalesce(1).write.text(f"{output}/report_html")
-        if row["processed"] != sum(row.get(c, 0) for c in ("assigned", "unmatched", "unrouted", "orphan_r1", "orphan_r2")):
-            raise RuntimeError("fragment counts do not add up")
-        return spark.createDataFrame([row], out.schema)
+            one(by_sample, "sample_metrics")
+        document = accounting.report(book, seen, spec.report_title)
+        for name, text in (("report_json", json.dumps(document)), ("report_html", html_report(document, spec.report_title))):
+            spark.createDataFrame([(text,)], "page string").coalesce(1).write.text(f"{output}/{name}")
+        if spec.include_unmerged and spec.merge:  # R1 and R2 stand among the merged ones, too
+            sums["assigned"] -= row_copies(row)
+        checks = accounting.reconciled(book, by_sample, spec.write_unassigned, sums)
+        one(checks, "reconciliation")
+        if bad := checks.where("told <> found").collect():
+            raise RuntimeError("; ".join(f"{r['check']}: {r['told']} and {r['found']}" for r in bad))
+        return out
     finally:
-        table.unpersist()
+        for path in paths:
+            scratch.delete(spark, path)
+
+
+def row_copies(row: dict) -> int:
+    """Records that a run with include_unmerged writes once more: both mates of assigned pairs that stay unmerged."""
+    return 2 * (row["assigned"] - row["assigned_rejected"] - row["merged"])
 
 
 def trim(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip", **options) -> DataFrame:
@@ -430,13 +471,5 @@ def trim(reads: DataFrame, spec: Spec, output: str, compression: str = "gzip", *
     return demux(reads, spec, output, compression, **options)
 
 
-def html_report(row: dict, title: str = "Read report") -> str:
-    """A page with the counters; the JSON inside is escaped for HTML."""
-    data = json.dumps(row, indent=1, default=str)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        data, title = data.replace(a, b), title.replace(a, b)
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1><pre>{data}</pre></body></html>"
-
-
 def spark_session(cores: int = 8) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g")).getOrCreate()

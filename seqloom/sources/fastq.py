@@ -244,12 +244,15 @@ def read_fastq(spark: SparkSession, path: str, limit: int = 0, split_bytes: int
     return spark.read.format("fastq").option("index", index).option("limit", limit).option("numbering", numbering).load()
 
 
-def write_fastq(df: DataFrame, path: str, *keys: str, compression: str = "gzip") -> None:
+def write_fastq(df: DataFrame, path: str, *keys: str, compression: str = "gzip", told: tuple | None = None) -> None:
     """One folder for each value of keys (sample and mate, say), records in input order inside.
 
     Rows are dealt by keys and a stretch of read_idx, so a large sample is written by many tasks.
+    told: an Observation and aggregates of keys, observed in the stage that writes, which counts a task once.
     """
     record = df.select(*keys, "read_idx", fastq_record(F.col("id"), F.col("seq"), F.expr("qual")).alias("value"))
     dealt = record.repartitionByRange(*keys, "read_idx").sortWithinPartitions(*keys, "read_idx") if keys else record.repartitionByRange("read_idx").sortWithinPartitions("read_idx")
+    if told:
+        dealt = dealt.observe(*told)
     writer = dealt.select(*keys, F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.option("compression", compression)
     (writer.partitionBy(*keys) if keys else writer).text(path)
