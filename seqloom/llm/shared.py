@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ BROADCAST_BYTES, BROADCAST_SETTING = 64 << 20, "spark.seqloom.broadcastBytes"
 #: A table of keys beyond that bound is sent as a map of at most this many bits first.
 MAP_BITS = 1 << 28
 
-_kept: list[str] = []
+#: Paths that keep() wrote in the innermost block of only_kept, by thread (or task) that opened it.
+_block: ContextVar[list[str] | None] = ContextVar("_block", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and a lost
     executor costs nothing, since every later read starts from files that all of them see."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    _kept.append(path)
+    if (block := _block.get()) is not None:
+        block.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -57,21 +64,25 @@ def _delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def only_kept(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that keep() writes inside the block go at its end, but for those written by the
-    function that the block gets."""
-    began, staying = len(_kept), []
+    function that the block gets; these go with a block around it, if there is one.  Blocks of other threads
+    are apart."""
+    around, own, staying = _block.get(), [], []
+    token = _block.set(own)
 
     def stay(df: DataFrame) -> DataFrame:
-        out = keep(df)
-        staying.append(_kept[-1])
+        out, path = _written(df)
+        staying.append(path)
         return out
 
     try:
         yield stay
     finally:
-        for path in _kept[began:]:
+        _block.reset(token)
+        for path in own:
             if path not in staying:
                 _delete(spark, path)
-        _kept[began:] = staying
+        if around is not None:
+            around.extend(staying)
 
 
 def _bytes(field: T.StructField) -> Column:

@@ -328,12 +328,45 @@ def test_stages_judge_rows_not_ids(spark):
     assert all(f(spark, empty, SF).count() == 0 for _, f in P.STAGES)
 
 
+def test_blocks_of_other_threads_are_apart(spark):
+    import threading
+
+    began, ended, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with shared.only_kept(spark):
+            mine = shared.keep(spark.range(5))
+            began.set()
+            ended.wait(60)
+            seen.append(mine.count())
+
+    worker = threading.Thread(target=other)
+    with shared.only_kept(spark) as stay:
+        worker.start()
+        assert began.wait(60)
+        kept = stay(spark.range(6))
+    ended.set()
+    worker.join(60)
+    assert seen == [5] and kept.count() == 6
+
+
+def test_blocks_within_blocks(spark):
+    with shared.only_kept(spark) as outer:
+        with shared.only_kept(spark) as inner:
+            lost, half = shared.keep(spark.range(2)), inner(spark.range(3))
+        with pytest.raises(Exception):
+            lost.collect()
+        whole = outer(half)
+    assert whole.count() == 3
+    with pytest.raises(Exception):
+        half.collect()
+
+
 def test_tables_are_deleted_and_folders_shared(spark):
-    before = len(shared._kept)
     with shared.only_kept(spark) as stay:
         gone = shared.keep(spark.range(3))
         kept = stay(spark.range(4))
-    assert kept.count() == 4 and len(shared._kept) == before + 1
+    assert kept.count() == 4
     with pytest.raises(Exception):
         gone.collect()
     keys = shared.keep(spark.range(0, 5000, 7).withColumnRenamed("id", "k"))
