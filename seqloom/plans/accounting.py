@@ -210,9 +210,8 @@ def spectrum(table: DataFrame, layout: Layout | None = None) -> DataFrame:
 
 
 def cycle_content(seen: DataFrame) -> DataFrame:
-    """phase, mate, cycle, base, bases, mean_quality of a spectrum."""
-    sums = seen.groupBy("phase", "mate", "cycle", "base").agg(F.sum("bases").alias("bases"), F.sum(F.col("bases") * F.col("quality")).alias("_q"))
-    return sums.select("phase", "mate", "cycle", "base", "bases", F.round(metrics.ratio(F.col("_q"), F.col("bases")), 4).alias("mean_quality"))
+    """phase, mate, cycle, base, bases, quality_sum of a spectrum."""
+    return seen.groupBy("phase", "mate", "cycle", "base").agg(F.sum("bases").alias("bases"), F.sum(F.col("bases") * F.col("quality")).alias("quality_sum"))
 
 
 def quality_histogram(seen: DataFrame) -> DataFrame:
@@ -255,7 +254,7 @@ def report(book: DataFrame, seen: DataFrame | None, title: str) -> dict:
             out[_section(r["phase"], r["mate"])].setdefault("quality_histogram", []).append([r["quality"], r["bases"]])
         for r in cycle_content(seen).orderBy("phase", "mate", "base", "cycle").collect():
             curves = out[_section(r["phase"], r["mate"])].setdefault("cycles", {})
-            curves.setdefault(r["base"], []).append([r["cycle"], r["bases"], r["mean_quality"]])
+            curves.setdefault(r["base"], []).append([r["cycle"], r["bases"], round(r["quality_sum"] / r["bases"], 4)])
     return out
 
 

@@ -716,7 +716,7 @@ def q_report_lengths(spark, sf_dir):
 
 
 @_query(f"""{_SECTIONS}, cycles AS (SELECT phase, mate, s, q, unnest(range(1, length(s) + 1)) AS cycle FROM told)
-SELECT phase, mate, cast(cycle AS integer) AS cycle, substr(s, cycle, 1) AS base, count(*) AS bases, round(avg(ascii(substr(q, cycle, 1)) - 33), 4) AS mean_quality FROM cycles GROUP BY ALL""")
+SELECT phase, mate, cast(cycle AS integer) AS cycle, substr(s, cycle, 1) AS base, count(*) AS bases, cast(sum(ascii(substr(q, cycle, 1)) - 33) AS bigint) AS quality_sum FROM cycles GROUP BY ALL""")
 def q_report_cycles(spark, sf_dir):
     return accounting.cycle_content(accounting.spectrum(_pair_run(spark, sf_dir)))
 
