@@ -57,11 +57,11 @@ def anchors(names1: DataFrame, names2: DataFrame, segment: int = SEGMENT, stretc
     met = places(names1, "a", "b").join(places(names2, "c", "d"), "core").withColumn("_stretch", F.floor(F.col("a") / stretch))
     whole = met.groupBy("_stretch").agg(F.max("b").alias("b"), F.max("d").alias("d"), F.min("c").alias("c"))
     by = Window.orderBy("_stretch")  # a row a stretch
-    up, down = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.orderBy(F.desc("_stretch"))  # frames that end at the last row are taken anew for each row, so what follows is read backwards
+    up, down = by.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
     none, far = F.lit(-1), F.lit(1 << 62)
     outside = whole.select("_stretch", F.coalesce(F.max("b").over(up), none).alias("_b"), F.coalesce(F.max("d").over(up), none).alias("_d"), F.coalesce(F.min("c").over(down), far).alias("_c"))
-    own = Window.partitionBy("_stretch").orderBy("a")
-    before, after = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    before, after = (Window.partitionBy("_stretch").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("a"), F.desc("a")))
     inside = met.join(outside, "_stretch").select(
         "a", "b", "c", "d",
         F.greatest("_b", F.coalesce(F.max("b").over(before), none)).alias("_b"), F.greatest("_d", F.coalesce(F.max("d").over(before), none)).alias("_d"),
@@ -92,15 +92,15 @@ def merged(a: list, b: list, more: bool, window: int = LOOK_AHEAD) -> tuple[list
     pair follows."""
     if more:
         a, b = [*a, None], [*b, None]  # the pair that follows
-    i, j, left, right = 0, 0, [], []
+    i, j, step, left, right = 0, 0, 8, [], []
     one, two = np.array(a, object), np.array(b, object)
     while i < len(a) and j < len(b):
-        size = min(len(a) - i, len(b) - j, 8192)
+        size = min(len(a) - i, len(b) - j, step)
         equal = one[i : i + size] == two[j : j + size]
         run = size if equal.all() else int(equal.argmin())
         left += range(i, i + run)
         right += range(j, j + run)
-        i, j = i + run, j + run
+        i, j, step = i + run, j + run, min(2 * step, 8192) if run == size else 8
         if run:
             continue
         seen1, seen2, t, found = {a[i]: 0}, {b[j]: 0}, 0, None

@@ -103,3 +103,19 @@ def test_window_is_a_bound(spark):
     with pytest.raises(ValueError):
         merged(["a", "b"], ["x"] * 5, False, 3)
     assert merged(["a"], ["a"] + ["x"] * 5, False, 3) == ([0] + [-1] * 5, [0, 1, 2, 3, 4, 5])
+
+
+def test_no_frame_is_taken_anew_for_each_row(spark):
+    """A frame up to the last row costs a pass over the rest of the partition for each row."""
+    n = 4000
+    a = spark.range(n).select(F.col("id").alias("n"), F.concat(F.lit("n"), F.col("id")).alias("core"))
+    cuts = anchors(a, a, segment=100)
+    assert "unboundedfollowing" not in cuts._jdf.queryExecution().toString().lower()
+    assert [r[:] for r in cuts.orderBy("a").collect()] == [(i, i) for i in range(0, n, 100)]
+
+
+def test_runs_of_every_length_merge():
+    one = [f"n{i}" for i in range(20_000) if i % 9_001 != 5 and i not in range(40, 60)]
+    two = [f"n{i}" for i in range(20_000) if i not in (3, 4, 30)]
+    left, right = merged(one, two, False)
+    assert [(one[i] if i >= 0 else None, two[j] if j >= 0 else None) for i, j in zip(left, right)] == [(n if n in set1 else None, n if n in set2 else None) for set1, set2 in [(set(one), set(two))] for n in (f"n{i}" for i in range(20_000)) if n in set1 or n in set2]
