@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +48,30 @@ def _core(masks: tuple[str, ...]) -> str:
     return "".join("1" if set(c) == {"1"} else "0" for c in zip(*masks))
 
 
-def _taken(places: DataFrame, mask: str) -> Column:
-    """A test that passes every place whose words under the mask are in places (a kept table), and few others: a
-    byte for each slot as a literal, so most places of texts go before any join."""
+def masks_for(size: int, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> tuple[str, ...]:
+    """Masks of which one fits every overlap of an item of so many words: those given, if they do, else all that leave
+    out as many of a few blocks of the run as it may have words that differ."""
+    run = min(window, size)
+    differ = run - ceil(run * share)
+
+    def fits(bad: tuple[int, ...]) -> bool:
+        return any(all(m[p - at] == "0" for p in bad if at <= p < at + len(m)) for m in masks for at in range(run - len(m) + 1))
+
+    if all(map(fits, combinations(range(run), differ))):
+        return masks
+    blocks = min(run, differ + 3) if differ else 1
+    return tuple("".join("0" if p * blocks // run in out else "1" for p in range(run)) for out in combinations(range(blocks), differ))
+
+
+def _taken(places: DataFrame, masks: tuple[str, ...]) -> Column:
+    """A test that passes every place whose words under some mask are in places (a kept table), and few others; one
+    test of the words that all masks hash does, where there are any."""
+    core = _core(masks)
+    return reduce(Column.__or__, (_slotted(places, m) for m in ((core,) if "1" in core else masks)))
+
+
+def _slotted(places: DataFrame, mask: str) -> Column:
+    """A test of the words under one mask: a byte for each slot as a literal, so most places of texts go before any join."""
     bits = min(max(SLOT_BITS[0], (8 * places.count()).bit_length()), SLOT_BITS[1])
 
     def slot(hashed: Column) -> Column:
@@ -61,17 +84,17 @@ def _taken(places: DataFrame, mask: str) -> Column:
 
 
 def _seed_hits(items: DataFrame, texts: DataFrame, masks: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(seed, item_id, item, item_at, n_items) of items, and (k1, k2, at, seed) of the texts' places that hold one."""
-    known = keep(_places(items.withColumnRenamed("item_words", "words"), masks, ["item_id", "item"], "item_at"))
-    seeds = keep(_seeds(known, masks, ["item_id", "item", "item_at"]).distinct())
+    """(seed, item, item_at, n_items) of items, and (k1, k2, at, seed) of the texts' places that hold one."""
+    known = keep(_places(items.withColumnRenamed("item_words", "words"), masks, ["item"], "item_at"))
+    seeds = keep(_seeds(known, masks, ["item", "item_at"]).distinct())
     counted = keep(seeds.join(seeds.groupBy("seed").agg(F.count_distinct("item").alias("n_items")), "seed"))
-    places = _places(texts, masks, ["k1", "k2"], "at").where(_taken(known, _core(masks)))
+    places = _places(texts, masks, ["k1", "k2"], "at").where(_taken(known, masks))
     own = small(keep(counted.select("seed").distinct()))
     return counted, _seeds(places, masks, ["k1", "k2", "at"]).join(own, "seed", "left_semi")
 
 
 def _overlaps(hits: DataFrame, texts: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
-    """doc_id, k1, k2, item_id, start, matched, item_words, n_items: the hits (k1, k2, item, start, n_items)
+    """doc_id, k1, k2, item, start, matched, item_words, n_items: the hits (k1, k2, item, start, n_items)
     around which the words of text and item agree."""
     found = among(texts, keep(hits.select("k1", "k2").distinct()), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     pairs = found.join(hits, ["k1", "k2"]).join(small(items), "item")
@@ -86,58 +109,46 @@ def _overlaps(hits: DataFrame, texts: DataFrame, items: DataFrame, window: int,
         lambda p: F.get("equal", p + need - 1) - F.get("equal", p) < run,
     )
     kept = pairs.withColumn("equal", equal).where(dense)
-    return kept.select("doc_id", "k1", "k2", "item_id", "start", F.size("equal").alias("matched"), F.size("item_words").alias("item_words"), "n_items")
+    return kept.select("doc_id", "k1", "k2", "item", "start", F.size("equal").alias("matched"), F.size("item_words").alias("item_words"), "n_items")
 
 
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """What contamination gives, with k1 and k2, the key of the row's doc_id and text."""
     if len({len(m) for m in masks}) != 1:
         raise ValueError("masks must have one length")
-    span = len(masks[0])
     with only_kept(docs.sparkSession) as stay:
         split = benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("item_words")).where("size(item_words) > 0")
-        items = keep(split.groupBy("item_words").agg(F.min("item_id").alias("item_id")).withColumn("item", F.xxhash64("item_words")))
+        members = keep(split.select("item_id", F.xxhash64("item_words").alias("item")).distinct())
+        items = keep(split.select("item_words").distinct().withColumn("item", F.xxhash64("item_words")))
         texts = docs.where("text is not null").select("doc_id", *row_key(), tokens(F.col("text")).alias("words"))
-        short = [r["m"] for r in items.select(F.size("item_words").alias("m")).where(f"m < {span}").distinct().collect()]
-        parts = [_seed_hits(items.where(f"size(item_words) >= {span}"), texts, masks)]
-        for m in short:
-            parts.append(_seed_hits(items.where(f"size(item_words) = {m}"), texts, ("1" * m,)))
+        sizes = [r["m"] for r in items.select(F.least(F.size("item_words"), F.lit(window)).alias("m")).distinct().collect()]  # a row a size
+        kinds: dict[tuple[str, ...], list[int]] = {}
+        for m in sizes:
+            kinds.setdefault(masks_for(m, masks, window, share), []).append(m)
+        parts = [_seed_hits(items.where(F.least(F.size("item_words"), F.lit(window)).isin(own)), texts, k) for k, own in (kinds or {masks: [0]}).items()]
         seeds, hits = (keep(reduce(DataFrame.unionByName, side)) for side in zip(*parts))
         start = (F.col("at") - F.col("item_at")).alias("start")
-        first = F.min(F.struct("item_id", "item", "item_at")).alias("first")
-        hubs = keep(seeds.groupBy("seed").agg(first, F.max("n_items").alias("n_items")).select("seed", "first.item", "first.item_at", "n_items"))
-
-        def met(own: DataFrame, at: DataFrame) -> DataFrame:
-            return keep(own.join(small(at), "seed").groupBy("k1", "k2", "item", start).agg(F.max("n_items").alias("n_items")))
-
-        found = keep(_overlaps(met(hits, hubs), texts, items, window, share))
-        many = keep(seeds.where("n_items > 1").select("seed", "item", "item_at", "n_items"))
-        shared = among(hits, keep(many.select("seed").distinct()), ["seed"])
-        covered = found.select("k1", "k2", F.col("start").alias("_from"), (F.col("start") + F.col("item_words")).alias("_to")).distinct()
-        inside = [shared[k] == covered[k] for k in ("k1", "k2")] + [shared["at"] >= covered["_from"], shared["at"] < covered["_to"]]
-        rest = keep(shared.join(covered, inside, "left_anti"))
-        if rest.head(1):
-            found = found.unionByName(_overlaps(met(rest, many), texts, items, window, share))
+        met = keep(hits.join(small(seeds), "seed").groupBy("k1", "k2", "item", start).agg(F.max("n_items").alias("n_items")))
         best = F.max(F.struct("matched", (-F.col("start")).alias("back"), "doc_id", "item_words")).alias("b")
-        rows = found.groupBy("k1", "k2", "item_id").agg(best, F.max("n_items").alias("n_items"))
-        return stay(rows.select("b.doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.matched", "b.item_words", "n_items", "k1", "k2"))
+        rows = _overlaps(met, texts, items, window, share).groupBy("k1", "k2", "item").agg(best, F.max("n_items").alias("n_items"))
+        told = rows.join(small(members), "item")
+        return stay(told.select("b.doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.matched", "b.item_words", "n_items", "k1", "k2"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, start, matched, item_words, n_items: a row for each document and item that overlap, but for
-    items that share their passage with the first one of it.
+    """doc_id, item_id, start, matched, item_words, n_items: a row for each document and item that overlap.
 
     docs: doc_id, text; benchmark: item_id (a number), text.  Texts are lower-cased words.  Hashes
     of both sides under each mask are joined; around a hit, words are aligned, and the overlap
     counts if some run of `window` aligned words (the whole item, if shorter) has at least
     `share` of them equal.  start and matched are those of the item's alignment with most equal words,
-    start the document's word at which the item would begin; n_items tells how many items have
-    a seed of the alignment, so items that share a passage cost a document one row for it.
+    start the document's word at which the item would begin; n_items tells how many different items have
+    a seed of the alignment.
 
-    A document meets the first item of each of its seeds, which is every item that has a seed of its
-    own in the document.  Seeds that no overlap found so covers meet all their other items.  Items
-    with fewer words than a mask are joined on all of them, so an item of one word is found wherever
-    that word is.
+    A document meets all items of each of its seeds.  Where the masks could miss an overlap of a short
+    item, masks over its whole length take their place (masks_for), so no overlap is left out; items of fewer
+    than five words are joined on all of them, so an item of one word is found wherever that word is.
+    Items of the same words are compared once and all named.
 
     Built-in functions only.  The benchmark's seeds are broadcast while their measured bytes stay
     under a bound and joined by a shuffle beyond it; documents are read once for hits, and only
