@@ -42,7 +42,12 @@ def phred(qual: Column) -> Column:
 
 
 def quality_sum(qual: Column) -> Column:
-    return F.aggregate(phred(qual), F.lit(0), lambda s, q: s + q)
+    """Summed Phred+33 qualities, a bit of them at a time; characters that are none are summed one by one."""
+    usual = [chr(c) for c in range(33, 127)]
+    bits = [(1 << b, "".join(c for c in usual if ord(c) - 33 >> b & 1)) for b in range(7)]
+    counted = sum(((F.length(qual) - F.length(F.translate(qual, those, ""))) * n for n, those in bits), F.lit(0))
+    odd = F.length(F.translate(qual, "".join(usual), "")) > 0
+    return F.when(odd, F.aggregate(phred(qual), F.lit(0), lambda s, q: s + q)).otherwise(counted)
 
 
 def low_quality_count(qual: Column, threshold: int) -> Column:

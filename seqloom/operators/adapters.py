@@ -107,6 +107,10 @@ class Adapter:
         heads = self._heads()
         if not heads:
             return F.lit(False)
+        if "N" not in self.expected:
+            up, size = F.upper(seq), F.length(seq) - s
+            same = F.substring(up, s + 1, size) == F.substring(F.lit(self.expected), 1, size)
+            return F.coalesce((s >= 0) & size.isin([n for n, _ in heads]) & same, F.lit(False))
         most = max(n for n, _ in heads)
         wanted = [sum(1 << (n - 1) % WORD for n, _ in heads if (n - 1) // WORD == w) for w in range(-(-most // WORD))]
         n = F.length(seq) - s - 1
@@ -127,6 +131,10 @@ class Adapter:
         if not heads:
             return none
 
+        if "N" not in self.expected:  # all starts are plain texts
+            up = F.upper(seq)
+            return F.coalesce(*(F.when(F.endswith(up, F.lit(self.expected[:n])), F.struct(F.lit(k).alias("known"), (F.length(seq) - n).alias("start"))) for n, k in heads), none)
+
         def strongest(words: Column) -> Column:
             there = (words[f"w{(n - 1) // WORD}"].bitwiseAND(F.lit(1 << (n - 1) % WORD)) != 0 for n, _ in heads)
             return F.coalesce(*(F.when(t, F.struct(F.lit(k).alias("known"), (F.length(seq) - n).alias("start"))) for t, (n, k) in zip(there, heads)), none)

@@ -25,6 +25,16 @@ def _informative(x: np.ndarray) -> bool:
     return (counts > 0).sum() >= 3 and counts.max() * 4 <= len(x) * 3 and kinds >= 6
 
 
+def _informative_rows(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_informative of x[r, a[r]:b[r]] for each row r, whose bases there are all known."""
+    at = np.arange(x.shape[1])
+    inside = (at >= a[:, None]) & (at < b[:, None])
+    counts = np.stack([((x == c) & inside).sum(axis=1) for c in range(4)])
+    two = np.where(inside[:, 1:] & inside[:, :-1], np.uint16(1) << ((x[:, :-1] & 3) * 4 + (x[:, 1:] & 3)).astype(np.uint16), np.uint16(0))
+    kinds = np.bitwise_count(np.bitwise_or.reduce(two, axis=1))
+    return ((counts > 0).sum(axis=0) >= 3) & (counts.max(axis=0) * 4 <= (b - a) * 3) & (kinds >= 6)
+
+
 def _matrix(reads: list[np.ndarray], right: bool, fill: int) -> np.ndarray:
     """Rows of codes, all to the left or all to the right."""
     out = np.full((len(reads), max(map(len, reads), default=0)), fill, np.uint8)
@@ -35,20 +45,27 @@ def _matrix(reads: list[np.ndarray], right: bool, fill: int) -> np.ndarray:
 
 
 def find_overlaps(r1: list[np.ndarray], r2: list[np.ndarray], least: int, limit: int, percent: float) -> list[tuple[str, int, int, int]]:
-    """(status, insert, length, mismatches) of pairs: base codes of R1 and of R2's reverse complement.
+    """(status, insert, length, mismatches) of pairs: base codes of R1 and of R2's reverse complement."""
+    n, m = (np.array([len(x) for x in reads], np.int64) for reads in (r1, r2))
+    status, *values = _found(_matrix(r1, False, 8), _matrix(r2, True, 9), n, m, least, limit, percent)
+    return list(zip(_STATUS[status].tolist(), *(v.tolist() for v in values)))
+
+
+_STATUS = np.array(["none", "unique", "ambiguous"])
 
-    At an insert length, R2 ends where the insert does, so with R1 to the left and R2 to the right one
-    slice of either matrix holds the overlaps of all pairs.
+
+def _found(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: int, limit: int, percent: float) -> tuple[np.ndarray, ...]:
+    """find_overlaps of matrices, R1 to the left and R2 to the right, and their lengths; status as its place in _STATUS.
+
+    At an insert length, R2 ends where the insert does, so one slice of either matrix holds the overlaps of all pairs.
     """
-    found: list[tuple[str, int, int, int]] = [("none", 0, 0, 0)] * len(r1)
-    n, m = (np.array([len(x) for x in reads], np.int64) for reads in (r1, r2))
+    status, *values = (np.zeros(len(n), np.int32) for _ in range(4))
     able = np.flatnonzero((n >= least) & (m >= least)) if least else np.empty(0, np.int64)
     if not len(able):
-        return found
-    n, m = n[able], m[able]
-    x, y = _matrix([r1[i] for i in able], False, 8), _matrix([r2[i] for i in able], True, 9)
+        return status, *values
+    n, m, x, y = n[able], m[able], x[able], y[able]
     known1, known2 = (np.concatenate([np.zeros((len(able), 1), np.int32), np.cumsum(z < 4, axis=1, dtype=np.int32)], axis=1) for z in (x, y))
-    wide1, wide2, rows = x.shape[1], y.shape[1], np.arange(len(able))
+    wide1, wide2 = x.shape[1], y.shape[1]
     for insert in range(least, wide1 + wide2 - least + 1):
         low, high = max(0, insert - wide2), min(wide1, insert)
         a, b = np.maximum(0, insert - m), np.minimum(n, insert)
@@ -64,13 +81,16 @@ def find_overlaps(r1: list[np.ndarray], r2: list[np.ndarray], least: int, limit:
         near, most = near[whole], most[whole]
         if not len(near):
             continue
-        same = (x[near, low:high] == y[near, low + shift : high + shift]).sum(axis=1)
-        for r, miss in zip(near[size[near] - same <= most], (size[near] - same)[size[near] - same <= most]):
-            i = able[r]
-            if found[i][0] == "ambiguous" or not _informative(x[r, a[r] : b[r]]):
-                continue
-            found[i] = ("ambiguous", 0, 0, 0) if found[i][0] == "unique" else ("unique", insert, int(size[r]), int(miss))
-    return found
+        miss = size[near] - np.count_nonzero(x[near, low:high] == y[near, low + shift : high + shift], axis=1)
+        near, miss = near[miss <= most], miss[miss <= most]
+        good = _informative_rows(x[near], a[near], b[near])
+        near, miss = near[good], miss[good]
+        at = able[near]
+        again = status[at] > 0
+        status[at] = np.where(again, 2, 1)
+        for v, own in zip(values, (insert, size[near], miss)):
+            v[at] = np.where(again, 0, own)
+    return status, *values
 
 
 def find_gap_overlap(r1: np.ndarray, r2: np.ndarray, least: int, limit: int, percent: float, fronts: tuple[int, int] = (0, 0)) -> tuple[int, int] | None:
@@ -103,60 +123,79 @@ def find_gap_overlap(r1: np.ndarray, r2: np.ndarray, least: int, limit: int, per
     return found
 
 
-def correct_pair(s1, q1, s2, q2, insert: int) -> int:
-    """Of two bases that disagree, one of Q30 or more replaces one of Q14 or less; in place, counted."""
-    i = np.arange(max(0, insert - len(s2)), min(len(s1), insert))
-    j = insert - 1 - i
-    x, y = _CODE[s1[i]], _CODE[s2[j]]
+def _correct(s1, q1, s2, q2, n, m, insert) -> np.ndarray:
+    """Of two bases that disagree, one of Q30 or more replaces one of Q14 or less; in place, counted by row.
+
+    Rows of bases and qualities to the left, their lengths, and lengths of inserts."""
+    i = np.arange(s1.shape[1])[None, :]
+    j = insert[:, None] - 1 - i
+    row, i = np.nonzero((i < n[:, None]) & (j >= 0) & (j < m[:, None]))
+    j = j[row, i]
+    x, y, k1, k2 = _CODE[s1[row, i]], _CODE[s2[row, j]], q1[row, i], q2[row, j]
     differ = ~((x < 4) & (y < 4) & (x == 3 - np.minimum(y, 3)))
-    second = differ & (q1[i] >= 63) & (q2[j] <= 47)
-    first = differ & ~second & (q2[j] >= 63) & (q1[i] <= 47)
-    s2[j[second]], q2[j[second]] = _LETTER[np.where(x < 4, 3 - np.minimum(x, 3), 4)][second], q1[i[second]]
-    s1[i[first]], q1[i[first]] = _LETTER[np.where(y < 4, 3 - np.minimum(y, 3), 4)][first], q2[j[first]]
-    return int(first.sum() + second.sum())
-
-
-def merge_pair(s1, q1, s2, q2, insert: int, fronts: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
-    """The insert from both mates: R2's base where its quality is higher, else R1's; bases that front
-    clipping took from one mate come back if the other has them."""
-    n, m = len(s1), len(s2)
-    left = min(fronts[0], max(0, m - insert))
-    n1, m1 = min(n, insert + fronts[1]), min(m, insert + fronts[0])
-    size = left + max(insert, n1)
-    at = np.arange(size)
-    i, j = at - left, insert + left - at - 1
-    in1, in2 = (i >= 0) & (i < n1), (j >= 0) & (j < m1)
-    c2, k2, c1, k1 = (np.zeros(size, np.uint8) for _ in range(4))
+    second = differ & (k1 >= 63) & (k2 <= 47)
+    first = differ & ~second & (k2 >= 63) & (k1 <= 47)
+    s2[row[second], j[second]], q2[row[second], j[second]] = _LETTER[np.where(x < 4, 3 - np.minimum(x, 3), 4)][second], k1[second]
+    s1[row[first], i[first]], q1[row[first], i[first]] = _LETTER[np.where(y < 4, 3 - np.minimum(y, 3), 4)][first], k2[first]
+    return np.bincount(row[first | second], minlength=len(n))
+
+
+def _merge(s1, q1, s2, q2, n, m, insert, fronts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The inserts from both mates and their lengths: R2's base where its quality is higher, else R1's; bases that
+    front clipping took from one mate come back if the other has them."""
+    left = np.minimum(fronts[0], np.maximum(0, m - insert))
+    n1, m1 = np.minimum(n, insert + fronts[1]), np.minimum(m, insert + fronts[0])
+    size = left + np.maximum(insert, n1)
+    at = np.arange(size.max(initial=0))[None, :]
+    i, j = at - left[:, None], (insert + left)[:, None] - at - 1
+    told = at < size[:, None]
+    in1, in2 = told & (i >= 0) & (i < n1[:, None]), told & (j >= 0) & (j < m1[:, None])
+    row = np.arange(len(n))[:, None]
+
+    def taken(of: np.ndarray, where: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        return np.where(inside, of[row, np.clip(where, 0, of.shape[1] - 1)], 0).astype(np.uint8)
+
     back = _CODE[s2]
-    c1[in1], k1[in1] = s1[i[in1]], q1[i[in1]]
-    c2[in2], k2[in2] = _LETTER[np.where(back < 4, 3 - back, 4)][j[in2]], q2[j[in2]]
+    c1, k1, k2 = taken(s1, i, in1), taken(q1, i, in1), taken(q2, j, in2)
+    c2 = taken(_LETTER[np.where(back < 4, 3 - back, 4)], j, in2)
     second = in2 & (~in1 | (k2 > k1))
-    return np.where(second, c2, c1), np.where(second, k2, k1)
+    return np.where(second, c2, c1), np.where(second, k2, k1), size
 
 
 _OVERLAP = [("overlap_status", pa.string()), *((c, pa.int32()) for c in ("insert_length", "overlap_length", "overlap_mismatches", "gap_end1", "gap_end2"))]
 _MERGED = [(c, pa.string()) for c in ("seq1", "qual1", "seq2", "qual2")] + [("corrected", pa.int32())] + [(c, pa.string()) for c in ("merged_id", "merged_seq", "merged_qual")]
 
 
-def _codes(texts: list[str | None]) -> list[np.ndarray]:
-    return [_CODE[np.frombuffer((t or "").encode(), np.uint8)] for t in texts]
-
-
 def _back(y: np.ndarray) -> np.ndarray:
     return np.where(y[::-1] < 4, 3 - y[::-1], 4).astype(np.uint8)
 
 
-def _added(df: DataFrame, fields: list, rows) -> DataFrame:
-    """df with more columns: rows gives their values for a batch; those of the same name are replaced."""
+def _rows(column: pa.Array, fill: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts as rows, all to the left, and their lengths (null: 0)."""
+    text = column.cast(pa.string())
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+    n = np.diff(offsets).astype(np.int64)
+    out = np.full((len(n), n.max(initial=0)), fill, np.uint8)
+    if offsets[-1] > offsets[0]:
+        out[np.arange(out.shape[1])[None, :] < n[:, None]] = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return out, n
+
+
+def _texts(rows: np.ndarray, n: np.ndarray) -> list[str]:
+    """Texts of rows that are to the left."""
+    return [row[:size].tobytes().decode() for row, size in zip(rows, n.tolist())]
+
+
+def _added(df: DataFrame, fields: list, columns) -> DataFrame:
+    """df with more columns: columns gives them for a batch; those of the same name are replaced."""
     kinds = {pa.string(): T.StringType(), pa.int32(): T.IntegerType()}
     new = [n for n, _ in fields]
     schema = T.StructType([f for f in df.schema if f.name not in new] + [T.StructField(n, kinds[k]) for n, k in fields])
 
     def run(batches):
         for batch in batches:
-            out = list(zip(*rows(batch))) or [[]] * len(fields)
             old = [n for n in batch.schema.names if n not in new]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in old), *(pa.array(v, k) for v, (_, k) in zip(out, fields))], names=old + new)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in old), *(v if isinstance(v, pa.Array) else pa.array(v, k) for v, (_, k) in zip(columns(batch), fields))], names=old + new)
 
     return df.mapInArrow(run, schema)
 
@@ -166,16 +205,22 @@ def overlaps(df: DataFrame, seqs: tuple[str, str] = ("seq1", "seq2"), least: int
     overlap_mismatches, gap_end1 and gap_end2.  seqs and fronts name its columns of clipped bases
     and of bases clipped in front; rows whose column `where` isn't true, or that lack a mate, have none."""
 
-    def rows(batch):
-        asked = batch.column(where).to_pylist() if where else [True] * batch.num_rows
-        texts = [[t if ok else None for t, ok in zip(batch.column(c).to_pylist(), asked)] for c in seqs]
-        x, y = _codes(texts[0]), _codes(texts[1])
-        cut = list(zip(*(batch.column(c).to_pylist() for c in fronts))) if fronts else [(0, 0)] * batch.num_rows
-        for a, b, f, found in zip(x, y, cut, find_overlaps(x, [_back(b) for b in y], least, limit, percent)):
-            ends = find_gap_overlap(a, b, least, limit, percent, f) if gap and found[0] == "none" and len(a) and len(b) else None
-            yield (*found, *(ends or (None, None)))
+    def columns(batch):
+        (b1, n), (b2, m) = (_rows(batch.column(c)) for c in seqs)
+        if where:
+            asked = np.array([bool(v) for v in batch.column(where).to_pylist()], bool)
+            n, m = n * asked, m * asked
+        one, two = _CODE[b1], _CODE[b2]
+        at1, at2 = (np.arange(b.shape[1])[None, :] < k[:, None] for b, k in ((b1, n), (b2, m)))
+        x, y = np.where(at1, one, 8), np.where(at2, np.where(two < 4, 3 - two, 4), 9)[:, ::-1]
+        status, *values = _found(x.astype(np.uint8), y.astype(np.uint8), n, m, least, limit, percent)
+        ends = [(None, None)] * len(n)
+        for r in np.flatnonzero((status == 0) & (n > 0) & (m > 0)) if gap else ():
+            front = tuple(batch.column(c)[int(r)].as_py() for c in fronts) if fronts else (0, 0)
+            ends[r] = find_gap_overlap(one[r, : n[r]], two[r, : m[r]], least, limit, percent, front) or (None, None)
+        return [_STATUS[status].tolist(), *values, [e[0] for e in ends], [e[1] for e in ends]]
 
-    return _added(df, _OVERLAP, rows)
+    return _added(df, _OVERLAP, columns)
 
 
 def consensus(df: DataFrame, columns: tuple[str, ...] = ("seq1", "qual1", "seq2", "qual2"), correct: bool = False, merge: bool = False, fronts: tuple[str, str] | None = None) -> DataFrame:
@@ -183,22 +228,31 @@ def consensus(df: DataFrame, columns: tuple[str, ...] = ("seq1", "qual1", "seq2"
     corrected, corrected (how many bases), and merged_id, merged_seq, merged_qual.  Correction comes
     first; pairs without a unique overlap keep their bases."""
 
-    def rows(batch):
-        texts = zip(*(batch.column(c).to_pylist() for c in ("overlap_status", "insert_length", "id1", *columns)))
-        cut = zip(*(batch.column(c).to_pylist() for c in fronts)) if fronts else iter(lambda: (0, 0), None)
-        for (status, insert, name, *own), front in zip(texts, cut):
-            fixed, merged = 0, (None, None, None)
-            if status == "unique":
-                s1, q1, s2, q2 = (np.frombuffer(bytearray(t.encode()), np.uint8) for t in own)
-                fixed = correct_pair(s1, q1, s2, q2, insert) if correct else 0
-                if merge:
-                    seq, qual = merge_pair(s1, q1, s2, q2, insert, front)
+    def made(batch):
+        status = np.array(batch.column("overlap_status").to_pylist(), object)
+        at = np.flatnonzero(status == "unique")
+        own = [batch.column(c) for c in columns]
+        fixed, merged = np.zeros(batch.num_rows, np.int32), [[None] * batch.num_rows for _ in range(3)]
+        if len(at):
+            taken = pa.array(at)
+            (s1, n), (q1, _), (s2, m), (q2, _) = (_rows(c.take(taken)) for c in own)
+            insert = np.array(batch.column("insert_length").take(taken).to_pylist(), np.int64)
+            if correct:
+                fixed[at] = _correct(s1, q1, s2, q2, n, m, insert)
+                new = np.flatnonzero(fixed[at])
+                own = [c.to_pylist() for c in own] if len(new) else own
+                for side, rows, size in zip(own, (s1, q1, s2, q2), (n, n, m, m)) if len(new) else ():
+                    for r, text in zip(at[new].tolist(), _texts(rows[new], size[new])):
+                        side[r] = text
+            if merge:
+                front = [np.array(batch.column(c).take(taken).to_pylist(), np.int64) for c in fronts] if fronts else [np.zeros(len(at), np.int64)] * 2
+                seq, qual, size = _merge(s1, q1, s2, q2, n, m, insert, front)
+                for r, name, s, q in zip(at.tolist(), batch.column("id1").take(taken).to_pylist(), _texts(seq, size), _texts(qual, size)):
                     first, *_ = (name or "").split(None, 1) or [""]
-                    merged = (first.removesuffix("/1") + (name or "")[len(first) :] + " merged", seq.tobytes().decode(), qual.tobytes().decode())
-                own = [a.tobytes().decode() for a in (s1, q1, s2, q2)]
-            yield (*own, fixed, *merged)
+                    merged[0][r], merged[1][r], merged[2][r] = first.removesuffix("/1") + (name or "")[len(first) :] + " merged", s, q
+        return [*own, fixed, *merged]
 
-    return _added(df, _MERGED, rows)
+    return _added(df, _MERGED, made)
 
 
 def pair_features(pairs: DataFrame, least: int = 30, limit: int = 5, percent: float = 20, correct: bool = False, merge: bool = False, gap: bool = False) -> DataFrame:

@@ -152,3 +152,48 @@ def test_single_reads_get_their_samples_signature(spark, tmp_path):
     assert [r.id for r in read_fastq(spark, str(tmp_path / "o/failed/stream=failed/mate=1")).collect()] == ["n0"]
     made = {p.name for p in (tmp_path / "o").iterdir()}
     assert {"reads", "failed", "summary", "preprocessing", "fastq_stats", "retained_fastq_stats", "barcode_stats", "sample_metrics", "report_html"} <= made
+
+
+def test_pairs_come_out_as_one_by_one():
+    """Correction and merging of all rows at once against a base at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from seqloom.operators import overlap as O
+
+    r = np.random.default_rng(5)
+    for front in ((0, 0), (3, 5)):
+        rows, want = [], []
+        for k in range(200):
+            insert, n, m = int(r.integers(30, 70)), int(r.integers(20, 60)), int(r.integers(20, 60))
+            own = [bytearray(r.choice(list(b"ACGTN"), s).tolist()) for s in (n, m)]
+            for i in range(max(0, insert - m), min(n, insert)):  # mostly agreeing
+                if r.random() < 0.8:
+                    own[1][insert - 1 - i] = ord(back(chr(own[0][i])))
+            quals = [bytearray(r.choice(list(b"#/?I"), s).tolist()) for s in (n, m)]
+            rows.append((*map(bytes, (own[0], quals[0], own[1], quals[1])), insert))
+            fixed = 0
+            for i in range(max(0, insert - m), min(n, insert)):
+                j = insert - 1 - i
+                x, y = chr(own[0][i]), back(chr(own[1][j]))
+                if x == y and x in "ACGT":
+                    continue
+                if quals[0][i] >= 63 and quals[1][j] <= 47:
+                    own[1][j], quals[1][j], fixed = ord(back(x)), quals[0][i], fixed + 1
+                elif quals[1][j] >= 63 and quals[0][i] <= 47:
+                    own[0][i], quals[0][i], fixed = ord(y), quals[1][j], fixed + 1
+            left = min(front[0], max(0, m - insert))
+            n1, m1 = min(n, insert + front[1]), min(m, insert + front[0])
+            seq = qual = ""
+            for at in range(left + max(insert, n1)):
+                i, j = at - left, insert + left - at - 1
+                one = (chr(own[0][i]), chr(quals[0][i])) if 0 <= i < n1 else None
+                two = (back(chr(own[1][j])), chr(quals[1][j])) if 0 <= j < m1 else None
+                c, q = two if two and (not one or two[1] > one[1]) else one or ("\0", "\0")
+                seq, qual = seq + c, qual + q
+            want.append((fixed, seq, qual))
+        (s1, n), (q1, _), (s2, m), (q2, _) = (O._rows(pa.array([x[i].decode() for x in rows])) for i in range(4))
+        insert = np.array([x[4] for x in rows])
+        fixed = O._correct(s1, q1, s2, q2, n, m, insert)
+        seq, qual, size = O._merge(s1, q1, s2, q2, n, m, insert, [np.full(len(n), f) for f in front])
+        assert list(zip(fixed.tolist(), O._texts(seq, size), O._texts(qual, size))) == want and sum(fixed) > 100
