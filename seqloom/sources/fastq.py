@@ -109,6 +109,27 @@ class _Part(InputPartition):
         self.index, self.path, self.start, self.end, self.first = index, path, start, end, first
 
 
+class _Run(InputPartition):
+    """Files and ranges that one task reads one after the other."""
+
+    def __init__(self, parts: list[_Part]):
+        self.parts = parts
+
+
+#: Tasks for each core, at most, that read ranges: a range may be small, and each task costs its start.
+TASKS_PER_CORE = 8
+
+
+def _runs(parts: list[_Part], options: dict) -> list[_Run]:
+    """Neighbouring parts as tasks, as many as the option `tasks` says at most (0: one a part)."""
+    size = -(-len(parts) // (int(options.get("tasks", 0)) or max(1, len(parts))))
+    return [_Run(parts[i : i + size]) for i in range(0, len(parts), size)] or [_Run([])]
+
+
+def tasks(spark: SparkSession) -> int:
+    return TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
 def _ranges(path: str, size: int) -> list[_Part]:
     """Files, and ranges of `size` bytes of plain ones that are larger."""
     out = []
@@ -151,8 +172,12 @@ class _Reader(DataSourceReader):
     def partitions(self):
         if "index" in self.options:
             parts = [_Part(*x) for x in json.loads(self.options["index"])]
-            return [p for p in parts if not self.limit or p.first < self.limit] or [_Part(0, "")]
-        return _ranges(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)) if self.options.get("mode") == "index" else 1 << 62)
+            return _runs([p for p in parts if not self.limit or p.first < self.limit], self.options)
+        return _runs(_ranges(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)) if self.options.get("mode") == "index" else 1 << 62), self.options)
+
+    def __getstate__(self):
+        """What goes to every task; the index of all ranges does not."""
+        return self.__dict__ | {"options": {k: v for k, v in self.options.items() if k != "index"}}
 
     def _records(self, part):
         if part.end is None:
@@ -169,9 +194,11 @@ class _Reader(DataSourceReader):
                     if f.tell() >= part.end:
                         return
 
-    def read(self, partition):
-        if not partition.path:
-            return
+    def read(self, run):
+        for part in run.parts:
+            yield from self._part(part)
+
+    def _part(self, partition):
         if self.options.get("mode") == "index":
             yield pa.RecordBatch.from_pylist([{"file_idx": partition.index, "path": partition.path, "start": partition.start, "stop": partition.end, "records": count_records(partition)}], pa.schema(_INDEX))
             return
@@ -217,7 +244,7 @@ def record_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
     """file_idx, path, start, stop (null: a whole file), records: how many records begin in each range, counted by
     one task a range; a compressed file is one range."""
     spark.dataSource.register(FastqDataSource)
-    return spark.read.format("fastq").option("mode", "index").option("splitBytes", split_bytes).load(path)
+    return spark.read.format("fastq").option("mode", "index").option("splitBytes", split_bytes).option("tasks", tasks(spark)).load(path)
 
 
 def read_fastq(spark: SparkSession, path: str, limit: int = 0, split_bytes: int = SPLIT_BYTES, numbering: str = "file") -> DataFrame:
@@ -241,7 +268,7 @@ def read_fastq(spark: SparkSession, path: str, limit: int = 0, split_bytes: int
             parts.append(_Part(r["file_idx"], r["path"], r["start"], r["stop"], before.get(key, 0)))
             before[key] = before.get(key, 0) + r["records"]
     index = json.dumps([[p.index, p.path, p.start, p.end, p.first] for p in parts])
-    return spark.read.format("fastq").option("index", index).option("limit", limit).option("numbering", numbering).load()
+    return spark.read.format("fastq").option("index", index).option("tasks", tasks(spark)).option("limit", limit).option("numbering", numbering).load()
 
 
 def write_fastq(df: DataFrame, path: str, *keys: str, compression: str = "gzip", told: tuple | None = None) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from seqloom.sources import sam
-from seqloom.sources.fastq import SPLIT_BYTES, _at, _Part, _ranges, open_reads
+from seqloom.sources.fastq import SPLIT_BYTES, _at, _Part, _ranges, _runs, open_reads, tasks
 from seqloom.sources.files import write_lines
 
 #: The columns of a record, in order.
@@ -70,20 +70,27 @@ def _lines(part: _Part) -> Iterator[bytes]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.options = options
+        self.options, self.counts = options, "index" not in options
 
     def partitions(self):
-        if "index" in self.options:
-            return [_Part(*x) for x in json.loads(self.options["index"])] or [_Part(0, "")]
-        return _ranges(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
+        parts = _ranges(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES))) if self.counts else [_Part(*x) for x in json.loads(self.options["index"])]
+        return _runs(parts, self.options)
 
-    def read(self, part):
-        if "index" not in self.options:
+    def __getstate__(self):
+        """What goes to every task; the index of all ranges does not."""
+        return self.__dict__ | {"options": {k: v for k, v in self.options.items() if k != "index"}}
+
+    def read(self, run):
+        for part in run.parts:
+            yield from self._part(part)
+
+    def _part(self, part):
+        if self.counts:
             n = sum(1 for _ in _lines(part))
             yield pa.RecordBatch.from_pylist([{"read_idx": n, "value": json.dumps([part.index, part.path, part.start, part.end])}], pa.schema([("read_idx", pa.int64()), ("value", pa.string())]))
             return
         rows = []
-        for n, line in enumerate(_lines(part) if part.path else (), part.first):
+        for n, line in enumerate(_lines(part), part.first):
             rows.append((n, line.rstrip(b"\r\n").decode()))
             if len(rows) == 8192:
                 yield self._batch(rows)
@@ -119,12 +126,12 @@ def read_sam(spark: SparkSession, path: str, paired: bool, split_bytes: int = SP
     spark.dataSource.register(SamLines)
     for name in sorted({p.path for p in _ranges(path, 1 << 62)}):
         check_header(read_header(name), paired)
-    counted = spark.read.format("sam_lines").option("splitBytes", split_bytes).load(path).collect()  # a row a range
+    counted = spark.read.format("sam_lines").option("splitBytes", split_bytes).option("tasks", tasks(spark)).load(path).collect()  # a row a range
     index, before = [], 0
     for place, n in sorted((json.loads(r["value"]), r["read_idx"]) for r in counted):
         index.append([*place, before])
         before += n
-    lines = spark.read.format("sam_lines").option("index", json.dumps(index)).load()
+    lines = spark.read.format("sam_lines").option("index", json.dumps(index)).option("tasks", tasks(spark)).load()
     f = F.split("value", "\t")
     split = lines.select("read_idx", "value", f.alias("f"))
 

@@ -181,3 +181,12 @@ def test_record_errors(spark):
     for tags in ({"OQ": ("i", "1")}, {"OQ": ("Z", "III")}):
         with pytest.raises(Exception, match="tag"):
             sam.trimmed(df(row(0, 4, tags)).withColumns({"b_start": F.lit(1), "b_end": F.lit(4)})).collect()
+
+
+def test_tasks_do_not_grow_with_ranges(spark, tmp_path):
+    """Ranges are as small as asked for, but a task reads several, and none gets the index of all."""
+    (tmp_path / "a.fq").write_bytes(fastq(3000))
+    reads = read_fastq(spark, str(tmp_path / "a.fq"), split_bytes=60)
+    assert record_index(spark, str(tmp_path / "a.fq"), 60).count() > 1000
+    assert reads.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    assert [(r.read_idx, r.id) for r in reads.orderBy("read_idx").collect()] == [(i, f"r{i}/1 x") for i in range(3000)]
