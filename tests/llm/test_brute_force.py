@@ -401,3 +401,16 @@ def test_contamination_leaves_no_pair_out(spark):
     got = decontaminate.contamination(spark.createDataFrame(rows, PLAIN), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = {(i, k) for i, t in rows for k, item in items if overlaps_somewhere(t.lower().split(), item.lower().split())}
     assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want) and {(3, i) for i in (*range(8), 200)} <= want
+
+
+def test_passages_behind_the_hubs(spark):
+    """Documents whose windows stand in a line that many others have, too, before those that share their passage."""
+    line = prose(600, 38)
+    rows = [(i, f"{prose(610 + i, 60)} {line} {prose(640 + i, 60)}") for i in range(12)]
+    for i in range(30):
+        passage = f"{prose(700 + i, 12)} {line} {prose(740 + i, 12)}"
+        rows += [(100 + 2 * i + k, f"{prose(800 + 2 * i + k, 30)} {passage} {prose(900 + 2 * i + k, 30)}") for k in (0, 1)]
+    docs = spark.createDataFrame(rows, PLAIN)
+    some, every = ({tuple(sorted((x.doc_id, x.other_id))) for x in passages.repeated_passages(docs, hashes=2, hubs=1, rest=rest).collect()} for rest in (False, True))
+    want = {(100 + 2 * i, 101 + 2 * i) for i in range(30)}
+    assert some < every and want == every
