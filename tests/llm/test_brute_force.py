@@ -414,3 +414,14 @@ def test_passages_behind_the_hubs(spark):
     some, every = ({tuple(sorted((x.doc_id, x.other_id))) for x in passages.repeated_passages(docs, hashes=2, hubs=1, rest=rest).collect()} for rest in (False, True))
     want = {(100 + 2 * i, 101 + 2 * i) for i in range(30)}
     assert some < every and want == every
+
+
+def test_windows_of_one_document_are_not_written(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 1 << 40, 400))) for i in range(40)]
+    rows.append((40, rows[3][1][:900] + " and an end of its own"))
+    written = []
+    monkeypatch.setattr(passages, "keep", lambda df, keep=passages.keep: (out := keep(df), written.append(out.count() if "key" in out.columns else 0))[0])
+    got = passages.repeated_passages(spark.createDataFrame(rows, PLAIN)).collect()
+    assert {(x.doc_id, x.other_id) for x in got} == {(40, 3)}
+    assert 0 < max(written) < 400  # thousands of windows, of which those of one passage meet
