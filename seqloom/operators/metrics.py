@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +119,45 @@ def windows(df: DataFrame, widths: tuple[int, ...] = (10,), every: int = 1, seq:
     return df.where(F.col("read_idx") % every == 0).select(F.explode(F.concat(*parts)).alias("sequence")).where("sequence rlike '^[ACGT]+$'")
 
 
+#: Different windows of one task, at most, where windows are counted.
+WINDOWS_IN_TASK, _TALLIED = 1_000_000, 1 << 18
+
+
+def _different(df: DataFrame, widths: tuple[int, ...], every: int, seq: str, whole: bool) -> int:
+    """A bound of how many different windows there are, from lengths alone: of a width, as many as windows or words of ACGT."""
+    n = F.length(seq).cast("long")
+    each = [F.sum(F.greatest(n - w + 1, F.lit(0))) for w in widths]
+    told = df.where(F.col("read_idx") % every == 0).agg(F.count(seq).alias("reads"), *(F.coalesce(x, F.lit(0)).alias(f"w{i}") for i, x in enumerate(each))).first()
+    return sum(min(told[f"w{i}"], 4**w) for i, w in enumerate(widths)) + whole * told["reads"]
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sequence, n of some batches at a time, so a window that most reads have isn't sent once a read."""
+    held, rows = [], 0
+
+    def told() -> pa.RecordBatch:
+        seen = pa.chunked_array(held, pa.string()).value_counts()
+        return pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], names=["sequence", "n"])
+
+    for batch in batches:
+        held.append(batch.column(0))
+        rows += len(batch)
+        if rows >= _TALLIED:
+            yield told()
+            held, rows = [], 0
+    if rows:
+        yield told()
+
+
+def _counts(pieces: DataFrame, different: int) -> DataFrame:
+    """sequence, n of all windows.  Where the session's partitions would get more different ones than a task should hold, they
+    are dealt to as many tasks as it takes."""
+    tasks = -(-different // WINDOWS_IN_TASK)
+    if tasks <= int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return pieces.groupBy("sequence").agg(F.count("*").alias("n"))
+    return pieces.mapInArrow(_tallied, "sequence string, n long").repartition(tasks, "sequence").groupBy("sequence").agg(F.sum("n").alias("n"))
+
+
 def overrepresented(df: DataFrame, widths: tuple[int, ...] = (10,), every: int = 1, top: int = 100, seq: str = "seq", whole: bool = False, counters: int = 0) -> DataFrame:
     """sequence, n: the most frequent of windows, twice at least; ties by sequence.  counters: in bounded memory
     instead, n being a lower bound, with the upper one as upper."""
@@ -123,7 +165,7 @@ def overrepresented(df: DataFrame, widths: tuple[int, ...] = (10,), every: int =
     if counters:
         counted = heavy_hitters(pieces, "sequence", counters).select(F.col("item").alias("sequence"), F.col("lower").alias("n"), "upper").where("n >= 2")
     else:
-        counted = pieces.groupBy("sequence").agg(F.count("*").alias("n")).where("n >= 2")
+        counted = _counts(pieces, _different(df, widths, every, seq, whole)).where("n >= 2")
     return counted.orderBy(F.desc("n"), "sequence").limit(top)
 
 

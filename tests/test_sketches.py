@@ -1,5 +1,6 @@
 """Summaries in bounded memory against exact counts."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -57,3 +58,23 @@ def test_distinct_estimates(spark, distinct, bits):
     one = sketches.distinct_estimate(df, "s", bits).first()
     assert one.rows == 3 * distinct and abs(one.distinct - distinct) <= 5 * one.standard_error + 1
     assert one.standard_error <= 0.02 * distinct + 1
+
+
+def test_windows_are_dealt_by_their_number(spark):
+    """With one shuffle partition, 1,368,000 windows go to two tasks, and counts are those of a plain Counter."""
+    r = np.random.default_rng(2)
+    reads = ["".join(x) for x in r.choice(list("ACGT"), (12_000, 60))]
+    reads = [x[:30] + "ACGGTTCAGA" * 3 if i % 3 == 0 else x[:59] + "n" if i % 7 == 0 else x for i, x in enumerate(reads)]
+    df = spark.createDataFrame(list(enumerate([*reads, None, "", "acgt"])), "read_idx long, seq string").repartition(4)
+    widths = (10, 20, 40)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = metrics.overrepresented(df, widths, top=500, whole=True)
+        got = [(x.sequence, x.n) for x in out.collect()]
+        dealt = {int(n) for n in re.findall(r"hashpartitioning\(sequence#\d+, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    want = Counter(x[i : i + w].upper() for x in reads for w in widths for i in range(len(x) - w + 1)) + Counter(x.upper() for x in [*reads, "acgt"])
+    want = sorted(((k, n) for k, n in want.items() if n > 1 and "N" not in k), key=lambda x: (-x[1], x[0]))[:500]
+    assert got == want and dealt == {2}
