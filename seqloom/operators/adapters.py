@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -62,7 +63,9 @@ class Adapter:
         at, word = self.anchor
         known = [(i, c) for i, c in enumerate(self.expected) if c in _ORDER and not at <= i < at + len(word)]
 
-        differ = sum((F.when(F.substring(up, s + i + 1, F.lit(1)) == c, 0).otherwise(1) for i, c in known), F.lit(0))
+        # one short lambda, not a term for each base: a stage whose code is too long is never compiled to machine code
+        bases = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in known)) if known else F.array().cast("array<struct<i:int,c:string>>")
+        differ = F.size(F.filter(bases, lambda x: F.substring(up, s + x["i"] + 1, F.lit(1)) != x["c"]))
         strange = F.translate(_known_of(up, s, self.expected), _ORDER, "") != ""
         return (F.substring(up, s + at + 1, F.lit(len(word))) == word) & ~strange & (differ <= self.mismatches)
 
@@ -84,6 +87,14 @@ class Adapter:
         heads = [(n, sum(c in _ORDER for c in self.expected[:n])) for n in range(1, len(self.expected))]
         return [(n, k) for n, k in heads if k >= self.min_partial and informative(self.expected[:n])]
 
+    def _end_pattern(self) -> str:
+        """The longest start that a read ends with, as the first match: A(?:\\z|C(?:\\z|G\\z)) for A, AC and ACG."""
+        ends, pattern = {n for n, _ in self._heads()}, ""
+        for n in range(max(ends), 0, -1):
+            rest = [r"\z"] * (n in ends) + [pattern] * bool(pattern)
+            pattern = re.escape(self.expected[n - 1]) + (rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})")
+        return pattern
+
     def _ends(self, up: Column) -> Column:
         """Shift-And over a read's last bases: words of bits, of which bit n - 1 tells whether the last n bases
         equal the adapter's first n (N fits all)."""
@@ -133,6 +144,10 @@ class Adapter:
 
         if "N" not in self.expected:  # all starts are plain texts
             up = F.upper(seq)
+            if set(self.expected) <= set(_ORDER):  # and the longest one has the most known bases
+                n = F.length(F.regexp_extract(up, self._end_pattern(), 0))
+                held = F.contains(up, F.lit(self.expected[: heads[-1][0]]))  # all hold the shortest one
+                return F.when(held & (n > 0), F.struct(n.alias("known"), (F.length(seq) - n).alias("start")))
             return F.coalesce(*(F.when(F.endswith(up, F.lit(self.expected[:n])), F.struct(F.lit(k).alias("known"), (F.length(seq) - n).alias("start"))) for n, k in heads), none)
 
         def strongest(words: Column) -> Column:

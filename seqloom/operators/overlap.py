@@ -1,7 +1,7 @@
 """Mate overlap, its use for correction and merging, and the one-gap fallback.
 
 Built-in expressions cannot compare a pair at every offset well; one Arrow stage does it for a batch of
-pairs at a time, a matrix operation for each insert length, and lets all other columns pass.
+pairs at a time, a matrix operation for each insert length, and is sent the bases alone.
 """
 
 from __future__ import annotations
@@ -66,23 +66,22 @@ def _found(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: in
     n, m, x, y = n[able], m[able], x[able], y[able]
     known1, known2 = (np.concatenate([np.zeros((len(able), 1), np.int32), np.cumsum(z < 4, axis=1, dtype=np.int32)], axis=1) for z in (x, y))
     wide1, wide2 = x.shape[1], y.shape[1]
+    by1, by2 = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)  # bases of a place side by side: sums run over whole rows
+    count = np.min_scalar_type(max(wide1, wide2))
     for insert in range(least, wide1 + wide2 - least + 1):
         low, high = max(0, insert - wide2), min(wide1, insert)
         a, b = np.maximum(0, insert - m), np.minimum(n, insert)
         size = b - a
         shift = wide2 - insert
-        near = np.flatnonzero((size >= least) & (insert <= n + m - least))
+        most = np.minimum(limit, (size * percent / 100).astype(np.int64))
+        miss = size - np.add.reduce((by1[low:high] == by2[low + shift : high + shift]).view(np.uint8), axis=0, dtype=count)
+        near = np.flatnonzero((miss <= most) & (size >= least) & (insert <= n + m - least))
         if not len(near):
             continue
-        most = np.minimum(limit, (size[near] * percent / 100).astype(np.int64))
         c1 = known1[near, b[near]] - known1[near, a[near]]
         c2 = known2[near, b[near] + shift] - known2[near, a[near] + shift]
-        whole = (c1 == size[near]) & (c2 == size[near])
-        near, most = near[whole], most[whole]
-        if not len(near):
-            continue
-        miss = size[near] - np.count_nonzero(x[near, low:high] == y[near, low + shift : high + shift], axis=1)
-        near, miss = near[miss <= most], miss[miss <= most]
+        near = near[(c1 == size[near]) & (c2 == size[near])]
+        miss = miss[near]
         good = _informative_rows(x[near], a[near], b[near])
         near, miss = near[good], miss[good]
         at = able[near]
@@ -203,24 +202,29 @@ def _added(df: DataFrame, fields: list, columns) -> DataFrame:
 def overlaps(df: DataFrame, seqs: tuple[str, str] = ("seq1", "seq2"), least: int = 30, limit: int = 5, percent: float = 20, gap: bool = False, fronts: tuple[str, str] | None = None, where: str | None = None) -> DataFrame:
     """df with overlap_status (unique, ambiguous or none), insert_length, overlap_length,
     overlap_mismatches, gap_end1 and gap_end2.  seqs and fronts name its columns of clipped bases
-    and of bases clipped in front; rows whose column `where` isn't true, or that lack a mate, have none."""
+    and of bases clipped in front; rows whose column `where` isn't true, or that lack a mate, have none.
 
-    def columns(batch):
-        (b1, n), (b2, m) = (_rows(batch.column(c)) for c in seqs)
-        if where:
-            asked = np.array([bool(v) for v in batch.column(where).to_pylist()], bool)
-            n, m = n * asked, m * asked
+    Only these columns go to Python, so that others are not made where nothing asks for them."""
+    names = [name for name, _ in _OVERLAP]
+
+    def found(*columns: pa.Array) -> pa.Array:
+        (b1, n), (b2, m) = map(_rows, columns[:2])
         one, two = _CODE[b1], _CODE[b2]
         at1, at2 = (np.arange(b.shape[1])[None, :] < k[:, None] for b, k in ((b1, n), (b2, m)))
         x, y = np.where(at1, one, 8), np.where(at2, np.where(two < 4, 3 - two, 4), 9)[:, ::-1]
         status, *values = _found(x.astype(np.uint8), y.astype(np.uint8), n, m, least, limit, percent)
         ends = [(None, None)] * len(n)
         for r in np.flatnonzero((status == 0) & (n > 0) & (m > 0)) if gap else ():
-            front = tuple(batch.column(c)[int(r)].as_py() for c in fronts) if fronts else (0, 0)
+            front = tuple(c[int(r)].as_py() for c in columns[2:]) or (0, 0)
             ends[r] = find_gap_overlap(one[r, : n[r]], two[r, : m[r]], least, limit, percent, front) or (None, None)
-        return [_STATUS[status].tolist(), *values, [e[0] for e in ends], [e[1] for e in ends]]
-
-    return _added(df, _OVERLAP, columns)
+        told = [pa.array(_STATUS.tolist()).take(pa.array(status)), *values, [e[0] for e in ends], [e[1] for e in ends]]
+        return pa.StructArray.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, (_, k) in zip(told, _OVERLAP)], names)
+
+    # not deterministic: else a filter on what it finds would call it once more
+    udf = F.arrow_udf(found, ", ".join(f"{n}: {'string' if k == pa.string() else 'int'}" for n, k in _OVERLAP)).asNondeterministic()
+    bases = [F.when(F.col(where), F.col(c)) if where else F.col(c) for c in seqs]
+    old = [c for c in df.columns if c not in names]
+    return df.select(*old, udf(*bases, *(F.col(c) for c in (fronts or ()) if gap)).alias("_overlap")).select(*old, "_overlap.*")
 
 
 def consensus(df: DataFrame, columns: tuple[str, ...] = ("seq1", "qual1", "seq2", "qual2"), correct: bool = False, merge: bool = False, fronts: tuple[str, str] | None = None) -> DataFrame:

@@ -175,8 +175,9 @@ def fragments(reads: DataFrame, spec: Spec) -> DataFrame:
         df = _pair_bounds(df, spec, own)
     for m in mates:
         df = _finish(df, m, spec)
-        df = df.withColumns({f"kept_{c}{m}": dna.cut(F.col(f"{c}{m}"), F.col(f"_s{m}"), F.col(f"_e{m}")) for c in ("seq", "qual")})
+        df = df.withColumn(f"kept_seq{m}", dna.cut(F.col(f"seq{m}"), F.col(f"_s{m}"), F.col(f"_e{m}")))
     df = _settled(df, [c for c in df.columns if not c.startswith(("kept_", "_s", "_e", "poly_x", "max_length", "adapter", "dimer", "pair_overlap"))])
+    df = df.withColumns({f"kept_qual{m}": dna.cut(F.col(f"qual{m}"), F.col(f"_s{m}"), F.col(f"_e{m}")) for m in mates})  # not settled: made only where asked for
     df = df.withColumns({f"raw_{c}{m}": F.col(f"{c}{m}") for c in ("seq", "qual") for m in mates}).withColumns({f"{c}{m}": F.col(f"kept_{c}{m}") for c in ("seq", "qual") for m in mates})
     if paired and (spec.correction or spec.merge):
         df = overlaps(df.drop("overlap_status", "insert_length", "overlap_length", "overlap_mismatches", "gap_end1", "gap_end2") if confirm else df, where="_able", **_limits(spec))

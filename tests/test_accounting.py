@@ -10,7 +10,7 @@ import pytest
 
 from seqloom.operators.adapters import Adapter
 from seqloom.operators.filters import FilterOptions
-from seqloom.plans import accounting
+from seqloom.plans import accounting, catalog
 from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, demux, failed_records, fragments, trim
 from seqloom.sources.fastq import read_fastq
@@ -93,6 +93,23 @@ def test_reads_without_bases_have_length_zero(spark):
     assert (row.reads, row.min_length, row.max_length) == (3, 0, 2)
 
 
+def test_lengths_are_those_of_a_spectrum(spark):
+    df, _ = made_pairs(spark)
+    for spec in (SPEC, Spec(trim_front=(50, 0), max_len=(0, 7)), Spec(layout=Layout.parse("R1_4A2T"), barcodes=(("A", "A1", "ACGT"),), sheet=({"Sample": "s", "A": "A1"},))):
+        table = fragments(df, spec).cache()
+        stats = accounting.section_rows(accounting.ledger(table, spec.layout))
+        want = accounting.length_histogram(accounting.spectrum(table, spec.layout), stats)
+        got = accounting.lengths(table, spec.layout)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(got.collect()) == sorted(want.collect()) != []
+
+
+def test_lengths_make_no_qualities_and_no_row_a_base(spark):
+    """What is made of every base is most of the work, and lengths ask for none of it."""
+    plan = catalog.queries()["report_lengths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(q" not in plan and "posexplode" not in plan and "parquet" in plan
+
+
 def test_empty_input_has_whole_reports(spark, tmp_path):
     df, _ = made_pairs(spark)
     row = demux(df.where("read_idx < 0"), Spec(report_details=True, write_unassigned=True), str(tmp_path / "o")).first()

@@ -135,3 +135,16 @@ def test_filter_kinds_go_off():
     o = FilterOptions.defaults_profile(length_limit=90, min_average_quality=20.0)
     assert o.without("quality").max_low_quality_percent is None and o.without("quality").min_average_quality is None and o.without("quality").max_n == 5
     assert (o.without("length").min_length, o.without("length").length_limit, o.without("n").max_n) == (0, None, None)
+
+
+def test_the_longest_end_is_found_behind_others(spark):
+    """The adapter's start may stand in a read before the place from which the read's end equals it."""
+    a = Adapter("AGATCGGAAGAGCACACGTC", min_partial=10)
+    e = a.expected
+    reads = ["TT" + e[:10], "TT" + e[:19], "TT" + e, e[:10] + "CC" + e[:12], e[:12] + e[:11], e[:10] + "T", e[:9], ("gg" + e[:13]).lower(), "", None, e[:10] + "\n", e[:10] + "N"]
+    want = [(10, 2), (19, 2), None, (12, 12), (11, 12), None, None, (13, 2), None, None, None, None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(reads)], "i int, r string").select("i", a.evidence(F.col("r")).alias("x")).orderBy("i").collect()
+    assert [x.x and (x.x.known, x.x.start) for x in got] == want
+    odd = Adapter("AGATCGGAAGRGCACACGTC", min_partial=10)  # R is not a known base: of two ends with as many, the later
+    got = spark.createDataFrame([("TT" + odd.expected[:11],), ("TT" + odd.expected[:12],)], "r string").select(odd.evidence(F.col("r")).alias("x")).collect()
+    assert [(x.x.known, x.x.start) for x in got] == [(10, 2), (11, 2)]

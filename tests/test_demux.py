@@ -6,6 +6,7 @@ import pytest
 
 from seqloom.operators.adapters import Adapter
 from seqloom.operators.filters import FilterOptions
+from seqloom.operators.overlap import overlaps
 from seqloom.plans.layout import Layout
 from seqloom.plans.pipeline import Spec, demux, fragments, records, trim
 from seqloom.sources.fastq import read_fastq
@@ -126,6 +127,22 @@ def test_overlaps_equal_a_plain_search(spark):
     assert got == want and {w[0] for w in want} == {"unique", "ambiguous", "none"}
 
 
+def test_overlaps_of_long_mates_and_lacking_ones(spark):
+    """Sums beyond 255 matches, mates of different lengths in a batch, nulls, and rows that aren't asked."""
+    insert = dna_of(21, 400)
+    rows = [(0, insert[:300], back(insert)[:300], True), (1, insert[:300], back(insert)[:300], False), (2, insert[:300], back(insert)[:300], None), (3, None, back(insert)[:40], True), (4, "", "", True), (5, insert[:300], back(insert[:290]), True), (6, insert[:40], back(insert[5:45]), True)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, asked boolean").coalesce(1)
+    got = overlaps(df, seqs=("a", "b"), where="asked").where("overlap_status <> 'ambiguous'").orderBy("i").collect()
+    assert [(x.i, x.overlap_status, x.insert_length, x.overlap_length, x.overlap_mismatches) for x in got] == [(0, "unique", 400, 200, 0), *((i, "none", 0, 0, 0) for i in (1, 2, 3, 4)), (5, "unique", 290, 290, 0), (6, "unique", 45, 35, 0)]
+    assert all(x.gap_end1 is None and x.asked == r[3] for x, r in zip(got, rows))
+
+
+def test_only_bases_go_to_python_for_overlaps(spark):
+    df = spark.createDataFrame([(0, "ACGT", "ACGT", "name")], "i int, seq1 string, seq2 string, id1 string").selectExpr("*", "concat('made-', id1) as other")
+    plan = overlaps(df).where("overlap_status = 'none'").select("i", "insert_length")._jdf.queryExecution().executedPlan().toString()
+    assert "made-" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_gap_overlap_knows_fronts(spark):
     insert = dna_of(11, 60)
     other = back(insert[:30] + insert[31:])
