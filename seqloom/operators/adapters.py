@@ -17,6 +17,8 @@ from seqloom.plans.layout import Layout, Structure
 _ORDER = "ACGT"
 #: Bits of one word of a Shift-And state.
 WORD = 62
+#: Starts of an adapter that one pattern may hold, each nested in the one before.
+NESTED = 256
 
 
 def informative(text: str) -> bool:
@@ -144,7 +146,7 @@ class Adapter:
 
         if "N" not in self.expected:  # all starts are plain texts
             up = F.upper(seq)
-            if set(self.expected) <= set(_ORDER):  # and the longest one has the most known bases
+            if set(self.expected) <= set(_ORDER) and len(heads) <= NESTED:  # and the longest one has the most known bases
                 n = F.length(F.regexp_extract(up, self._end_pattern(), 0))
                 held = F.contains(up, F.lit(self.expected[: heads[-1][0]]))  # all hold the shortest one
                 return F.when(held & (n > 0), F.struct(n.alias("known"), (F.length(seq) - n).alias("start")))

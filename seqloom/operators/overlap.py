@@ -73,15 +73,22 @@ def _found(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: in
         a, b = np.maximum(0, insert - m), np.minimum(n, insert)
         size = b - a
         shift = wide2 - insert
-        most = np.minimum(limit, (size * percent / 100).astype(np.int64))
-        miss = size - np.add.reduce((by1[low:high] == by2[low + shift : high + shift]).view(np.uint8), axis=0, dtype=count)
-        near = np.flatnonzero((miss <= most) & (size >= least) & (insert <= n + m - least))
+        near = np.flatnonzero((size >= least) & (insert <= n + m - least))
         if not len(near):
             continue
+        if 2 * len(near) > len(n):
+            same = np.add.reduce((by1[low:high] == by2[low + shift : high + shift]).view(np.uint8), axis=0, dtype=count)[near]
+        else:  # few pairs are as long as that
+            same = np.count_nonzero(x[near, low:high] == y[near, low + shift : high + shift], axis=1)
+        miss = size[near] - same
+        few = miss <= np.minimum(limit, (size[near] * percent / 100).astype(np.int64))
+        near, miss = near[few], miss[few]
         c1 = known1[near, b[near]] - known1[near, a[near]]
         c2 = known2[near, b[near] + shift] - known2[near, a[near] + shift]
-        near = near[(c1 == size[near]) & (c2 == size[near])]
-        miss = miss[near]
+        whole = (c1 == size[near]) & (c2 == size[near])
+        near, miss = near[whole], miss[whole]
+        if not len(near):
+            continue
         good = _informative_rows(x[near], a[near], b[near])
         near, miss = near[good], miss[good]
         at = able[near]

@@ -148,3 +148,7 @@ def test_the_longest_end_is_found_behind_others(spark):
     odd = Adapter("AGATCGGAAGRGCACACGTC", min_partial=10)  # R is not a known base: of two ends with as many, the later
     got = spark.createDataFrame([("TT" + odd.expected[:11],), ("TT" + odd.expected[:12],)], "r string").select(odd.evidence(F.col("r")).alias("x")).collect()
     assert [(x.x.known, x.x.start) for x in got] == [(10, 2), (11, 2)]
+    for size in (266, 300):  # the most that one pattern holds, and more
+        long = Adapter("ACGTTGCAGATTACAGGCAT" + bases(size - 20), min_partial=10)
+        got = spark.createDataFrame([("TT" + long.expected[: size - 1],), ("TT" + long.expected,)], "r string").select(long.evidence(F.col("r"))["known"].alias("x")).collect()
+        assert got[0].x == size - 1 and got[1].x is None

@@ -137,6 +137,19 @@ def test_overlaps_of_long_mates_and_lacking_ones(spark):
     assert all(x.gap_end1 is None and x.asked == r[3] for x, r in zip(got, rows))
 
 
+def test_long_pairs_among_short_ones_have_their_overlaps():
+    import numpy as np
+
+    from seqloom.operators import overlap as O
+
+    codes = lambda s: O._CODE[np.frombuffer(s.encode(), np.uint8)]
+    one = [codes(dna_of(i, 50 if i != 40 else 1200)) for i in range(80)]
+    two = [codes(dna_of(i, 60 if i != 40 else 1500))[(20 if i != 40 else 900) :] for i in range(80)]
+    alone = [O.find_overlaps([a], [b], 30, 5, 20)[0] for a, b in zip(one, two)]
+    assert O.find_overlaps(one, two, 30, 5, 20) == alone
+    assert alone[40] == ("unique", 1500, 300, 0) and alone[0] == ("unique", 60, 30, 0)
+
+
 def test_only_bases_go_to_python_for_overlaps(spark):
     df = spark.createDataFrame([(0, "ACGT", "ACGT", "name")], "i int, seq1 string, seq2 string, id1 string").selectExpr("*", "concat('made-', id1) as other")
     plan = overlaps(df).where("overlap_status = 'none'").select("i", "insert_length")._jdf.queryExecution().executedPlan().toString()
